@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tillgrain.config import RfmConfig
 from tillgrain.functions import calendar as cal
-from tillgrain.functions.numeric import money, ratio, ratio_or_zero, rounded
+from tillgrain.functions.numeric import ratio, ratio_or_zero, rounded
 from tillgrain.operators.grains import invoice_grain
 from tillgrain.operators.rfm import rfm_segments, segment_reference
 from tillgrain.session import materialize
@@ -193,13 +193,3 @@ def as_published(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(
         *[F.col(column).cast(kind).alias(column) for column, kind in STAR_TYPES[name].items()]
     )
-
-
-def money_as_double(frame: DataFrame) -> DataFrame:
-    """Decimal columns as double, for engines and formats without decimals."""
-    return frame.select(
-        *[
-            money(F.col(name)).alias(name) if kind.startswith("decimal") else F.col(name)
-            for name, kind in frame.dtypes
-        ]
-    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillgrain.config import BasketConfig, Ladder, ReportConfig, Step
@@ -17,7 +17,6 @@ from tillgrain.operators.star import (
     dim_geography,
     dim_products,
     fact_transactions,
-    money_as_double,
 )
 from tillgrain.plans import chart_feeds, customer_reports, sales_reports
 from tillgrain.session import materialize
@@ -70,13 +69,22 @@ BRAND_BASKETS = BasketConfig(
 _BASKET_COLUMNS = ("InvoiceNo", "Description", "Quantity", "Country")
 
 
-def _text(df: DataFrame, *columns: str) -> DataFrame:
-    """Time stamps as text, the same in every engine."""
-    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
+def _portable(df: DataFrame) -> DataFrame:
+    """Results in types every engine shares: bigint, double, text and date."""
 
+    def portable(name: str, kind: str) -> Column:
+        column = F.col(f"`{name}`")
+        if kind in ("tinyint", "smallint", "int"):
+            column = column.cast("bigint")
+        elif kind.startswith("decimal"):
+            column = column.cast("double")
+        elif kind.startswith("timestamp"):
+            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+        elif kind.startswith("array"):
+            column = F.array_join(column, ", ")
+        return column.alias(name)
 
-def _plain(df: DataFrame, *times: str) -> DataFrame:
-    return money_as_double(_text(df, *times) if times else df)
+    return df.select(*[portable(name, kind) for name, kind in df.dtypes])
 
 
 def _lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -142,8 +150,12 @@ def _rules(spark: SparkSession, folder: str) -> DataFrame:
     return basket.association_rules(materialize(_itemsets(spark, folder)), BASKETS)
 
 
-def _itemset_text(itemsets: DataFrame) -> DataFrame:
-    return itemsets.select(F.array_join("itemset", ", ").alias("itemset"), "length", "n", "support")
+def _rule_table(rules: DataFrame) -> DataFrame:
+    return basket.by_lift(rules).drop("antecedents", "consequents")
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return basket.top_pairs(_rules(spark, folder), BASKETS.top_pairs)
 
 
 def _brand_itemsets(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,8 +164,18 @@ def _brand_itemsets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = basket.top_pairs(_rules(spark, folder), BASKETS.top_pairs)
-    return basket.network_edges(pairs, BASKETS)
+    return basket.network_edges(_pairs(spark, folder), BASKETS)
+
+
+def _retention_heatmap(spark: SparkSession, folder: str) -> DataFrame:
+    cells = materialize(_cells(spark, folder))
+    return chart_feeds.retention_heatmap(cohort.retention_long(cells), cohort.revenue_long(cells))
+
+
+def _segment_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """The reference rows with the customers each segment has."""
+    sizes = _customers(spark, folder).groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
+    return rfm.segment_reference(spark).join(sizes, "segment", "left")
 
 
 def _feature_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -168,54 +190,41 @@ def _quantity_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return lines.agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(above).alias("outliers"),
-        F.sum(F.when(~above, F.col("TotalAmount"))).cast("double").alias("kept_amount"),
+        F.sum(F.when(~above, F.col("TotalAmount"))).alias("kept_amount"),
     ).withColumn("threshold", F.round(limit.select("threshold").scalar(), 4))
 
 
-QUERIES: dict[str, Query] = {
+_ANALYSES: dict[str, Query] = {
     # sources and cleaning
-    "load_sales_lines": lambda s, d: _plain(validate(_lines(s, d), RFM_REQUIRED), "InvoiceDate"),
-    "clean_sales": lambda s, d: _plain(cleaning.clean_sales(tpch.raw_lines(s, d)), "InvoiceDate"),
+    "load_sales_lines": lambda s, d: validate(_lines(s, d), RFM_REQUIRED),
+    "clean_sales": lambda s, d: cleaning.clean_sales(tpch.raw_lines(s, d)),
     "quantity_outliers": _quantity_outliers,
     # features
-    "datetime_features": lambda s, d: _plain(
-        features.datetime_features(_lines(s, d, "InvoiceNo", "StockCode", "Quantity", "InvoiceDate")),
-        "InvoiceDate",
+    "datetime_features": lambda s, d: features.datetime_features(
+        _lines(s, d, "InvoiceNo", "StockCode", "Quantity", "InvoiceDate")
     ),
-    "price_bands": lambda s, d: _plain(
-        features.price_features(
-            _lines(s, d, "InvoiceNo", "StockCode", "Quantity", "UnitPrice"), PRICE_EDGES, PRICE_LABELS
-        )
+    "price_bands": lambda s, d: features.price_features(
+        _lines(s, d, "InvoiceNo", "StockCode", "Quantity", "UnitPrice"), PRICE_EDGES, PRICE_LABELS
     ),
-    "customer_features": lambda s, d: _plain(
-        features.customer_features(_feature_lines(s, d)), "InvoiceDate", "FirstPurchase", "LastPurchase"
-    ),
-    "product_features": lambda s, d: _plain(
-        features.product_features(_feature_lines(s, d)), "InvoiceDate"
-    ),
-    "order_features": lambda s, d: _plain(features.order_features(_feature_lines(s, d)), "InvoiceDate"),
+    "customer_features": lambda s, d: features.customer_features(_feature_lines(s, d)),
+    "product_features": lambda s, d: features.product_features(_feature_lines(s, d)),
+    "order_features": lambda s, d: features.order_features(_feature_lines(s, d)),
     "country_frequency": lambda s, d: features.country_frequency(_lines(s, d, "Country")),
-    "rfm_code_segments": lambda s, d: _plain(features.rfm_code_stats(_feature_lines(s, d))),
-    "engineered_sales": lambda s, d: _plain(
-        features.engineered_sales(_feature_lines(s, d, "Country"), HOME, PRICE_EDGES, PRICE_LABELS),
-        "InvoiceDate",
-        "FirstPurchase",
-        "LastPurchase",
+    "rfm_code_segments": lambda s, d: features.rfm_code_stats(_feature_lines(s, d)),
+    "engineered_sales": lambda s, d: features.engineered_sales(
+        _feature_lines(s, d, "Country"), HOME, PRICE_EDGES, PRICE_LABELS
     ),
     # recency, frequency, monetary
-    "rfm_base": lambda s, d: _plain(rfm.rfm_base(tpch.invoices(s, d)), "LastPurchaseDate"),
-    "rfm_scores": lambda s, d: _plain(
-        rfm.score_rfm(rfm.rfm_base(tpch.invoices(s, d))), "LastPurchaseDate"
-    ),
-    "rfm_segments": lambda s, d: _plain(_segmented(s, d), "LastPurchaseDate"),
+    "rfm_base": lambda s, d: rfm.rfm_base(tpch.invoices(s, d)),
+    "rfm_scores": lambda s, d: rfm.score_rfm(rfm.rfm_base(tpch.invoices(s, d))),
+    "rfm_segments": _segmented,
     "rfm_segment_distribution": lambda s, d: rfm.segment_distribution(_segmented(s, d)),
     "rfm_segment_summary": lambda s, d: rfm.segment_summary(_segmented(s, d)),
     "rfm_insights": lambda s, d: rfm.rfm_insights(rfm.segment_summary(_segmented(s, d))),
     "rfm_score_balance": lambda s, d: quality.score_balance(_customers(s, d)),
     # cohorts
-    "cohort_assignments": lambda s, d: _plain(
-        cohort.assign_cohorts(_lines(s, d, "InvoiceNo", "CustomerID", "InvoiceDate", "TotalAmount")),
-        "InvoiceDate",
+    "cohort_assignments": lambda s, d: cohort.assign_cohorts(
+        _lines(s, d, "InvoiceNo", "CustomerID", "InvoiceDate", "TotalAmount")
     ),
     "cohort_extent": lambda s, d: cohort.cohort_extent(_cells(s, d)),
     "cohort_counts": lambda s, d: cohort.wide(cohort.cohort_counts(_cells(s, d)), "Customers", 12),
@@ -227,26 +236,23 @@ QUERIES: dict[str, Query] = {
     "cohort_best_worst": lambda s, d: cohort.best_and_worst(cohort.cohort_summary(_retention(s, d))),
     # baskets
     "basket_lines": lambda s, d: basket.basket_lines(_brand_lines(s, d), BRAND_BASKETS),
-    "baskets": lambda s, d: basket.baskets(_basket_lines(s, d), BASKETS).select(
-        "InvoiceNo", F.array_join("Items", ", ").alias("Items")
-    ),
+    "baskets": lambda s, d: basket.baskets(_basket_lines(s, d), BASKETS),
     "basket_density": lambda s, d: basket.basket_density(basket.baskets(_basket_lines(s, d), BASKETS)),
-    "frequent_itemsets": lambda s, d: _itemset_text(_itemsets(s, d)),
-    "frequent_brand_itemsets": lambda s, d: _itemset_text(_brand_itemsets(s, d)),
-    "association_rules": lambda s, d: basket.by_lift(_rules(s, d)).drop("antecedents", "consequents"),
-    "brand_association_rules": lambda s, d: basket.by_lift(
+    "frequent_itemsets": _itemsets,
+    "frequent_brand_itemsets": _brand_itemsets,
+    "association_rules": lambda s, d: _rule_table(_rules(s, d)),
+    "brand_association_rules": lambda s, d: _rule_table(
         basket.association_rules(materialize(_brand_itemsets(s, d)), BRAND_BASKETS)
-    ).drop("antecedents", "consequents"),
+    ),
     "rule_strength_counts": lambda s, d: basket.rule_strength_counts(_rules(s, d)),
-    "top_product_pairs": lambda s, d: basket.top_pairs(_rules(s, d), BASKETS.top_pairs),
+    "top_product_pairs": _pairs,
     # star schema and its checks
-    "rfm_segment_reference": lambda s, d: rfm.segment_reference(s)
-    .join(_customers(s, d).groupBy("segment").agg(F.count(F.lit(1)).alias("customers")), "segment", "left"),
-    "dim_customers": lambda s, d: money_as_double(_customers(s, d)),
-    "dim_products": lambda s, d: money_as_double(_products(s, d)),
+    "rfm_segment_reference": _segment_reference,
+    "dim_customers": _customers,
+    "dim_products": _products,
     "dim_date": lambda s, d: dim_date(_lines(s, d, "InvoiceDate")),
-    "dim_geography": lambda s, d: money_as_double(_geography(s, d)),
-    "fact_transactions": lambda s, d: _plain(fact_transactions(_lines(s, d)), "invoicedate"),
+    "dim_geography": _geography,
+    "fact_transactions": lambda s, d: fact_transactions(_lines(s, d)),
     "star_row_counts": lambda s, d: quality.row_counts(_star(s, d)),
     "dq_row_counts": lambda s, d: quality.expected_row_counts(
         quality.row_counts(_star(s, d)), MINIMUM_ROWS
@@ -255,8 +261,8 @@ QUERIES: dict[str, Query] = {
     "dq_primary_keys": lambda s, d: quality.primary_keys(_star(s, d)),
     "dq_checks": lambda s, d: quality.value_rules(_star(s, d)),
     "verify_segment_revenue": lambda s, d: quality.segment_revenue(_customers(s, d)),
-    "verify_top_customers": lambda s, d: money_as_double(quality.top_spenders(_customers(s, d))),
-    "verify_top_countries": lambda s, d: money_as_double(quality.top_countries(_geography(s, d))),
+    "verify_top_customers": lambda s, d: quality.top_spenders(_customers(s, d)),
+    "verify_top_countries": lambda s, d: quality.top_countries(_geography(s, d)),
     # customer reports
     "segment_overview": lambda s, d: customer_reports.segment_overview(
         _customers(s, d), rfm.segment_reference(s)
@@ -265,17 +271,17 @@ QUERIES: dict[str, Query] = {
         _customers(s, d), rfm.segment_reference(s)
     ),
     "top_customers": lambda s, d: customer_reports.top_customers(_customers(s, d), REPORTS),
-    "champions_deep_dive": lambda s, d: _text(
-        customer_reports.champions_deep_dive(
-            _customers(s, d), _lines(s, d, "CustomerID", "StockCode", "InvoiceDate")
-        ),
-        "first_purchase",
-        "last_purchase",
+    "champions_deep_dive": lambda s, d: customer_reports.champions_deep_dive(
+        _customers(s, d), _lines(s, d, "CustomerID", "StockCode", "InvoiceDate")
+    ),
+    "winback_list": lambda s, d: customer_reports.winback_list(
+        _customers(s, d), rfm.segment_reference(s)
     ),
-    "winback_list": lambda s, d: customer_reports.winback_list(_customers(s, d), rfm.segment_reference(s)),
     "reactivation_list": lambda s, d: customer_reports.reactivation_list(_customers(s, d), REPORTS),
     "nurture_pipeline": lambda s, d: customer_reports.nurture_list(_customers(s, d), REPORTS),
-    "retention_mom": lambda s, d: customer_reports.retention_mom(customer_months(tpch.invoices(s, d))),
+    "retention_mom": lambda s, d: customer_reports.retention_mom(
+        customer_months(tpch.invoices(s, d))
+    ),
     "rfm_score_distribution": lambda s, d: customer_reports.rfm_score_distribution(_customers(s, d)),
     "clv_tiers": lambda s, d: customer_reports.clv_tiers(_customers(s, d), REPORTS),
     "segment_migration": lambda s, d: customer_reports.segment_migration(_customers(s, d)),
@@ -293,26 +299,27 @@ QUERIES: dict[str, Query] = {
     "new_vs_returning": lambda s, d: sales_reports.new_vs_returning(
         _lines(s, d, "CustomerID", "InvoiceNo", "InvoiceDate", "TotalAmount")
     ),
-    "new_vs_returning_by_order": lambda s, d: sales_reports.new_vs_returning_by_order(tpch.invoices(s, d)),
-    "exec_summary": lambda s, d: _text(
-        sales_reports.exec_summary(
-            tpch.invoices(s, d, country=True), _lines(s, d, "StockCode"), _customers(s, d)
-        ),
-        "Data_From",
-        "Data_To",
+    "new_vs_returning_by_order": lambda s, d: sales_reports.new_vs_returning_by_order(
+        tpch.invoices(s, d)
+    ),
+    "exec_summary": lambda s, d: sales_reports.exec_summary(
+        tpch.invoices(s, d, country=True), _lines(s, d, "StockCode"), _customers(s, d)
     ),
     # chart feeds
     "rfm_scatter": lambda s, d: chart_feeds.rfm_scatter(_customers(s, d)),
     "rfm_heatmap": lambda s, d: chart_feeds.rfm_heatmap(_customers(s, d)),
-    "retention_heatmap": lambda s, d: chart_feeds.retention_heatmap(
-        _retention(s, d), cohort.revenue_long(_cells(s, d))
-    ),
+    "retention_heatmap": _retention_heatmap,
     "retention_curves": lambda s, d: chart_feeds.retention_curves(_retention(s, d)),
     "retention_average_curve": lambda s, d: cohort.average_curve(_retention(s, d)),
     "rule_scatter": lambda s, d: basket.sample_rules(_rules(s, d), BASKETS),
-    "rule_pair_bars": lambda s, d: basket.pair_bars(
-        basket.top_pairs(_rules(s, d), BASKETS.top_pairs), BASKETS
-    ),
+    "rule_pair_bars": lambda s, d: basket.pair_bars(_pairs(s, d), BASKETS),
     "rule_network_edges": _edges,
     "rule_network_nodes": lambda s, d: basket.network_nodes(_edges(s, d)),
 }
+
+
+def _shared(analysis: Query) -> Query:
+    return lambda spark, folder: _portable(analysis(spark, folder))
+
+
+QUERIES: dict[str, Query] = {name: _shared(analysis) for name, analysis in _ANALYSES.items()}
