@@ -142,7 +142,7 @@ CTES |= {
         FROM seg""",
     "prodraw": """
         SELECT StockCode AS stockcode,
-               arg_min(Description, (InvoiceDate, InvoiceNo, Description)) AS description,
+               arg_min(Description, (InvoiceDate, Description)) AS description,
                sum(UnitPrice) AS price, count(UnitPrice) AS prices,
                sum(Quantity) AS qty, sum(TotalAmount) AS revenue,
                count(DISTINCT CustomerID) AS buyers, count(DISTINCT InvoiceNo) AS invoices

@@ -68,19 +68,18 @@ def _with_revenue(lines: DataFrame) -> DataFrame:
     return lines.withColumn("Revenue", (F.col("Quantity") * F.col("UnitPrice")).cast(AMOUNT))
 
 
-def _revenue_invoices(lines: DataFrame) -> DataFrame:
+def revenue_invoices(lines: DataFrame) -> DataFrame:
+    """The invoice grain with the amount taken as quantity times price."""
+    keys = [c for c in ("InvoiceNo", "CustomerID", "InvoiceDate", "Country") if c in lines.columns]
     return invoice_grain(
-        _with_revenue(lines).select(
-            "InvoiceNo", "CustomerID", "InvoiceDate", "Quantity", F.col("Revenue").alias("TotalAmount")
-        )
+        _with_revenue(lines).select(*keys, "Quantity", F.col("Revenue").alias("TotalAmount"))
     )
 
 
-def customer_stats(lines: DataFrame) -> DataFrame:
-    """Orders, items, spend and lifetime of each customer."""
+def customer_stats(invoices: DataFrame) -> DataFrame:
+    """Orders, items, spend and lifetime of each customer, from the invoice grain."""
     return (
-        _revenue_invoices(lines)
-        .filter(F.col("CustomerID").isNotNull())
+        invoices.filter(F.col("CustomerID").isNotNull())
         .groupBy("CustomerID")
         .agg(
             F.countDistinct("InvoiceNo").alias("TotalOrders"),
@@ -100,7 +99,7 @@ def customer_stats(lines: DataFrame) -> DataFrame:
 
 
 def customer_features(lines: DataFrame) -> DataFrame:
-    return lines.join(customer_stats(lines), "CustomerID", "left")
+    return lines.join(customer_stats(revenue_invoices(lines)), "CustomerID", "left")
 
 
 def code_segment(score: Column) -> Column:
@@ -109,9 +108,9 @@ def code_segment(score: Column) -> Column:
     )
 
 
-def rfm_code_stats(lines: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame:
-    """Scores of each customer with the segment named by score code."""
-    scored = score_rfm(rfm_base(_revenue_invoices(lines), config), config)
+def rfm_code_stats(invoices: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame:
+    """Scores of each customer with the segment named by score code, from the invoice grain."""
+    scored = score_rfm(rfm_base(invoices, config), config)
     return scored.select(
         "CustomerID",
         "Recency",
@@ -126,7 +125,7 @@ def rfm_code_stats(lines: DataFrame, config: RfmConfig = RfmConfig()) -> DataFra
 
 
 def rfm_features(lines: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame:
-    return lines.join(rfm_code_stats(lines, config), "CustomerID", "left")
+    return lines.join(rfm_code_stats(revenue_invoices(lines), config), "CustomerID", "left")
 
 
 def product_stats(lines: DataFrame) -> DataFrame:
@@ -193,7 +192,6 @@ def days_since_previous_order(orders: DataFrame) -> DataFrame:
 
 def order_stats(lines: DataFrame) -> DataFrame:
     """Size of each order and the days since the customer's previous one."""
-    start = F.struct(F.col("InvoiceDate"), F.col("CustomerID"))
     orders = (
         _with_revenue(lines)
         .filter(F.col("CustomerID").isNotNull())
@@ -202,15 +200,8 @@ def order_stats(lines: DataFrame) -> DataFrame:
             F.sum(F.col("Quantity").cast("bigint")).alias("OrderTotalQty"),
             F.sum("Revenue").alias("OrderTotalRevenue"),
             F.countDistinct("StockCode").alias("BasketSize"),
-            F.min(start).alias("_start"),
-        )
-        .select(
-            "InvoiceNo",
-            "OrderTotalQty",
-            "OrderTotalRevenue",
-            "BasketSize",
-            F.col("_start.CustomerID").alias("CustomerID"),
-            F.col("_start.InvoiceDate").alias("OrderDate"),
+            F.min("CustomerID").alias("CustomerID"),
+            F.min("InvoiceDate").alias("OrderDate"),
         )
     )
     return days_since_previous_order(materialize(orders))
@@ -222,19 +213,24 @@ def order_features(lines: DataFrame) -> DataFrame:
 
 def country_frequency(lines: DataFrame) -> DataFrame:
     """Rows per country."""
+    return _frequency(lines, F.count(F.lit(1)))
+
+
+def _frequency(rows: DataFrame, size: Column) -> DataFrame:
     return (
-        lines.filter(F.col("Country").isNotNull())
-        .groupBy("Country")
-        .agg(F.count(F.lit(1)).alias("CountryFreq"))
+        rows.filter(F.col("Country").isNotNull()).groupBy("Country").agg(size.alias("CountryFreq"))
     )
 
 
+def home_flag(lines: DataFrame, home_market: str) -> DataFrame:
+    is_home = F.coalesce((F.col("Country") == home_market).cast("int"), F.lit(0))
+    return lines.withColumn("IsUK", is_home)
+
+
 def geographic_features(lines: DataFrame, home_market: str = "United Kingdom") -> DataFrame:
     """Home flag and country frequency; the written lookup is tiny, so it is broadcast."""
-    is_home = F.coalesce((F.col("Country") == home_market).cast("int"), F.lit(0))
-    return lines.withColumn("IsUK", is_home).join(
-        materialize(country_frequency(lines)), "Country", "left"
-    )
+    lookup = materialize(country_frequency(lines))
+    return home_flag(lines, home_market).join(lookup, "Country", "left")
 
 
 def engineered_sales(
@@ -246,19 +242,22 @@ def engineered_sales(
 ) -> DataFrame:
     """All features on one table.
 
-    Customer and score features are attached to the pairs of invoice and customer first,
-    together with the order features, so that the lines are shuffled once for all of them.
+    Customer, score and country features come from one written invoice grain. Customer, score
+    and order features are attached to the pairs of invoice and customer first, so that the
+    lines are shuffled once for all of them.
     """
     base = lines.transform(datetime_features).transform(price_features, price_edges, price_labels)
+    invoices = materialize(revenue_invoices(base))
     pairs = (
-        lines.select("InvoiceNo", "CustomerID")
+        invoices.select("InvoiceNo", "CustomerID")
         .distinct()
-        .join(customer_stats(base), "CustomerID", "left")
-        .join(rfm_code_stats(base, rfm), "CustomerID", "left")
+        .join(customer_stats(invoices), "CustomerID", "left")
+        .join(rfm_code_stats(invoices, rfm), "CustomerID", "left")
         .join(order_stats(base).drop("CustomerID", "OrderDate"), "InvoiceNo", "left")
     )
     return (
-        base.transform(geographic_features, home_market)
+        home_flag(base, home_market)
+        .join(materialize(_frequency(invoices, F.sum("Lines"))), "Country", "left")
         .join(pairs, ["InvoiceNo", "CustomerID"], "left")
         .join(product_stats(base), "StockCode", "left")
     )

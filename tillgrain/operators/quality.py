@@ -53,22 +53,32 @@ def expected_row_counts(counts: DataFrame, minimum: dict[str, int] = MINIMUM_ROW
 def foreign_keys(star: Star) -> DataFrame:
     """Fact rows per foreign key without a dimension row; null keys are allowed.
 
-    The fact is reduced to its distinct key values first, so the anti join compares one row
-    per value and a hot key is counted on the map side.
+    One pass reduces the fact to counts per key value, combined on the map side, so the anti
+    join compares one row per value and a hot key is a single row.
     """
+    names = {key: f"{key} -> {dimension}" for key, dimension in FOREIGN_KEYS.items()}
 
-    def orphans(key: str, dimension: str) -> DataFrame:
-        values = (
-            star.fact_transactions.filter(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(F.count(F.lit(1)).alias("_rows"))
-        )
-        missing = values.join(getattr(star, dimension).select(key), key, "left_anti")
-        return missing.agg(
-            F.coalesce(F.sum("_rows"), F.lit(0)).alias("orphans"),
-        ).select(F.lit(f"{key} -> {dimension}").alias("foreign_key"), "orphans")
+    def value(key: str) -> Column:
+        return F.col(key).cast("string").alias("value")
 
-    return _stack([orphans(key, dimension) for key, dimension in FOREIGN_KEYS.items()])
+    used = F.array(*[F.struct(F.lit(name).alias("foreign_key"), value(k)) for k, name in names.items()])
+    counts = (
+        star.fact_transactions.select(F.inline(used))
+        .filter(F.col("value").isNotNull())
+        .groupBy("foreign_key", "value")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    known = _stack(
+        [
+            getattr(star, dimension).select(F.lit(names[key]).alias("foreign_key"), value(key))
+            for key, dimension in FOREIGN_KEYS.items()
+        ]
+    )
+    missing = counts.join(known, ["foreign_key", "value"], "left_anti").select("foreign_key", "_rows")
+    none = known.sparkSession.createDataFrame(
+        [(name, 0) for name in names.values()], "foreign_key string, _rows bigint"
+    )
+    return missing.unionByName(none).groupBy("foreign_key").agg(F.sum("_rows").alias("orphans"))
 
 
 def primary_keys(star: Star) -> DataFrame:

@@ -182,8 +182,12 @@ def apply_segments(scored: DataFrame) -> DataFrame:
 
 
 def rfm_segments(invoices: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame:
-    """Invoices to scored and segmented customers."""
-    return rfm_base(invoices, config).transform(score_rfm, config).transform(apply_segments)
+    """Invoices to scored and segmented customers, as a written table.
+
+    Reports filter and group it many times; from a table their predicates reach the scan.
+    """
+    scored = rfm_base(invoices, config).transform(score_rfm, config)
+    return materialize(scored.transform(apply_segments))
 
 
 def segment_distribution(customers: DataFrame) -> DataFrame:
@@ -211,8 +215,7 @@ def median_monetary(customers: DataFrame) -> DataFrame:
 
 
 def segment_summary(customers: DataFrame) -> DataFrame:
-    """Key figures per segment, largest revenue first."""
-    customers = materialize(customers.select("Segment", "Monetary", "Recency", "Frequency", "RFM_Total"))
+    """Key figures per segment, largest revenue first. ``customers`` is read several times."""
     everyone = Window.partitionBy()
     count = F.col("Customers")
     return (

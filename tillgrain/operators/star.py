@@ -40,28 +40,36 @@ def dim_customers(segmented: DataFrame) -> DataFrame:
     )
 
 
-def dim_products(lines: DataFrame) -> DataFrame:
-    """Sales and reach per product.
+def first_descriptions(lines: DataFrame) -> DataFrame:
+    """The earliest description of each product; by text on the same instant.
 
-    The description is the earliest one; earlier means date, then invoice, then text, so it does
-    not depend on the order of the input.
+    Lines are reduced to one row per product and text before texts are compared, and that
+    step keeps only a time stamp per group, so it hashes instead of sorting the lines.
     """
-    named = F.col("Description").isNotNull()
-    first = F.min(F.when(named, F.struct("InvoiceDate", "InvoiceNo", "Description")))
-    stats = materialize(
-        lines.groupBy(F.col("StockCode").alias("stockcode")).agg(
-            first.alias("_first"),
-            rounded(ratio(F.sum("UnitPrice"), F.count("UnitPrice")), 2).alias("avgunitprice"),
-            F.sum(F.col("Quantity").cast("bigint")).alias("totalquantitysold"),
-            F.sum("TotalAmount").alias("totalrevenue"),
-            F.countDistinct("CustomerID").alias("uniquecustomers"),
-            F.countDistinct("InvoiceNo").alias("uniqueinvoices"),
-        )
+    texts = (
+        lines.filter(F.col("Description").isNotNull())
+        .groupBy("StockCode", "Description")
+        .agg(F.min("InvoiceDate").alias("_since"))
     )
-    widest = stats.agg(F.max("uniquecustomers")).scalar()
-    return stats.select(
+    return texts.groupBy(F.col("StockCode").alias("stockcode")).agg(
+        F.min(F.struct("_since", "Description"))["Description"].alias("description")
+    )
+
+
+def dim_products(lines: DataFrame) -> DataFrame:
+    """Sales and reach per product."""
+    stats = lines.groupBy(F.col("StockCode").alias("stockcode")).agg(
+        rounded(ratio(F.sum("UnitPrice"), F.count("UnitPrice")), 2).alias("avgunitprice"),
+        F.sum(F.col("Quantity").cast("bigint")).alias("totalquantitysold"),
+        F.sum("TotalAmount").alias("totalrevenue"),
+        F.countDistinct("CustomerID").alias("uniquecustomers"),
+        F.countDistinct("InvoiceNo").alias("uniqueinvoices"),
+    )
+    products = materialize(stats.join(first_descriptions(lines), "stockcode", "left"))
+    widest = products.agg(F.max("uniquecustomers")).scalar()
+    return products.select(
         "stockcode",
-        F.col("_first.Description").alias("description"),
+        "description",
         "avgunitprice",
         "totalquantitysold",
         "totalrevenue",

@@ -108,20 +108,26 @@ _PRODUCT_COLUMNS = (
 )
 
 
+_FACT_COLUMNS = tuple(c for c in tpch.ALL_COLUMNS if c != "Description")
+
+
+def _fact(spark: SparkSession, folder: str) -> DataFrame:
+    return fact_transactions(_lines(spark, folder, *_FACT_COLUMNS))
+
+
 def _products(spark: SparkSession, folder: str) -> DataFrame:
     return dim_products(_lines(spark, folder, *_PRODUCT_COLUMNS))
 
 
 def _star(spark: SparkSession, folder: str) -> Star:
     """The star with its dimensions written, since checks read them more than once."""
-    lines = _lines(spark, folder)
     return Star(
-        dim_customers=materialize(_customers(spark, folder)),
+        dim_customers=_customers(spark, folder),
         dim_products=materialize(_products(spark, folder)),
         dim_date=materialize(dim_date(_lines(spark, folder, "InvoiceDate"))),
         dim_geography=materialize(_geography(spark, folder)),
         dim_rfm_segments=rfm.segment_reference(spark),
-        fact_transactions=fact_transactions(lines),
+        fact_transactions=_fact(spark, folder),
     )
 
 
@@ -210,7 +216,9 @@ _ANALYSES: dict[str, Query] = {
     "product_features": lambda s, d: features.product_features(_feature_lines(s, d)),
     "order_features": lambda s, d: features.order_features(_feature_lines(s, d)),
     "country_frequency": lambda s, d: features.country_frequency(_lines(s, d, "Country")),
-    "rfm_code_segments": lambda s, d: features.rfm_code_stats(_feature_lines(s, d)),
+    "rfm_code_segments": lambda s, d: features.rfm_code_stats(
+        features.revenue_invoices(_feature_lines(s, d))
+    ),
     "engineered_sales": lambda s, d: features.engineered_sales(
         _feature_lines(s, d, "Country"), HOME, PRICE_EDGES, PRICE_LABELS
     ),
@@ -252,7 +260,7 @@ _ANALYSES: dict[str, Query] = {
     "dim_products": _products,
     "dim_date": lambda s, d: dim_date(_lines(s, d, "InvoiceDate")),
     "dim_geography": _geography,
-    "fact_transactions": lambda s, d: fact_transactions(_lines(s, d)),
+    "fact_transactions": _fact,
     "star_row_counts": lambda s, d: quality.row_counts(_star(s, d)),
     "dq_row_counts": lambda s, d: quality.expected_row_counts(
         quality.row_counts(_star(s, d)), MINIMUM_ROWS

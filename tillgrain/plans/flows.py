@@ -36,7 +36,7 @@ def run_features(spark: SparkSession, sales_path: str, out: str | None = None, *
 def run_rfm(
     spark: SparkSession, sales_path: str, out: str, config: RfmConfig = RfmConfig()
 ) -> dict[str, DataFrame]:
-    customers = materialize(rfm.rfm_segments(invoice_grain(load_table(spark, sales_path)), config))
+    customers = rfm.rfm_segments(invoice_grain(load_table(spark, sales_path)), config)
     results = {
         "rfm_scores": customers.drop("Action", "Lines"),
         "rfm_segments_summary": rfm.segment_summary(customers),
