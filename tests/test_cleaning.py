@@ -20,7 +20,7 @@ def test_rules(make_lines):
         ("536370", "A", "a", 1, DAY, 2, None, "UK"),
     )
     kept = cleaning.completed_sales(raw).select("InvoiceNo", F.col("TotalAmount").cast("string"), "YearMonth")
-    assert rows(kept) == [("536365", "3.00", "2011-05")]
+    assert rows(kept) == [("536365", "3.0000", "2011-05")]
 
 
 def test_outliers_are_cut_at_the_quantile_of_surviving_rows(make_lines):

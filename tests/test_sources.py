@@ -22,11 +22,17 @@ def test_csv_is_typed_and_decoded(spark, tmp_path):
     assert dict(df.dtypes)["InvoiceDate"] == "timestamp_ntz"
     got = df.select("Description", "Quantity", F.col("InvoiceDate").cast("string"), F.col("TotalAmount").cast("string"), "CustomerID")
     assert rows(got) == [
-        ("CAFÉ £5 MUG ", 6, "2010-12-01 08:26:00", "15.30", 17850.0),
-        (None, -1, "2010-12-01 09:41:00", "-27.50", None),
+        ("CAFÉ £5 MUG ", 6, "2010-12-01 08:26:00", "15.3000", 17850.0),
+        (None, -1, "2010-12-01 09:41:00", "-27.5000", None),
     ]
 
 
+def test_quotes_and_prices_below_a_penny(spark, tmp_path):
+    path = csv(tmp_path, HEADER + '1,A,"12"" TRAY, RED",10,1/2/2011 0:05,0.001,1.0,France\n')
+    got = readers.load_lines(spark, path).select("Description", F.col("TotalAmount").cast("string"))
+    assert rows(got) == [('12" TRAY, RED', "0.0100")]
+
+
 def test_columns_bind_by_name(spark, tmp_path):
     path = csv(tmp_path, "CustomerID,UnitPrice,Quantity,InvoiceDate,InvoiceNo\n1,2.5,4,1/2/2011 0:05,9\n")
     assert rows(readers.load_lines(spark, path), "InvoiceNo", "Quantity", "CustomerID") == [("9", 4, 1.0)]
@@ -45,7 +51,7 @@ def test_missing_inputs_are_all_named(spark, tmp_path):
 
 def test_total_amount_is_kept_or_derived(make_lines):
     lines = make_lines(("1", "A", "a", 3, "2011-01-01 00:00", 2.5, 1, "UK"))
-    assert rows(readers.with_total_amount(lines).select(F.col("TotalAmount").cast("string"))) == [("7.50",)]
+    assert rows(readers.with_total_amount(lines).select(F.col("TotalAmount").cast("string"))) == [("7.5000",)]
     given = lines.withColumn("TotalAmount", F.lit(1))
     assert readers.with_total_amount(given) is given
 

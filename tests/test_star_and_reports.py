@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 
 import pytest
@@ -176,9 +177,14 @@ SKEW = {
 
 def test_hot_keys_change_nothing(spark, make_sales, tmp_path):
     """One customer, order and product with a third of all lines, with joins split at run time."""
-    data = [(str(i % 90), f"P{i % 11}", f"item {i % 11}", 1 + i % 5, f"2011-0{1 + i % 9}-11 08:00", 1 + i % 7, i % 30, UK) for i in range(900)]
-    data = [(inv, *rest[:3], f"2011-0{1 + int(inv) % 9}-11 08:00", rest[4], int(inv) % 30, UK) for inv, *rest in data]
-    data += [("9999", "P3", "item 3", 1 + i % 3, "2011-05-05 09:00", 2, 7, UK) for i in range(450)]
+    rng = random.Random(5)
+
+    def line(i, invoice, sku, customer):
+        text = f"{rng.getrandbits(400):x}"  # incompressible, so that partition sizes show the skew
+        return (invoice, sku, text, 1 + i % 5, f"2011-0{1 + int(invoice) % 9}-11 08:00", 1 + i % 7, customer, UK)
+
+    data = [line(i, str(i % 90), f"P{i % 11}", i % 90 % 30) for i in range(900)]
+    data += [line(i, "9999", "P3", 7) for i in range(450)]
     lines = make_sales(*data)
     path = f"{tmp_path}/lines"
     lines.repartition(6).write.parquet(path)
@@ -198,6 +204,9 @@ def test_hot_keys_change_nothing(spark, make_sales, tmp_path):
         for key, value in SKEW.items():
             spark.conf.set(key, value)
         assert results() == plain
+        for joined in (features.customer_features(lines), features.order_features(lines), features.product_features(lines), cohort.assign_cohorts(lines)):
+            joined.collect()
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)

@@ -77,10 +77,11 @@ def basket_lines(lines: DataFrame, config: BasketConfig = BasketConfig()) -> Dat
     items = item_lines(lines, config)
     top = top_items(invoice_items(items), config).select(F.col("Item").alias("Description"))
     kept = items.join(F.broadcast(top), "Description", "left_semi")
-    several = (
+    several = materialize(
         kept.groupBy("InvoiceNo")
         .agg(F.countDistinct("Description").alias("_size"))
         .filter(F.col("_size") >= 2)
+        .select("InvoiceNo")
     )
     return kept.join(several, "InvoiceNo", "left_semi")
 

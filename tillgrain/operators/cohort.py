@@ -16,6 +16,7 @@ from tillgrain.functions import calendar as cal
 from tillgrain.functions.banding import at_least
 from tillgrain.functions.numeric import money, ratio, rounded
 from tillgrain.operators.grains import customer_months
+from tillgrain.session import materialize
 
 SUMMARY_MONTHS = (1, 3, 6)
 CHART_MONTHS = 12
@@ -24,11 +25,11 @@ CHART_MONTHS = 12
 def assign_cohorts(lines: DataFrame) -> DataFrame:
     """Every line with its month, its customer's first month and the months in between.
 
-    First months are aggregated and joined back instead of taken in a window over the lines,
-    so that the lines of one customer need not meet in one task.
+    First months are aggregated, written and joined back instead of taken in a window over the
+    lines, so that the lines of one customer need not meet in one task.
     """
     lines = lines.withColumn("_month", cal.month_index(F.col("InvoiceDate")))
-    first = (
+    first = materialize(
         lines.filter(F.col("CustomerID").isNotNull())
         .groupBy("CustomerID")
         .agg(F.min("_month").alias("_cohort"))

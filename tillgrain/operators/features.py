@@ -1,7 +1,9 @@
 """Row, customer, product, order and geography features of invoice lines.
 
-Per-key statistics are aggregated first and joined back as one row per key; adaptive
-execution splits a hot key on the line side of such a join.
+Per-key statistics are aggregated, written, and joined back as one row per key. Reading them
+from a table matters twice: Spark knows their size and broadcasts only what is small, and both
+sides of a larger join come straight from a shuffle, which is what lets adaptive execution
+split a hot key on the line side. A join directly onto an aggregation is never split.
 """
 
 from __future__ import annotations
@@ -99,7 +101,8 @@ def customer_stats(invoices: DataFrame) -> DataFrame:
 
 
 def customer_features(lines: DataFrame) -> DataFrame:
-    return lines.join(customer_stats(revenue_invoices(lines)), "CustomerID", "left")
+    stats = materialize(customer_stats(revenue_invoices(lines)))
+    return lines.join(stats, "CustomerID", "left")
 
 
 def code_segment(score: Column) -> Column:
@@ -208,7 +211,8 @@ def order_stats(lines: DataFrame) -> DataFrame:
 
 
 def order_features(lines: DataFrame) -> DataFrame:
-    return lines.join(order_stats(lines).drop("CustomerID", "OrderDate"), "InvoiceNo", "left")
+    stats = materialize(order_stats(lines).drop("CustomerID", "OrderDate"))
+    return lines.join(stats, "InvoiceNo", "left")
 
 
 def country_frequency(lines: DataFrame) -> DataFrame:
@@ -258,6 +262,6 @@ def engineered_sales(
     return (
         home_flag(base, home_market)
         .join(materialize(_frequency(invoices, F.sum("Lines"))), "Country", "left")
-        .join(pairs, ["InvoiceNo", "CustomerID"], "left")
+        .join(materialize(pairs), ["InvoiceNo", "CustomerID"], "left")
         .join(product_stats(base), "StockCode", "left")
     )

@@ -22,6 +22,7 @@ from tillgrain.functions.ranking import (
     value_of,
 )
 from tillgrain.session import materialize
+from tillgrain.sources.schemas import MONEY_UNITS
 
 # Segment rules as score ranges (recency, frequency, monetary), tried in order.
 # Some later rules can never be reached because an earlier one covers them; they are kept so
@@ -85,12 +86,16 @@ def rfm_base(invoices: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame:
     )
 
 
+def _spend_units() -> Column:
+    return (F.col("Monetary") * MONEY_UNITS).cast("bigint")
+
+
 def _sort_keys(rfm: DataFrame) -> DataFrame:
     """One row per customer and metric with the digits of its sort key.
 
     Frequency is ranked "first come": ties in order of CustomerID, so its key is the pair.
     """
-    cents = (F.col("Monetary") * 100).cast("bigint")
+    spend = _spend_units()
     none = F.lit(0).cast("bigint")
 
     def key(metric: str, lead: Column, value: Column) -> Column:
@@ -108,7 +113,7 @@ def _sort_keys(rfm: DataFrame) -> DataFrame:
             F.array(
                 key("R", none, F.col("Recency")),
                 key("F", F.col("Frequency"), F.col("CustomerID")),
-                key("M", none, cents),
+                key("M", none, spend),
             )
         )
     )
@@ -135,7 +140,6 @@ def score_rfm(rfm: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame:
     The edges are a handful of values that Spark computes once and plugs in as constants, so
     scoring itself is a projection without a shuffle.
     """
-    cents = (F.col("Monetary") * 100).cast("bigint")
     none = F.lit(0).cast("bigint")
 
     def bin_of(metric: str, lead: Column, value: Column) -> Column:
@@ -148,7 +152,7 @@ def score_rfm(rfm: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame:
             {
                 "R_Score": F.lit(config.bins + 1) - bin_of("R", none, F.col("Recency")),
                 "F_Score": bin_of("F", F.col("Frequency"), F.col("CustomerID")),
-                "M_Score": bin_of("M", none, cents),
+                "M_Score": bin_of("M", none, _spend_units()),
             }
         )
         .drop("_edges")
@@ -204,14 +208,12 @@ def segment_distribution(customers: DataFrame) -> DataFrame:
 def median_monetary(customers: DataFrame) -> DataFrame:
     """Exact median spend per segment, without gathering a segment in one task."""
     names = ["d1", "d2", "d3"]
-    cents = (F.col("Monetary") * 100).cast("bigint")
     keys = customers.select(
-        "Segment", *[d.alias(n) for d, n in zip(digits_of(cents), names, strict=True)]
+        "Segment", *[d.alias(n) for d, n in zip(digits_of(_spend_units()), names, strict=True)]
     )
     found = order_statistics(keys, "Segment", names, middle_ranks)
-    return found.groupBy("Segment").agg(
-        F.sum(value_of(*[F.col(n) for n in names])).alias("_twice_cents")
-    ).select("Segment", (F.col("_twice_cents").cast("decimal(38,3)") / 200).alias("Median_Revenue"))
+    both = F.sum(value_of(*[F.col(n) for n in names])).cast("decimal(30,0)")
+    return found.groupBy("Segment").agg((both / (2 * MONEY_UNITS)).alias("Median_Revenue"))
 
 
 def segment_summary(customers: DataFrame) -> DataFrame:

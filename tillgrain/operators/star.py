@@ -174,7 +174,7 @@ class Star:
         home_market: str = "United Kingdom",
         rfm: RfmConfig = RfmConfig(),
     ) -> Star:
-        invoices = invoice_grain(lines)
+        invoices = materialize(invoice_grain(lines))
         return cls(
             dim_customers=dim_customers(rfm_segments(invoices, rfm)),
             dim_products=dim_products(lines),

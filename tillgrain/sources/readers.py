@@ -24,7 +24,7 @@ def read_csv(
     Columns of the schema that the header lacks are left out, so that the required-column
     check can name them.
     """
-    options = {"header": True, "encoding": encoding}
+    options = {"header": True, "encoding": encoding, "escape": '"'}
     header = spark.read.options(**options).csv(path).columns
     known = {field.name: field for field in schema.fields}
     bound = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])

@@ -11,18 +11,23 @@ INVOICE_LINES = T.StructType(
         T.StructField("Description", T.StringType()),
         T.StructField("Quantity", T.IntegerType()),
         T.StructField("InvoiceDate", T.TimestampNTZType()),
-        T.StructField("UnitPrice", T.DecimalType(10, 2)),
+        T.StructField("UnitPrice", T.DecimalType(14, 4)),
         T.StructField("CustomerID", T.DoubleType()),
         T.StructField("Country", T.StringType()),
     ]
 )
-"""Raw lines. CustomerID is a double because exports of nullable ids read ``17850.0``."""
+"""Raw lines. CustomerID is a double because exports of nullable ids read ``17850.0``, and a
+price has four digits because sources quote prices below a penny."""
 
 RFM_REQUIRED = ("CustomerID", "InvoiceNo", "InvoiceDate", "Quantity", "UnitPrice")
 COHORT_REQUIRED = RFM_REQUIRED
 BASKET_REQUIRED = ("CustomerID", "InvoiceNo", "Description", "Quantity", "UnitPrice")
 
-AMOUNT = T.DecimalType(12, 2)
+AMOUNT = T.DecimalType(16, 4)
+"""Quantity times price, without rounding."""
+
+MONEY_UNITS = 10_000
+"""Amounts as whole numbers of this fraction, where an integer key is needed."""
 
 STAR_TYPES = {
     "dim_customers": {

@@ -1,8 +1,9 @@
 """Invoice lines as a view over normalized order tables.
 
 ``lineitem`` carries the lines, ``orders`` the invoice header, ``customer``/``nation`` the
-country and ``part`` the product. Every builder joins only the tables its columns need; the
-lookups are outer joins on unique keys, so leaving one out never changes the row count.
+country and ``part`` the product. Every builder joins only the tables its columns need. The
+lookups are outer joins on unique keys and every line has its order, so leaving a table out
+never changes the row count.
 """
 
 from __future__ import annotations
