@@ -47,8 +47,11 @@ def top_items(pairs: DataFrame, config: BasketConfig = BasketConfig()) -> DataFr
 
 
 def basket_pairs(items: DataFrame, config: BasketConfig = BasketConfig()) -> DataFrame:
-    """Invoice and product of the top products; the broadcast list has ``top_products`` rows."""
-    pairs = invoice_items(items)
+    """Invoice and product of the top products; the broadcast list has ``top_products`` rows.
+
+    The pairs are written because they are needed twice and cost a shuffle of all lines.
+    """
+    pairs = materialize(invoice_items(items))
     top = top_items(pairs, config).select("Item")
     return pairs.join(F.broadcast(top), "Item", "left_semi")
 

@@ -16,7 +16,7 @@ from tillgrain.config import PRICE_EDGES, PRICE_LABELS, RfmConfig
 from tillgrain.functions import calendar as cal
 from tillgrain.functions.banding import between_edges, first_match
 from tillgrain.functions.numeric import ratio
-from tillgrain.operators.grains import invoice_grain
+from tillgrain.operators.grains import invoice_grain, totals_and_distincts
 from tillgrain.operators.rfm import rfm_base, score_rfm
 from tillgrain.session import materialize
 from tillgrain.sources.schemas import AMOUNT
@@ -134,15 +134,18 @@ def rfm_features(lines: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame
 def product_stats(lines: DataFrame) -> DataFrame:
     """Volume, reach and popularity (reach relative to the widest-reaching product)."""
     stats = materialize(
-        _with_revenue(lines)
-        .filter(F.col("StockCode").isNotNull())
-        .groupBy("StockCode")
-        .agg(
-            F.sum(F.col("Quantity").cast("bigint")).alias("ProductTotalQty"),
-            F.sum("Revenue").alias("ProductTotalRevenue"),
-            F.countDistinct("CustomerID").alias("ProductUniqueCustomers"),
-            F.countDistinct("InvoiceNo").alias("ProductTransactions"),
-            ratio(F.sum("UnitPrice"), F.count("UnitPrice")).alias("AvgProductPrice"),
+        totals_and_distincts(
+            _with_revenue(lines),
+            "StockCode",
+            [
+                F.sum(F.col("Quantity").cast("bigint")).alias("ProductTotalQty"),
+                F.sum("Revenue").alias("ProductTotalRevenue"),
+                ratio(F.sum("UnitPrice"), F.count("UnitPrice")).alias("AvgProductPrice"),
+            ],
+            [
+                F.countDistinct("CustomerID").alias("ProductUniqueCustomers"),
+                F.countDistinct("InvoiceNo").alias("ProductTransactions"),
+            ],
         )
     )
     widest = stats.agg(F.max("ProductUniqueCustomers")).scalar()

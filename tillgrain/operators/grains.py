@@ -6,7 +6,9 @@ is reduced before it is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillgrain.functions.calendar import month_index
@@ -22,6 +24,19 @@ def invoice_grain(lines: DataFrame) -> DataFrame:
     )
 
 
+def totals_and_distincts(
+    rows: DataFrame, key: str, totals: Sequence[Column], distincts: Sequence[Column]
+) -> DataFrame:
+    """Sums and distinct counts per non-null key, from two narrow passes joined by key.
+
+    In a single aggregation every row of the distinct counts would carry the empty buffers of
+    all sums through the shuffle. Apart, the sums shrink to one row per key on the map side
+    and only the bare values are shuffled for counting.
+    """
+    rows = rows.filter(F.col(key).isNotNull())
+    return rows.groupBy(key).agg(*totals).join(rows.groupBy(key).agg(*distincts), key)
+
+
 def customer_months(invoices: DataFrame) -> DataFrame:
     """Amount per customer and active month; a customer has few rows here by the calendar."""
     return (

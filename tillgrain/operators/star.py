@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tillgrain.config import RfmConfig
 from tillgrain.functions import calendar as cal
 from tillgrain.functions.numeric import ratio, ratio_or_zero, rounded
-from tillgrain.operators.grains import invoice_grain
+from tillgrain.operators.grains import invoice_grain, totals_and_distincts
 from tillgrain.operators.rfm import rfm_segments, segment_reference
 from tillgrain.session import materialize
 from tillgrain.sources.schemas import STAR_TYPES
@@ -51,24 +51,30 @@ def first_descriptions(lines: DataFrame) -> DataFrame:
         .groupBy("StockCode", "Description")
         .agg(F.min("InvoiceDate").alias("_since"))
     )
-    return texts.groupBy(F.col("StockCode").alias("stockcode")).agg(
+    return texts.groupBy("StockCode").agg(
         F.min(F.struct("_since", "Description"))["Description"].alias("description")
     )
 
 
 def dim_products(lines: DataFrame) -> DataFrame:
     """Sales and reach per product."""
-    stats = lines.groupBy(F.col("StockCode").alias("stockcode")).agg(
-        rounded(ratio(F.sum("UnitPrice"), F.count("UnitPrice")), 2).alias("avgunitprice"),
-        F.sum(F.col("Quantity").cast("bigint")).alias("totalquantitysold"),
-        F.sum("TotalAmount").alias("totalrevenue"),
-        F.countDistinct("CustomerID").alias("uniquecustomers"),
-        F.countDistinct("InvoiceNo").alias("uniqueinvoices"),
+    stats = totals_and_distincts(
+        lines,
+        "StockCode",
+        [
+            rounded(ratio(F.sum("UnitPrice"), F.count("UnitPrice")), 2).alias("avgunitprice"),
+            F.sum(F.col("Quantity").cast("bigint")).alias("totalquantitysold"),
+            F.sum("TotalAmount").alias("totalrevenue"),
+        ],
+        [
+            F.countDistinct("CustomerID").alias("uniquecustomers"),
+            F.countDistinct("InvoiceNo").alias("uniqueinvoices"),
+        ],
     )
-    products = materialize(stats.join(first_descriptions(lines), "stockcode", "left"))
+    products = materialize(stats.join(first_descriptions(lines), "StockCode", "left"))
     widest = products.agg(F.max("uniquecustomers")).scalar()
     return products.select(
-        "stockcode",
+        F.col("StockCode").alias("stockcode"),
         "description",
         "avgunitprice",
         "totalquantitysold",

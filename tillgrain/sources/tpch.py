@@ -37,8 +37,11 @@ def _cents() -> Column:
     return F.rint(F.col("l_extendedprice") * 100).cast("bigint")
 
 
-def _as_money(cents: Column, precision: int) -> Column:
-    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(f"decimal({precision},2)")
+def _as_money(cents: Column, digits: int) -> Column:
+    """Cents of up to ``digits`` digits as a decimal that still fits a machine word."""
+    return (cents.cast(f"decimal({digits},0)") * F.lit(Decimal("0.01"))).cast(
+        f"decimal({digits},2)"
+    )
 
 
 def _unit_price():
@@ -107,7 +110,7 @@ def invoices(spark: SparkSession, folder: str, country: bool = False) -> DataFra
             F.sum(F.col("l_quantity").cast("bigint")).alias("Quantity"),
             F.sum(_cents()).alias("_cents"),
         )
-        .withColumn("Amount", _as_money(F.col("_cents"), 18))
+        .withColumn("Amount", _as_money(F.col("_cents"), 15))
         .drop("_cents")
     )
     return totals.join(headers(spark, folder, country), "InvoiceNo")
