@@ -20,6 +20,10 @@ TABLES = (
 ).split()
 
 
+STRICT = bool(os.environ.get("STRICT"))
+"""Ask for equal doubles, bit by bit."""
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -45,7 +49,7 @@ def _same(a, b) -> bool:
     if a is None or b is None:
         return a is None and b is None
     if isinstance(a, (int, float)) and isinstance(b, (int, float)):
-        return a == b or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12)
+        return a == b or (not STRICT and math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12))
     return str(a) == str(b)
 
 
