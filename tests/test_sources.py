@@ -73,3 +73,19 @@ def test_sinks_refresh_fully(spark, tmp_path):
     writers.write_table(first.limit(1), "sink_check", ("year",))
     assert spark.table("sink_check").count() == 1
     spark.sql("DROP TABLE sink_check")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    df = spark.range(100).selectExpr("id % 7 AS CustomerID", "id AS v")
+    for name in ("bucket_a", "bucket_b"):
+        writers.write_table(df, name, bucket_by="CustomerID", buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("bucket_a").join(spark.table("bucket_b").select("CustomerID"), "CustomerID")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == sum(r["count"] ** 2 for r in df.groupBy("CustomerID").count().collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucket_a")
+        spark.sql("DROP TABLE bucket_b")

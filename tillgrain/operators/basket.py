@@ -109,7 +109,9 @@ def frequent_itemsets(baskets: DataFrame, config: BasketConfig = BasketConfig())
     """Itemsets of up to ``max_length`` products found in enough baskets.
 
     Returns ``itemset`` (sorted array), ``length``, ``n`` (baskets) and ``support``. An itemset
-    is frequent from ``ceil(min_support * baskets)`` on.
+    is frequent from ``ceil(min_support * baskets)`` on. The list of frequent products that codes
+    the baskets has at most ``top_products`` entries for baskets built here, and never more than
+    the mean basket size divided by ``min_support``.
     """
     if not 1 <= config.max_length <= LONGEST_SUPPORTED:
         raise ValueError(f"max_length must be between 1 and {LONGEST_SUPPORTED}")

@@ -198,17 +198,16 @@ def days_since_previous_order(orders: DataFrame) -> DataFrame:
 
 def order_stats(lines: DataFrame) -> DataFrame:
     """Size of each order and the days since the customer's previous one."""
-    orders = (
-        _with_revenue(lines)
-        .filter(F.col("CustomerID").isNotNull())
-        .groupBy("InvoiceNo")
-        .agg(
+    orders = totals_and_distincts(
+        _with_revenue(lines).filter(F.col("CustomerID").isNotNull()),
+        "InvoiceNo",
+        [
             F.sum(F.col("Quantity").cast("bigint")).alias("OrderTotalQty"),
             F.sum("Revenue").alias("OrderTotalRevenue"),
-            F.countDistinct("StockCode").alias("BasketSize"),
             F.min("CustomerID").alias("CustomerID"),
             F.min("InvoiceDate").alias("OrderDate"),
-        )
+        ],
+        [F.countDistinct("StockCode").alias("BasketSize")],
     )
     return days_since_previous_order(materialize(orders))
 

@@ -10,6 +10,7 @@ from tillgrain.config import ReportConfig
 from tillgrain.functions import calendar as cal
 from tillgrain.functions.banding import at_least, at_most, first_match
 from tillgrain.functions.numeric import percent, ratio, rounded
+from tillgrain.operators.grains import totals_and_distincts
 
 WIN_BACK = ("At Risk", "Cannot Lose Them")
 NURTURE = ("New Customers", "Promising", "Potential Loyalists")
@@ -121,18 +122,21 @@ def champions_deep_dive(customers: DataFrame, lines: DataFrame) -> DataFrame:
     Lines are aggregated before the join: a customer with very many lines is reduced on the
     map side, and the join is one row to one row.
     """
-    activity = (
-        lines.groupBy(F.col("CustomerID").alias("customerid"))
-        .agg(
-            F.countDistinct("StockCode").alias("unique_products_bought"),
-            F.countDistinct(cal.month_index(F.col("InvoiceDate"))).alias("active_months"),
+    activity = totals_and_distincts(
+        lines,
+        "CustomerID",
+        [
             F.min("InvoiceDate").alias("first_purchase"),
             F.max("InvoiceDate").alias("last_purchase"),
-        )
+        ],
+        [
+            F.countDistinct("StockCode").alias("unique_products_bought"),
+            F.countDistinct(cal.month_index(F.col("InvoiceDate"))).alias("active_months"),
+        ],
     )
     return (
         customers.filter(F.col("segment") == "Champions")
-        .join(activity, "customerid")
+        .join(activity.withColumnRenamed("CustomerID", "customerid"), "customerid")
         .orderBy(F.desc("monetary"), "customerid")
         .select(
             "customerid",
