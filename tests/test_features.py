@@ -100,6 +100,22 @@ def test_engineered_table_keeps_every_line(make_sales):
     assert expected <= set(table.columns)
 
 
+def test_score_features_on_lines(make_sales):
+    lines = make_sales(
+        *[(str(i), "A", "a", 1 + i, f"2011-01-{1 + i:02d} 08:00", 2, i, "UK") for i in range(5)],
+        ("9", "A", "a", 1, "2011-01-20 08:00", 2, 4, "UK"),
+    )
+    got = features.rfm_features(lines).select("InvoiceNo", "CustomerID", "Recency", "RFM_Score", "CustomerSegment")
+    assert rows(got) == [
+        ("0", 0, 20, "111", "Others"),
+        ("1", 1, 19, "222", "Others"),
+        ("2", 2, 18, "333", "Others"),
+        ("3", 3, 17, "444", "Loyal Customers"),
+        ("4", 4, 1, "555", "Champions"),
+        ("9", 4, 1, "555", "Champions"),
+    ]
+
+
 def _all_triples(spark):
     triples = list(product(range(1, 6), repeat=3))
     return triples, spark.createDataFrame(triples, "r int, f int, m int")

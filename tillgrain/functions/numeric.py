@@ -32,6 +32,3 @@ def money(value: Column) -> Column:
     """Amounts leave the library as double."""
     return value.cast("double")
 
-
-def grouped_integer(value: Column) -> Column:
-    return value.cast("bigint")

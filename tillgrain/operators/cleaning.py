@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tillgrain.config import CleaningConfig
 from tillgrain.functions.calendar import month_label
-from tillgrain.functions.ranking import digits_of, integer_div, order_statistics, value_of
+from tillgrain.functions.ranking import digits_of, order_statistics, value_of
 from tillgrain.session import materialize
 from tillgrain.sources.schemas import AMOUNT
 
