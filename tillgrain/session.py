@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def build_session(app: str = "tillgrain", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,14 +58,63 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables, removed when its driver ends."""
+    root = f"{shared_folder(spark)}/tillgrain-{spark.sparkContext.applicationId}"
+    if root not in _marked:
+        path, files = _hadoop(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(root)
+    return root
+
+
+def _hadoop(spark: SparkSession, location: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Intermediate tables with a life span.
+
+    ``write`` stores a frame and reads it back; ``drop`` removes tables that nothing reads any
+    more. As a context manager it removes all of its tables at the end, for callers that have
+    stored their result by then. What is left goes with the application.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def folder(self) -> str:
+        """A new folder name under the shared folder."""
+        return f"{scratch_root(self.spark)}/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, **options: str) -> DataFrame:
+        path = self.folder()
+        df.write.options(**options).parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(stored)] = (stored, path)
+        return stored
+
+    def drop(self, *stored: DataFrame) -> None:
+        for frame in stored:
+            _, location = self._paths.pop(id(frame))
+            path, files = _hadoop(self.spark, location)
+            files.delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[frame for frame, _ in self._paths.values()])
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back.
+    """Write ``df`` once and read it back; the table lives as long as the application.
 
     Used where several later steps read the same aggregate. The table cuts the lineage,
     outlives lost executors, is read column by column, and shows Spark its true size, so
     that a join against it is broadcast only below ``autoBroadcastJoinThreshold``.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tillgrain-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df)
