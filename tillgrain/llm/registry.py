@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tillgrain.llm.digests import OP2_SQL, op2_digest_index
 from tillgrain.llm.mixing import op3_fair_mix
+from tillgrain.llm.runindex import op4_run_length_dedup
 from tillgrain.llm.repeats import op9_window_dedup
 
 QUERIES = {
     "op2_digest_index": op2_digest_index,
     "op3_fair_mix": op3_fair_mix,
+    "op4_run_length_dedup": op4_run_length_dedup,
     "op9_window_dedup": op9_window_dedup,
 }
 
