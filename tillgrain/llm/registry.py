@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillgrain.llm.chosenpath import op8_chosen_path
 from tillgrain.llm.digests import OP2_SQL, op2_digest_index
 from tillgrain.llm.mixing import op3_fair_mix
 from tillgrain.llm.runindex import op4_run_length_dedup
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_digest_index": op2_digest_index,
     "op3_fair_mix": op3_fair_mix,
     "op4_run_length_dedup": op4_run_length_dedup,
+    "op8_chosen_path": op8_chosen_path,
     "op9_window_dedup": op9_window_dedup,
 }
 
