@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from tillgrain.llm.bytebpe import op5_chunked_bpe
 from tillgrain.llm.chosenpath import op8_chosen_path
 from tillgrain.llm.digests import OP2_SQL, op2_digest_index
 from tillgrain.llm.mixing import op3_fair_mix
-from tillgrain.llm.runindex import op4_run_length_dedup
 from tillgrain.llm.repeats import op9_window_dedup
+from tillgrain.llm.runindex import op4_run_length_dedup
+from tillgrain.llm.secrets import op6_layered_secrets
+from tillgrain.llm.wavelet import op1_wavelet_shards
 
 QUERIES = {
+    "op1_wavelet_shards": op1_wavelet_shards,
     "op2_digest_index": op2_digest_index,
     "op3_fair_mix": op3_fair_mix,
     "op4_run_length_dedup": op4_run_length_dedup,
+    "op5_chunked_bpe": op5_chunked_bpe,
+    "op6_layered_secrets": op6_layered_secrets,
     "op8_chosen_path": op8_chosen_path,
     "op9_window_dedup": op9_window_dedup,
 }
