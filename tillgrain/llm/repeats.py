@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillgrain.llm.common import cover, documents, mix, slices, spans_of, texts_of, width, word_hashes
+from tillgrain.llm.common import documents, mix, slices, texts_of, width, word_hashes
 
 WINDOW = 20
 #: bytes of text whose windows are compared with each other before anything is shuffled
@@ -25,7 +25,8 @@ SLICE = 12_000_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 PACKED = "bucket int, hashes binary, gaps binary, doc_ids binary, text_keys binary, bases binary, counts binary, known boolean"
-FOUND = "doc_id bigint, text_key bigint, starts binary"
+REPLY = "part int, doc_ids binary, text_keys binary, counts binary, starts binary"
+FOUND = "doc_id bigint, text_key int, begins array<bigint>, ends array<bigint>"
 
 
 def _times(a: np.uint64, b: np.uint64) -> np.uint64:
@@ -99,10 +100,10 @@ def pack(window: int, buckets: int):
                             pa.array([int(into[low])], pa.int32()),
                             pa.array([b"" if known else first[part].tobytes()], pa.binary()),
                             pa.array([_gaps(starts[part])], pa.binary()),
-                            pa.array([ids[docs].tobytes()], pa.binary()),
+                            pa.array([_gaps(ids[docs])], pa.binary()),
                             pa.array([keys[docs].tobytes()], pa.binary()),
-                            pa.array([begins[docs].tobytes()], pa.binary()),
-                            pa.array([counts.astype(np.int64).tobytes()], pa.binary()),
+                            pa.array([_gaps(begins[docs])], pa.binary()),
+                            pa.array([_narrow(counts)], pa.binary()),
                             pa.array([known], pa.bool_()),
                         ],
                         names=names,
@@ -122,112 +123,164 @@ def _seen_before(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return again
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 in the narrowest type that holds them, after a byte that names it."""
+    most = int(values.max(initial=0))
+    kind = np.dtype(np.uint16 if most < 2**16 else np.uint32 if most < 2**32 else np.uint64)
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{packed[0]}", offset=1).astype(np.int64)
+
+
 def _gaps(places: np.ndarray) -> bytes:
-    """Ascending numbers as gaps, in the narrowest type that holds them."""
-    gaps = np.diff(places, prepend=0)
-    kind = np.dtype(np.uint16 if len(gaps) and gaps[1:].max(initial=0) < 65536 and gaps[0] < 65536 else np.int64)
-    return bytes([kind.itemsize]) + gaps.astype(kind).tobytes()
+    """Ascending numbers as the first one and the gaps."""
+    return int(places[0]).to_bytes(8, "little", signed=True) + _narrow(np.diff(places).astype(np.uint64))
 
 
 def _places(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, np.uint16 if packed[0] == 2 else np.int64, offset=1).astype(np.int64))
+    gaps = np.append(int.from_bytes(packed[:8], "little", signed=True), _wide(packed[8:]))
+    return np.cumsum(gaps.astype(np.int64))
 
 
-def later(table: pa.Table) -> pa.Table:
-    """Of one bucket: the windows that start earlier too, per document and pack.
+def later(parts: int):
+    """Of one bucket: the windows that start earlier too, packed by part of the documents.
 
     Order is (doc_id, text key, start). Each pack holds a window at most once.
     """
-    packs = []
-    for row in table.to_pylist():
-        counts = np.frombuffer(row["counts"], np.int64)
-        packs.append(
-            (
-                np.frombuffer(row["hashes"], np.uint64),
-                _places(row["gaps"]) - np.repeat(np.frombuffer(row["bases"], np.int64), counts),
-                np.repeat(np.frombuffer(row["doc_ids"], np.int64), counts),
-                np.repeat(np.frombuffer(row["text_keys"], np.int64), counts),
-                np.full(counts.sum(), row["known"]),
+
+    def run(table: pa.Table) -> pa.Table:
+        packs = []
+        for row in table.to_pylist():
+            counts = _wide(row["counts"])
+            packs.append(
+                (
+                    np.frombuffer(row["hashes"], np.uint64),
+                    _places(row["gaps"]) - np.repeat(_places(row["bases"]), counts),
+                    np.repeat(_places(row["doc_ids"]), counts),
+                    np.repeat(np.frombuffer(row["text_keys"], np.int32), counts),
+                    np.full(counts.sum(), row["known"]),
+                )
+            )
+        hashes, starts, ids, keys, known = (np.concatenate(x) for x in zip(*packs, strict=True))
+        del packs
+        open_ = np.flatnonzero(~known)
+        # only hashes that occur twice need their full order
+        by_hash = np.argsort(hashes)
+        same = hashes[by_hash][1:] == hashes[by_hash][:-1]
+        twice = np.zeros(len(by_hash), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        rows = by_hash[twice]
+        places = open_[rows]
+        full = np.lexsort((starts[places], keys[places], ids[places], hashes[rows]))
+        rows, places = rows[full], places[full]
+        fresh = np.append(True, hashes[rows][1:] != hashes[rows][:-1]) if len(rows) else np.zeros(0, bool)
+        head = places[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        itself = (ids[places] == ids[head]) & (keys[places] == keys[head]) & (starts[places] == starts[head])
+        removed = np.concatenate((places[~itself], np.flatnonzero(known)))
+        part = (mix(ids[removed].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((starts[removed], keys[removed], ids[removed], part))
+        removed, part = removed[order], part[order]
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts + 1))
+        replies = []
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            at = removed[low:high]
+            heads = _heads(ids[at], keys[at])
+            replies.append(
+                (
+                    int(part[low]),
+                    _gaps(ids[at][heads]),
+                    keys[at][heads].tobytes(),
+                    _narrow(np.diff(np.append(heads, len(at)))),
+                    _narrow(starts[at]),
+                )
             )
+        columns = list(zip(*replies, strict=True)) if replies else [[]] * 5
+        kinds = [pa.int32(), *[pa.binary()] * 4]
+        names = [c.split()[0] for c in REPLY.split(", ")]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+
+    return run
+
+
+def _heads(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    return np.flatnonzero(fresh)
+
+
+def merged(window: int):
+    """Of one part of the documents: removal intervals per document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, keys, starts = [], [], []
+        for row in table.to_pylist():
+            counts = _wide(row["counts"])
+            ids.append(np.repeat(_places(row["doc_ids"]), counts))
+            keys.append(np.repeat(np.frombuffer(row["text_keys"], np.int32), counts))
+            starts.append(_wide(row["starts"]))
+        ids, keys, starts = (np.concatenate(x) for x in (ids, keys, starts))
+        order = np.lexsort((starts, keys, ids))
+        ids, keys, starts = ids[order], keys[order], starts[order]
+        heads = _heads(ids, keys)
+        # an interval ends where the next start lies beyond the window or in another document
+        opens = np.ones(len(starts), bool)
+        opens[1:] = np.diff(starts) > window
+        opens[heads] = True
+        begins = np.flatnonzero(opens)
+        ends = starts[np.append(begins[1:], len(starts)) - 1] + window
+        lists = np.append(np.searchsorted(begins, heads), len(begins)).astype(np.int32)
+        return pa.table(
+            {
+                "doc_id": pa.array(ids[heads]),
+                "text_key": pa.array(keys[heads]),
+                "begins": pa.ListArray.from_arrays(lists, starts[begins]),
+                "ends": pa.ListArray.from_arrays(lists, ends),
+            }
         )
-    known = np.concatenate([p[4] for p in packs])
-    starts, ids, keys = (np.concatenate([p[i] for p in packs]) for i in (1, 2, 3))
-    open_ = np.flatnonzero(~known)
-    hashes = np.concatenate([p[0] for p in packs])
-    # only hashes that occur twice need their full order
-    by_hash = np.argsort(hashes, kind="stable")
-    same = hashes[by_hash][1:] == hashes[by_hash][:-1]
-    twice = np.zeros(len(by_hash), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    rows = by_hash[twice]
-    places = open_[rows]
-    full = np.lexsort((starts[places], keys[places], ids[places], hashes[rows]))
-    rows, places = rows[full], places[full]
-    fresh = np.append(True, hashes[rows][1:] != hashes[rows][:-1]) if len(rows) else np.zeros(0, bool)
-    head = places[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    itself = (ids[places] == ids[head]) & (keys[places] == keys[head]) & (starts[places] == starts[head])
-    removed = np.concatenate((places[~itself], np.flatnonzero(known)))
-    order = np.lexsort((keys[removed], ids[removed]))
-    removed = removed[order]
-    fresh = np.ones(len(removed), bool)
-    fresh[1:] = (ids[removed][1:] != ids[removed][:-1]) | (keys[removed][1:] != keys[removed][:-1])
-    edges = np.append(np.flatnonzero(fresh), len(removed))
-    values = starts[removed].astype(np.uint32)
-    return pa.table(
-        {
-            "doc_id": pa.array(ids[removed][edges[:-1]], pa.int64()),
-            "text_key": pa.array(keys[removed][edges[:-1]], pa.int64()),
-            "starts": pa.array(
-                [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()
-            ),
-        }
-    )
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document the starts of its windows of ``window`` words that also start earlier.
+    """Per document the word intervals covered by windows of ``window`` words that start earlier too.
 
-    Rows (doc_id, text_key, starts), several per document. Earlier means a smaller doc_id or, in
-    one document, a smaller start; rows that share a doc_id go by their text keys, and rows that
-    share both are one document.
+    One row (doc_id, text_key, begins, ends) for each document that has such windows. Earlier
+    means a smaller doc_id or, in one document, a smaller start; rows that share a doc_id go by
+    their text keys, and rows that share both are one document.
     """
-    spark = docs.sparkSession
-    buckets = width(spark)
+    buckets = width(docs.sparkSession)
     packed = docs.select("doc_id", "text_key", "text").mapInArrow(pack(window, buckets), PACKED)
-    return packed.groupBy("bucket").applyInArrow(later, FOUND)
-
-
-def _trim(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = {"n_words": [], "n_removed": [], "kept_text": [], "spans": []}
-            texts = texts_of(batch)
-            found = batch.column(batch.schema.get_field_index("found")).to_pylist()
-            for text, parts in zip(texts, found, strict=True):
-                words = text.split()
-                kept, spans = words, []
-                if parts:
-                    begins = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in parts])).astype(np.int64)
-                    gone = cover(len(words), begins, begins + window)
-                    spans = [{"begin": int(a), "end": int(b)} for a, b in zip(*spans_of(gone), strict=True)]
-                    kept = [words[i] for i in np.flatnonzero(~gone)]
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(kept))
-                out["kept_text"].append(b" ".join(kept).decode())
-                out["spans"].append(spans)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(batch.schema.get_field_index("doc_id")),
-                    pa.array(out["n_words"], pa.int64()),
-                    pa.array(out["n_removed"], pa.int64()),
-                    pa.array(out["kept_text"], pa.string()),
-                    pa.array(out["spans"], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-                ],
-                names=["doc_id", *out],
-            )
-
-    return run
+    replies = packed.groupBy("bucket").applyInArrow(later(buckets), REPLY)
+    return replies.groupBy("part").applyInArrow(merged(window), FOUND)
+
+
+def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        out = {"n_words": [], "n_removed": [], "kept_text": []}
+        begins, ends = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("begins", "ends"))
+        for text, opened, closed in zip(texts_of(batch), begins, ends, strict=True):
+            words = text.split()
+            kept = words
+            if opened:
+                edges = zip([0, *closed], [*opened, len(words)], strict=True)
+                kept = [word for a, b in edges for word in words[a:b]]
+            out["n_words"].append(len(words))
+            out["n_removed"].append(len(words) - len(kept))
+            out["kept_text"].append(b" ".join(kept).decode())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(batch.schema.get_field_index("doc_id")),
+                pa.array(out["n_words"], pa.int64()),
+                pa.array(out["n_removed"], pa.int64()),
+                pa.array(out["kept_text"], pa.string()),
+                batch.column(batch.schema.get_field_index("begins")),
+                batch.column(batch.schema.get_field_index("ends")),
+            ],
+            names=["doc_id", *out, "begins", "ends"],
+        )
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -237,20 +290,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows that repeat doc_id and text count as one document and get equal results; rows without
     a doc_id come first. Only doc_id and text are read.
     """
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn(
-        "text_key", F.xxhash64(F.coalesce("text", F.lit("")))
-    )
-    first = F.coalesce("doc_id", F.lit(-(2**63)))
-    found = (
-        repeated_windows(keyed.withColumn("doc_id", first), window)
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_list("starts").alias("found"))
-        .withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("real_id"), "text").select(
+        "real_id",
+        F.coalesce("real_id", F.lit(-(2**63))).alias("doc_id"),
+        F.hash(F.coalesce("text", F.lit(""))).alias("text_key"),
+        "text",
     )
-    joined = keyed.join(found, (first == F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    return joined.select("doc_id", "text", "found").mapInArrow(
-        _trim(window),
-        "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<begin: bigint, end: bigint>>",
+    found = repeated_windows(keyed, window)
+    joined = keyed.join(found, ["doc_id", "text_key"], "left")
+    return joined.select(F.col("real_id").alias("doc_id"), "text", "begins", "ends").mapInArrow(
+        _trim,
+        "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, begins array<bigint>, ends array<bigint>",
     )
 
 
