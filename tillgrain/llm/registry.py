@@ -6,6 +6,7 @@ from tillgrain.llm.bytebpe import op5_chunked_bpe
 from tillgrain.llm.chosenpath import op8_chosen_path
 from tillgrain.llm.digests import OP2_SQL, op2_digest_index
 from tillgrain.llm.mixing import op3_fair_mix
+from tillgrain.llm.perplexity import op7_quality_rules
 from tillgrain.llm.repeats import op9_window_dedup
 from tillgrain.llm.runindex import op4_run_length_dedup
 from tillgrain.llm.secrets import op6_layered_secrets
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_run_length_dedup": op4_run_length_dedup,
     "op5_chunked_bpe": op5_chunked_bpe,
     "op6_layered_secrets": op6_layered_secrets,
+    "op7_quality_rules": op7_quality_rules,
     "op8_chosen_path": op8_chosen_path,
     "op9_window_dedup": op9_window_dedup,
 }
