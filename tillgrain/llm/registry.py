@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tillgrain.llm.bytebpe import op5_chunked_bpe
 from tillgrain.llm.chosenpath import op8_chosen_path
+from tillgrain.llm.crf import op10_crf_language
 from tillgrain.llm.digests import OP2_SQL, op2_digest_index
 from tillgrain.llm.mixing import op3_fair_mix
 from tillgrain.llm.perplexity import op7_quality_rules
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_chosen_path": op8_chosen_path,
     "op9_window_dedup": op9_window_dedup,
+    "op10_crf_language": op10_crf_language,
 }
 
 ORACLES = {"op2_digest_index": OP2_SQL}
