@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillgrain.llm.common import ASCII_LOWER, documents, mix, slices, texts_of, with_digest, word_hashes
+from tillgrain.llm.common import ASCII_LOWER, WORD, documents, mix, slices, texts_of, with_digest, word_hashes
 from tillgrain.llm.components import components
 from tillgrain.llm.repeats import BASES, rolling
 from tillgrain.session import Scratch
@@ -286,17 +286,17 @@ class Join:
         self.confirm(self.scratch.write(self.small_pairs(self.blocks(rows).select("members").distinct())))
 
     def result(self) -> DataFrame:
-        """doc_id, text_key, n_shingles, component_id per row."""
+        """doc_id, text_key, n_shingles, label of the component and component_id per row."""
         named = self.rows.select("doc_id", "text_key", "n_shingles", "set_key").join(self.labels, "set_key", "left")
         named = named.withColumn("label", F.coalesce("label", "set_key"))
         smallest = named.filter("set_key is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
         return named.join(smallest, "label", "left").select(
-            "doc_id", "text_key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
+            "doc_id", "text_key", "n_shingles", "label", F.coalesce("least", "doc_id").alias("component_id")
         )
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept per document.
+    """doc_id, text_key, n_shingles, label, component_id and kept per document.
 
     Documents without words are linked with nothing. Rows that share a doc_id are documents of
     their own; of a component the rows with the smallest doc_id are kept. A component of rows
@@ -308,6 +308,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     return join.result().withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents, one of each component, with all their columns.
+
+    Of a component the row with the smallest (doc_id, text key) stays, null doc_ids last; where
+    rows repeat both, one of them stays. Documents without words all stay.
+    """
+    found = near_duplicates(docs, scratch)
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    group = F.coalesce("label", "text_key")
+    heads = found.filter("n_shingles > 0").groupBy(group.alias("label")).agg(
+        F.min(key).alias("head"), F.count(F.lit(1)).alias("size")
+    )
+    kept = heads.select("head.doc_id", "head.text_key", (F.col("size") > 1).alias("shared")).alias("k")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
+        F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("worded"),
+    ).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
+    held = rows.filter("worded").join(kept, same).select("row", "d.doc_id", "d.text_key", "shared")
+    once = held.filter("shared").dropDuplicates(["doc_id", "text_key"]).select("row.*")
+    return (
+        held.filter(~F.col("shared")).select("row.*").unionByName(once)
+        .unionByName(rows.filter(~F.col("worded")).select("row.*"))
+    )
+
+
 def op8_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(documents(spark, folder), Scratch(spark))
     return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -146,19 +146,12 @@ def drop_exact_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     All columns stay. A kept (doc_id, digest) pair selects its rows; where rows repeat both,
     one of them stays.
     """
-    names = docs.columns
-    kept = exact_duplicates(docs, scratch).filter("kept").select(
-        F.col("doc_id").alias("_doc_id"),
-        F.col("text_digest").alias("_digest"),
-        (F.col("group_size") > 1).alias("_shared"),
-    )
-    rows = docs.withColumn("_digest", digest(F.col("text"))).alias("d").join(
-        kept.alias("k"),
-        (F.col("d._digest") == F.col("k._digest"))
-        & F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("k._doc_id")),
-    )
-    rows = rows.select(*[F.col(f"d.{c}") for c in names], F.col("d._digest"), "_shared")
-    single = rows.filter(~F.col("_shared")).select(*names)
-    return single.unionByName(
-        rows.filter("_shared").dropDuplicates(["_digest"]).select(*names)
-    )
+    kept = exact_duplicates(docs, scratch).filter("kept")
+    kept = kept.select("doc_id", "text_digest", (F.col("group_size") > 1).alias("shared")).alias("k")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), digest(F.col("text")).alias("text_digest")
+    ).alias("d")
+    same = (F.col("d.text_digest") == F.col("k.text_digest")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    found = rows.join(kept, same).select("row", "d.text_digest", "shared")
+    single = found.filter(~F.col("shared")).select("row.*")
+    return single.unionByName(found.filter("shared").dropDuplicates(["text_digest"]).select("row.*"))

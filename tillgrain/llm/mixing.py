@@ -9,7 +9,7 @@ finish time, and the total budget cuts the order.
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -69,11 +69,7 @@ def running_sums(rows: DataFrame, group: list[str], order: list[str], value: str
         F.coalesce(F.sum("_sum").over(earlier.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
     ).drop("_sum")
     within = W.partitionBy("_part", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    left, right = parts.alias("l"), offsets.alias("r")
-    same = F.col("l._part") == F.col("r._part")
-    for name in group:
-        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    joined = left.join(right, same).select("l.*", "_offset")
+    joined = parts.alias("l").join(offsets.alias("r"), _same("l", "r", ["_part", *group])).select("l.*", "_offset")
     return joined.withColumn(
         "before", F.col("_offset") + F.coalesce(F.sum(value).over(within), F.lit(0))
     ).drop("_part", "_offset")
@@ -155,29 +151,28 @@ def op3_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents the mix takes, whole, once per pass that takes them, with their columns."""
-    names = docs.columns
     sized = sizes_of(docs, scratch)
     mix, _ = fair_mix(sized, scratch, whole=True)
-    # rows with equal doc_id and text are told apart by nothing but their number: it suffices
-    # to know how often all of them together are taken
-    times = mix.groupBy("doc_id", "row_key", "source").agg(F.count(F.lit(1)).alias("_taken"))
-    rows = sized.groupBy("doc_id", "row_key", "source").agg(F.count(F.lit(1)).alias("_rows"))
-    wanted = times.join(
-        rows,
-        times.doc_id.eqNullSafe(rows.doc_id)
-        & (times.row_key == rows.row_key)
-        & times.source.eqNullSafe(rows.source),
-    ).select(
-        times.doc_id.alias("_id"), times.row_key.alias("_key"), times.source.alias("_source"), "_taken", "_rows"
-    )
-    found = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d").join(
-        wanted,
-        F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("_id"))
-        & (F.col("d._text_key") == F.col("_key"))
-        & F.col("d.source").cast("string").eqNullSafe(F.col("_source")),
-    )
-    # each of _rows equal rows gives its part of the _taken copies
-    share = F.when(F.col("_rows") == 1, F.col("_taken")).otherwise(F.ceil(F.col("_taken") / F.col("_rows")))
-    return found.withColumn("_pass", F.explode(F.sequence(F.lit(1), share.cast("int")))).select(
-        *[F.col(f"d.{c}") for c in names]
-    )
+    # equal rows are told apart by nothing but their number: it suffices to know how often
+    # all of them together are taken
+    key = ["doc_id", "row_key", "source"]
+    taken = mix.groupBy(*key).agg(F.count(F.lit(1)).alias("taken")).alias("t")
+    rows = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).alias("r")
+    wanted = taken.join(rows, _same("t", "r", key)).select("t.*", "rows").alias("w")
+    given = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"),
+        F.col("source").cast("string").alias("source"),
+    ).alias("d")
+    found = given.join(wanted, _same("d", "w", key)).select("row", "taken", "rows")
+    # each of some equal rows gives its part of their copies
+    share = F.when(F.col("rows") == 1, F.col("taken")).otherwise(F.ceil(F.col("taken") / F.col("rows")))
+    return found.withColumn("pass", F.explode(F.sequence(F.lit(1), share.cast("int")))).select("row.*")
+
+
+def _same(left: str, right: str, key: list[str]) -> Column:
+    match = F.lit(True)
+    for name in key:
+        match = match & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+    return match
