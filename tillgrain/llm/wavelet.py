@@ -183,8 +183,9 @@ class Shard:
         return begin, end
 
     def count(self, token: int, begin: int = 0, end: int | None = None) -> int:
-        """Occurrences of an id within [begin, end)."""
-        low, high = self._range(token, begin, self.size if end is None else end)
+        """Occurrences of an id within [begin, end), as far as there are places."""
+        last = self.size if end is None else min(end, self.size)
+        low, high = self._range(token, min(begin, last), last)
         return high - low
 
     def occurrence(self, token: int, rank: int) -> int:
