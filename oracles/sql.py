@@ -6,9 +6,38 @@ ways of computing a result check each other.
 
 from __future__ import annotations
 
-from tillgrain.operators.features import OTHER_CODES, SCORE_CODES
-from tillgrain.operators.rfm import SEGMENT_REFERENCE
-from tillgrain.plans.customer_reports import NO_UPGRADE, UPGRADE_PATHS
+# Fixed values, written out here once more so that a wrong one in the library shows.
+SCORE_CODES = {
+    "Champions": ["555", "554", "544", "545", "454", "455", "445"],
+    "Loyal Customers": ["543", "444", "435", "355", "354", "345", "344", "335"],
+    "New Customers": ["512", "511", "422", "421", "412", "411", "311"],
+    "At Risk": ["155", "154", "144", "214", "215", "115", "114"],
+    "Cannot Lose Them": [
+        "155", "254", "245", "253", "252", "243", "242", "235", "234", "225",
+        "224", "153", "152", "145", "143", "142", "135", "134", "125", "124",
+    ],
+    "Price Sensitive": ["331", "321", "231", "241", "251"],
+}
+OTHER_CODES = "Others"
+SEGMENT_REFERENCE = (
+    ("Champions", "Bought recently, buy often, spend the most", "Reward them. Early access. Ask for reviews.", 1, "#10b981"),
+    ("Loyal Customers", "Buy regularly with solid frequency", "Upsell. Loyalty programme. Referral asks.", 2, "#3b82f6"),
+    ("Potential Loyalists", "Recent buyers with low frequency — room to grow", "Membership offers. Personalised recommendations.", 3, "#6366f1"),
+    ("At Risk", "Were good customers, now going cold", "Win-back email. Renewal discount.", 4, "#f59e0b"),
+    ("Hibernating", "Low recency and low frequency — gone quiet", "Reactivation campaign. Low-cost channel.", 5, "#94a3b8"),
+    ("Lost", "Have not bought in a very long time", "Ignore or very cheap re-engagement only.", 6, "#475569"),
+    ("New Customers", "Very recent, only 1-2 orders so far", "Onboarding flow. First-purchase follow-up.", 7, "#8b5cf6"),
+    ("Promising", "Recent-ish buyers with some frequency", "Brand awareness. Free trials or samples.", 8, "#a78bfa"),
+    ("Cannot Lose Them", "High historical value but have disappeared", "Personal outreach. Special offer. ASAP.", 9, "#ef4444"),
+)
+UPGRADE_PATHS = {
+    "Potential Loyalists": "One more order → Loyal Customer",
+    "Promising": "Two more orders → Potential Loyalist",
+    "At Risk": "Recent purchase → Loyal Customer",
+    "Hibernating": "Any purchase → Promising/New Customer",
+    "New Customers": "Second purchase → Potential Loyalist",
+}
+NO_UPGRADE = "Already in top segment"
 
 HOME = "'NATION_2'"
 
@@ -74,9 +103,11 @@ CTES: dict[str, str] = {
         LEFT JOIN part ON l_partkey = p_partkey""",
     "raw": f"""
         SELECT CASE WHEN o_orderstatus = 'P' THEN 'C' ELSE '' END || o_orderkey AS InvoiceNo,
-               l_partkey AS StockCode, {PIECES} AS Quantity, {UNIT_PRICE} AS UnitPrice,
-               o_custkey AS CustomerID, o_orderdate AS InvoiceDate
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+               l_partkey AS StockCode, p_name AS Description, n_name AS Country,
+               CASE WHEN l_returnflag = 'R' THEN -{PIECES} ELSE {PIECES} END AS Quantity,
+               {UNIT_PRICE} AS UnitPrice, o_custkey AS CustomerID, o_orderdate AS InvoiceDate
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
+        LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "cust": """
         SELECT CustomerID, max(InvoiceDate) AS LastPurchaseDate,
                count(DISTINCT InvoiceNo) AS Frequency, sum(TotalAmount) AS Monetary,
@@ -344,8 +375,10 @@ _SUM = "sum(TotalAmount)"
 
 
 def _wide(value: str) -> str:
-    cells = ", ".join(f'max({value}) FILTER (idx = {i}) AS "M{i}"' for i in range(13))
-    return f'SELECT cohort AS "CohortMonth", {cells} FROM ret GROUP BY cohort'
+    every = "SELECT cohort, idx FROM (SELECT DISTINCT cohort FROM ret), range((SELECT max(idx) + 1 FROM ret)) t(idx)"
+    cells = f"""SELECT e.cohort AS "CohortMonth", 'M' || e.idx AS col, r.{value} AS v
+        FROM ({every}) e LEFT JOIN ret r ON e.cohort = r.cohort AND e.idx = r.idx"""
+    return f'SELECT * FROM (PIVOT ({cells}) ON col USING max(v) GROUP BY "CohortMonth")'
 
 
 def _split_report(units: str) -> str:
@@ -397,9 +430,9 @@ _SELECTS: dict[str, str] = {
     "clean_sales": f"""
         WITH ok AS (SELECT * FROM raw WHERE CustomerID IS NOT NULL AND InvoiceNo NOT LIKE 'C%'
                     AND Quantity > 0 AND UnitPrice > 0)
-        SELECT {_LINE}, {dbl('CAST(Quantity * UnitPrice AS DECIMAL(12,2))')} AS TotalAmount,
+        SELECT {_LINE}, Description, Country, {dbl('CAST(Quantity * UnitPrice AS DECIMAL(12,2))')} AS TotalAmount,
                strftime(InvoiceDate, '%Y-%m') AS YearMonth
-        FROM ok WHERE Quantity <= (SELECT quantile_cont(Quantity, 0.99) FROM ok)""",
+        FROM ok WHERE Quantity <= (SELECT quantile_cont(Quantity, 0.95) FROM ok)""",
     "quantity_outliers": f"""
         WITH e AS (SELECT quantile_cont(CAST(TotalAmount AS DOUBLE), 0.99) AS t FROM sales)
         SELECT count(*) AS lines, count(*) FILTER (CAST(TotalAmount AS DOUBLE) > t) AS outliers,
@@ -530,6 +563,27 @@ _SELECTS: dict[str, str] = {
             ("dim_rfm_segments", "segment", "ref"),
         )
     ),
+    "dq_given_keys": " UNION ALL ".join(
+        [
+            f"SELECT '{t}' AS tbl, 'repeated' AS rule, count(*) AS \"values\", {big('coalesce(sum(n), 0)')} AS \"rows\" "
+            f"FROM (SELECT count(*) AS n FROM {t} WHERE {' AND '.join(k + ' IS NOT NULL' for k in key)} GROUP BY {', '.join(key)} HAVING count(*) > 1) "
+            f"UNION ALL SELECT '{t}', 'missing', count(*), {big('coalesce(sum(n), 0)')} "
+            f"FROM (SELECT count(*) AS n FROM {t} WHERE {' OR '.join(k + ' IS NULL' for k in key)} GROUP BY {', '.join(key)})"
+            for t, key in (
+                ("lineitem", ("l_orderkey", "l_linenumber")), ("orders", ("o_orderkey",)),
+                ("customer", ("c_custkey",)), ("part", ("p_partkey",)),
+            )
+        ]
+        + [
+            f"SELECT '{t}', '{c} unmatched', count(DISTINCT {c}), count({c}) FROM {t} "
+            f"WHERE {c} NOT IN (SELECT {k} FROM {target})"
+            for t, c, target, k in (
+                ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+                ("lineitem", "l_partkey", "part", "p_partkey"),
+                ("orders", "o_custkey", "customer", "c_custkey"),
+            )
+        ]
+    ),
     "dq_checks": " UNION ALL ".join(
         [
             f"SELECT 'fact_transactions.{c} not null' AS rule, count(*) AS violations FROM fact WHERE {c} IS NULL"
@@ -729,7 +783,8 @@ def _complete(select: str) -> str:
         needed.add(name)
         pending |= (_words(CTES[name]) & CTES.keys()) - needed
     parts = [f"{name} AS ({body})" for name, body in CTES.items() if name in needed]
-    return f"WITH {', '.join(parts)} SELECT * FROM ({select})"
+    lead = f"WITH {', '.join(parts)} " if parts else ""
+    return f"{lead}SELECT * FROM ({select})"
 
 
 ORACLES: dict[str, str] = {name: _complete(select) for name, select in _SELECTS.items()}

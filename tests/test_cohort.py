@@ -43,7 +43,7 @@ def test_cells_and_matrices(cells):
     assert rows(cohort.retention_matrix(cells)) == [
         ("2010-12", 100.0, 50.0, None, 50.0), ("2011-01", 100.0, None, 100.0, None),
     ]
-    assert rows(cohort.revenue_matrix(cells, 1)) == [("2010-12", 15.0, 5.0), ("2011-01", 7.0, None)]
+    assert rows(cohort.revenue_matrix(cells).select("CohortMonth", "M0", "M1")) == [("2010-12", 15.0, 5.0), ("2011-01", 7.0, None)]
     assert rows(cohort.cohort_extent(cells)) == [(2, 3)]
 
 

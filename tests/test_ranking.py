@@ -28,7 +28,6 @@ def found(df, ranks, **options):
     return {(r.g, r.slot): r.v for r in out}
 
 
-@pytest.mark.parametrize("one_pass", [0, 10_000])
 @pytest.mark.parametrize(
     "values",
     [
@@ -40,20 +39,19 @@ def found(df, ranks, **options):
         [0] * 100 + [random.Random(2).randrange(10**9) for _ in range(200)],
     ],
 )
-def test_ranks_match_sorting(spark, values, one_pass):
+def test_ranks_match_sorting(spark, values):
     ordered = sorted(values)
     n = len(values)
-    got = found(table(spark, values), quantile_ranks(5), one_pass_rows=one_pass)
+    got = found(table(spark, values), quantile_ranks(5))
     assert got == {("g", k - 1): ordered[(n - 1) * k // 5] for k in range(1, 5)}
 
 
-@pytest.mark.parametrize("one_pass", [0, 10_000])
-def test_groups_and_weights(spark, one_pass):
+def test_groups_and_weights(spark):
     data = [("a", 10, 3), ("a", 20, 1), ("b", 5, 2), ("b", 2**30, 2), ("c", 9, 1)]
     df = spark.createDataFrame(data, "g string, v bigint, w bigint").select(
         "g", "w", *[d.alias(n) for d, n in zip(digits_of(F.col("v")), NAMES, strict=True)]
     )
-    got = found(df, middle_ranks, weight="w", one_pass_rows=one_pass)
+    got = found(df, middle_ranks, weight="w")
     assert got == {
         ("a", 0): 10, ("a", 1): 10,
         ("b", 0): 5, ("b", 1): 2**30,

@@ -5,7 +5,6 @@ window without partitions pulls everything into one. Both fail at billions of cu
 Here a sort key is cut into digits of at most 22 bits. Each pass counts rows per digit below
 the prefix that already holds the wanted rank. Counting combines on the map side, a pass
 shuffles at most one row per digit value, and only the few wanted prefixes are broadcast.
-Tables counted to be small are searched in a single pass.
 """
 
 from __future__ import annotations
@@ -19,10 +18,6 @@ from pyspark.sql.window import Window
 DIGIT_BITS = 22
 _MASK = (1 << DIGIT_BITS) - 1
 
-ONE_PASS_ROWS = 2_000_000
-"""Up to this many rows one task per group may sort the whole table."""
-
-
 def digits_of(value: Column) -> list[Column]:
     """A bigint as three digits whose lexicographic order is the numeric order."""
     v = value.cast("bigint")
@@ -66,7 +61,6 @@ def order_statistics(
     digits: Sequence[str],
     ranks: Callable[[Column], Column],
     weight: str | None = None,
-    one_pass_rows: int = ONE_PASS_ROWS,
 ) -> DataFrame:
     """The sort keys at the wanted ranks of every group.
 
@@ -75,13 +69,11 @@ def order_statistics(
     of zero-based ranks. Returns one row ``(group, slot, *digits)`` per wanted rank, where
     ``slot`` is the position in that array.
 
-    ``rows`` is read once per digit, so hand in a materialized table. A table that is counted
-    to be small is searched on all digits in one pass.
+    ``rows`` is read once per digit, so hand in a materialized table.
     """
     copies = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    depth = len(digits) if rows.count() <= one_pass_rows else 1
-    lead = list(digits[:depth])
+    lead = [digits[0]]
     in_group = Window.partitionBy(group)
     found = _narrow(
         rows.groupBy(group, *lead)
@@ -95,7 +87,7 @@ def order_statistics(
         .withColumn("_wanted", F.transform(ranks(F.col("_total")), _slot)),
         [group, *lead],
     )
-    for depth in range(depth, len(digits)):
+    for depth in range(1, len(digits)):
         prefix = [group, *digits[:depth]]
         held = found.groupBy(*prefix).agg(F.collect_list(F.struct("slot", "rank")).alias("_wanted"))
         within = Window.partitionBy(*prefix).orderBy(digits[depth]).rowsBetween(*so_far)

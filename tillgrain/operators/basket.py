@@ -49,11 +49,11 @@ def top_items(pairs: DataFrame, config: BasketConfig = BasketConfig()) -> DataFr
 def basket_pairs(items: DataFrame, config: BasketConfig = BasketConfig()) -> DataFrame:
     """Invoice and product of the top products; the broadcast list has ``top_products`` rows.
 
-    The pairs are written because they are needed twice and cost a shuffle of all lines.
+    Products are counted first, and only the pairs of the top ones are kept and stored.
     """
-    pairs = materialize(invoice_items(items))
-    top = top_items(pairs, config).select("Item")
-    return pairs.join(F.broadcast(top), "Item", "left_semi")
+    top = materialize(top_items(invoice_items(items), config).select("Item"))
+    kept = items.join(F.broadcast(top.withColumnRenamed("Item", "Description")), "Description", "left_semi")
+    return materialize(invoice_items(kept))
 
 
 def _multi_item(pairs: DataFrame) -> DataFrame:
@@ -76,10 +76,10 @@ def baskets(lines: DataFrame, config: BasketConfig = BasketConfig()) -> DataFram
 
 
 def basket_lines(lines: DataFrame, config: BasketConfig = BasketConfig()) -> DataFrame:
-    """The lines behind the baskets."""
-    items = item_lines(lines, config)
+    """The lines behind the baskets; they are read once to find the products, once to keep theirs."""
+    items = materialize(item_lines(lines, config))
     top = top_items(invoice_items(items), config).select(F.col("Item").alias("Description"))
-    kept = items.join(F.broadcast(top), "Description", "left_semi")
+    kept = materialize(items.join(F.broadcast(top), "Description", "left_semi"))
     several = materialize(
         kept.groupBy("InvoiceNo")
         .agg(F.countDistinct("Description").alias("_size"))

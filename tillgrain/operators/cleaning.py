@@ -28,19 +28,31 @@ def completed_sales(raw: DataFrame, config: CleaningConfig = CleaningConfig()) -
 def _scale(df: DataFrame, column: str) -> int:
     kind = df.schema[column].dataType
     if isinstance(kind, T.DecimalType):
+        if kind.scale > 18:
+            raise TypeError(f"exact quantiles keep at most 18 decimals, not {kind.scale}")
         return kind.scale
     if isinstance(kind, T.IntegralType):
         return 0
     raise TypeError(f"exact quantiles need an integer or decimal column, not {kind.simpleString()}")
 
 
+def _unscaled(value: Column, scale: int) -> Column:
+    """The decimal without its point; what does not fit a bigint is an error."""
+    whole = F.floor(value)
+    rest = ((value - whole).cast(f"decimal({scale + 1},{scale})") * F.lit(10**scale).cast("decimal(19,0)")).cast("bigint")
+    room = F.abs(whole) < (2**63 - 1) // 10**scale - 1
+    return F.when(
+        value.isNull() | room, whole.cast("bigint") * F.lit(10**scale).cast("bigint") + rest
+    ).otherwise(F.raise_error(F.lit("value too large for an exact quantile")))
+
+
 def exact_quantile(df: DataFrame, column: str, fraction: float) -> DataFrame:
     """One row: the linearly interpolated quantile and the value just below or at it.
 
     The lines are read once, to count each distinct value; the search runs on those counts.
     """
     scale = _scale(df, column)
-    unscaled = (F.col(column).cast("decimal(38,6)") * 10**scale).cast("bigint")
+    unscaled = _unscaled(F.col(column), scale)
     names = ["_high", "_mid", "_low"]
     counts = materialize(
         df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_copies"))

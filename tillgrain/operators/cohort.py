@@ -101,11 +101,15 @@ def revenue_long(cells: DataFrame) -> DataFrame:
 def wide(long: DataFrame, value: str, last_index: int) -> DataFrame:
     """One row per cohort with columns M0 … M<last_index>; cells without data are null.
 
-    Naming the columns saves the pass that would look for them.
+    Naming the columns saves the pass that would look for them. A cell past the last column is
+    an error, so that no view drops data unseen.
     """
+    index = F.col("CohortIndex")
+    column = F.when(index <= last_index, F.concat(F.lit("M"), index.cast("string"))).otherwise(
+        F.raise_error(F.concat(F.lit(f"a cell lies past M{last_index}: M"), index.cast("string")))
+    )
     return (
-        long.filter(F.col("CohortIndex") <= last_index)
-        .withColumn("_column", F.concat(F.lit("M"), F.col("CohortIndex").cast("string")))
+        long.withColumn("_column", column)
         .groupBy("CohortMonth")
         .pivot("_column", [f"M{i}" for i in range(last_index + 1)])
         .agg(F.max(value))

@@ -16,7 +16,7 @@ from tillgrain.config import PRICE_EDGES, PRICE_LABELS, RfmConfig
 from tillgrain.functions import calendar as cal
 from tillgrain.functions.banding import between_edges, first_match
 from tillgrain.functions.numeric import ratio
-from tillgrain.operators.grains import invoice_grain, totals_and_distincts
+from tillgrain.operators.grains import invoice_grain, order_count, totals_and_distincts
 from tillgrain.operators.rfm import rfm_base, score_rfm
 from tillgrain.session import materialize
 from tillgrain.sources.schemas import AMOUNT
@@ -84,7 +84,7 @@ def customer_stats(invoices: DataFrame) -> DataFrame:
         invoices.filter(F.col("CustomerID").isNotNull())
         .groupBy("CustomerID")
         .agg(
-            F.countDistinct("InvoiceNo").alias("TotalOrders"),
+            order_count(invoices).alias("TotalOrders"),
             F.sum("Quantity").alias("TotalItems"),
             F.sum("Amount").alias("TotalSpend"),
             F.min("InvoiceDate").alias("FirstPurchase"),
@@ -101,6 +101,7 @@ def customer_stats(invoices: DataFrame) -> DataFrame:
 
 
 def customer_features(lines: DataFrame) -> DataFrame:
+    lines = materialize(lines)
     stats = materialize(customer_stats(revenue_invoices(lines)))
     return lines.join(stats, "CustomerID", "left")
 
@@ -155,6 +156,7 @@ def product_stats(lines: DataFrame) -> DataFrame:
 
 
 def product_features(lines: DataFrame) -> DataFrame:
+    lines = materialize(lines)
     return lines.join(product_stats(lines), "StockCode", "left")
 
 
@@ -213,6 +215,7 @@ def order_stats(lines: DataFrame) -> DataFrame:
 
 
 def order_features(lines: DataFrame) -> DataFrame:
+    lines = materialize(lines)
     stats = materialize(order_stats(lines).drop("CustomerID", "OrderDate"))
     return lines.join(stats, "InvoiceNo", "left")
 
@@ -248,18 +251,22 @@ def engineered_sales(
 ) -> DataFrame:
     """All features on one table.
 
+    The lines, which may be a join, are written once and everything is taken from there.
     Customer, score and country features come from one written invoice grain. Customer, score
     and order features are attached to the pairs of invoice and customer first, so that the
-    lines are shuffled once for all of them.
+    lines are shuffled once for all of them. All of a customer's figures are one written table,
+    so that the pairs of a hot customer can be split.
     """
+    lines = materialize(lines)
     base = lines.transform(datetime_features).transform(price_features, price_edges, price_labels)
     invoices = materialize(revenue_invoices(base))
+    of_customer = materialize(
+        customer_stats(invoices).join(rfm_code_stats(invoices, rfm), "CustomerID", "left")
+    )
     pairs = (
-        invoices.select("InvoiceNo", "CustomerID")
-        .distinct()
-        .join(customer_stats(invoices), "CustomerID", "left")
-        .join(rfm_code_stats(invoices, rfm), "CustomerID", "left")
-        .join(order_stats(base).drop("CustomerID", "OrderDate"), "InvoiceNo", "left")
+        materialize(invoices.select("InvoiceNo", "CustomerID").distinct())
+        .join(of_customer, "CustomerID", "left")
+        .join(materialize(order_stats(base).drop("CustomerID", "OrderDate")), "InvoiceNo", "left")
     )
     return (
         home_flag(base, home_market)

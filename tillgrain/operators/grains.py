@@ -14,6 +14,25 @@ from pyspark.sql import functions as F
 from tillgrain.functions.calendar import month_index
 
 
+UNIQUE = "one_row_per_value"
+
+
+def unique(column: Column, name: str) -> Column:
+    """Mark a column of a grain that has one row per value of it."""
+    return column.alias(name, metadata={UNIQUE: True})
+
+
+def order_count(invoices: DataFrame) -> Column:
+    """Orders within a group of the invoice grain: rows, where each invoice is known to be one row.
+
+    Lines from files may give an invoice several rows (two time stamps, two countries); then the
+    numbers are counted apart.
+    """
+    if invoices.schema["InvoiceNo"].metadata.get(UNIQUE):
+        return F.count(F.lit(1))
+    return F.countDistinct("InvoiceNo")
+
+
 def invoice_grain(lines: DataFrame) -> DataFrame:
     """Lines, pieces and amount per invoice, customer, time stamp and country."""
     keys = [c for c in ("InvoiceNo", "CustomerID", "InvoiceDate", "Country") if c in lines.columns]

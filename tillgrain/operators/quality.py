@@ -94,6 +94,36 @@ def primary_keys(star: Star) -> DataFrame:
     return _stack([check(name, key) for name, key in PRIMARY_KEYS.items()])
 
 
+def table_keys(
+    tables: dict[str, DataFrame],
+    keys: dict[str, list[str]],
+    links: dict[tuple[str, str], tuple[str, str]],
+) -> DataFrame:
+    """Key faults of tables as given: (tbl, rule, values, rows).
+
+    ``repeated`` counts key values found on several rows and those rows, ``missing`` rows with
+    a null in the key, and a link's ``unmatched`` the values without a target and their rows.
+    Rows are counted per value on the map side before anything is compared.
+    """
+
+    def fault(table: str, rule: str, counted: DataFrame) -> DataFrame:
+        return counted.agg(
+            F.count(F.lit(1)).alias("values"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows")
+        ).select(F.lit(table).alias("tbl"), F.lit(rule).alias("rule"), "values", "rows")
+
+    found = []
+    for table, key in keys.items():
+        counted = tables[table].groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+        absent = reduce(Column.__or__, [F.col(k).isNull() for k in key])
+        found.append(fault(table, "repeated", counted.filter(~absent & (F.col("_rows") > 1))))
+        found.append(fault(table, "missing", counted.filter(absent)))
+    for (table, column), (target, key) in links.items():
+        used = tables[table].filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
+        known = tables[target].select(F.col(key).alias(column))
+        found.append(fault(table, f"{column} unmatched", used.join(known, column, "left_anti")))
+    return _stack(found)
+
+
 def value_rules(star: Star) -> DataFrame:
     """Violations of NOT NULL and of the score range, one pass per table."""
 
@@ -109,14 +139,21 @@ def value_rules(star: Star) -> DataFrame:
     )
 
 
-def segment_revenue(customers: DataFrame) -> DataFrame:
-    """Customers, revenue and mean line value per segment."""
+def segment_revenue(fact: DataFrame, customers: DataFrame) -> DataFrame:
+    """Customers, revenue and mean line value per segment, as the fact has them.
+
+    The fact is summed per customer first, on the map side, so the join is one row to one row.
+    """
+    spent = fact.groupBy("customerid").agg(
+        F.sum("totalamount").alias("_spent"), F.count(F.lit(1)).alias("_rows")
+    )
     return (
-        customers.groupBy("segment")
+        spent.join(customers.select("customerid", "segment"), "customerid")
+        .groupBy("segment")
         .agg(
             F.count(F.lit(1)).alias("customers"),
-            F.sum("monetary").alias("_revenue"),
-            F.sum("lines").alias("_lines"),
+            F.sum("_spent").alias("_revenue"),
+            F.sum("_rows").alias("_lines"),
         )
         .select(
             "segment",

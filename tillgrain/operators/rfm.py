@@ -21,6 +21,7 @@ from tillgrain.functions.ranking import (
     quantile_ranks,
     value_of,
 )
+from tillgrain.operators.grains import order_count
 from tillgrain.session import materialize
 from tillgrain.sources.schemas import MONEY_UNITS
 
@@ -53,6 +54,7 @@ SEGMENT_REFERENCE = (
     ("Cannot Lose Them", "High historical value but have disappeared", "Personal outreach. Special offer. ASAP.", 9, "#ef4444"),
 )
 
+# Segments that call for attention.
 INSIGHT_SEGMENTS = ("Champions", "At Risk", "Cannot Lose Them")
 
 
@@ -72,7 +74,7 @@ def rfm_base(invoices: DataFrame, config: RfmConfig = RfmConfig()) -> DataFrame:
     grouped = materialize(
         invoices.groupBy("CustomerID").agg(
             F.max("InvoiceDate").alias("LastPurchaseDate"),
-            F.countDistinct("InvoiceNo").alias("Frequency"),
+            order_count(invoices).alias("Frequency"),
             F.sum("Amount").alias("Monetary"),
             F.sum("Lines").alias("Lines"),
         )

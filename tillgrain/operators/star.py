@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tillgrain.config import RfmConfig
 from tillgrain.functions import calendar as cal
 from tillgrain.functions.numeric import ratio, ratio_or_zero, rounded
-from tillgrain.operators.grains import invoice_grain, totals_and_distincts
+from tillgrain.operators.grains import invoice_grain, order_count, totals_and_distincts
 from tillgrain.operators.rfm import rfm_segments, segment_reference
 from tillgrain.session import materialize
 from tillgrain.sources.schemas import STAR_TYPES
@@ -57,7 +57,8 @@ def first_descriptions(lines: DataFrame) -> DataFrame:
 
 
 def dim_products(lines: DataFrame) -> DataFrame:
-    """Sales and reach per product."""
+    """Sales and reach per product, from lines that are written once."""
+    lines = materialize(lines)
     stats = totals_and_distincts(
         lines,
         "StockCode",
@@ -111,7 +112,7 @@ def dim_geography(invoices: DataFrame, home_market: str = "United Kingdom") -> D
         .groupBy(F.col("Country").alias("country"))
         .agg(
             F.sum("Amount").alias("_revenue"),
-            F.countDistinct("InvoiceNo").alias("totalorders"),
+            order_count(invoices).alias("totalorders"),
             F.countDistinct("CustomerID").alias("uniquecustomers"),
         )
     )
@@ -184,7 +185,7 @@ class Star:
         return cls(
             dim_customers=dim_customers(rfm_segments(invoices, rfm)),
             dim_products=dim_products(lines),
-            dim_date=dim_date(lines),
+            dim_date=dim_date(invoices),
             dim_geography=dim_geography(invoices, home_market),
             dim_rfm_segments=segment_reference(lines.sparkSession),
             fact_transactions=fact_transactions(lines),
@@ -195,15 +196,26 @@ class Star:
         return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
 
     def write(self, folder: str) -> None:
-        """Full refresh, dimensions first; the fact is partitioned by year and month."""
+        """Full refresh, dimensions first; the fact is partitioned by year and month.
+
+        Tables are stored with the published columns and types; the segment reference has none
+        beyond its own.
+        """
         for f in fields(self):
             frame = getattr(self, f.name)
+            if f.name in STAR_TYPES:
+                frame = as_published(frame, f.name)
             partitions = FACT_PARTITIONS if f.name == "fact_transactions" else ()
             write_parquet(frame, f"{folder}/{f.name}", partitions)
 
 
 def as_published(frame: DataFrame, name: str) -> DataFrame:
-    """Columns and types of the published schema."""
-    return frame.select(
-        *[F.col(column).cast(kind).alias(column) for column, kind in STAR_TYPES[name].items()]
-    )
+    """Columns and types of the published schema; a value its type cannot hold is an error."""
+
+    def held(column: str, kind: str) -> Column:
+        value = F.col(column)
+        narrow = value.try_cast(kind)
+        refused = F.raise_error(F.concat(F.lit(f"{name}.{column} exceeds {kind}: "), value.cast("string")))
+        return F.when(value.isNull() | narrow.isNotNull(), narrow).otherwise(refused).cast(kind).alias(column)
+
+    return frame.select(*[held(column, kind) for column, kind in STAR_TYPES[name].items()])

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillgrain.config import BasketConfig, Ladder, ReportConfig, Step
+from tillgrain.config import BasketConfig, CleaningConfig, Ladder, ReportConfig, Step
 from tillgrain.operators import basket, cleaning, cohort, features, quality, rfm
 from tillgrain.operators.grains import customer_months
 from tillgrain.operators.star import (
-    Star,
     dim_customers,
     dim_date,
     dim_geography,
@@ -119,22 +118,56 @@ def _products(spark: SparkSession, folder: str) -> DataFrame:
     return dim_products(_lines(spark, folder, *_PRODUCT_COLUMNS))
 
 
-def _star(spark: SparkSession, folder: str) -> Star:
-    """The star with its dimensions as written tables, since checks read them more than once."""
-    return Star(
-        dim_customers=_customers(spark, folder),
-        dim_products=_products(spark, folder),
-        dim_date=materialize(dim_date(_lines(spark, folder, "InvoiceDate"))),
-        dim_geography=materialize(_geography(spark, folder)),
-        dim_rfm_segments=rfm.segment_reference(spark),
-        fact_transactions=_fact(spark, folder),
-    )
+class _LazyStar:
+    """The star over the order tables; a table is built when a check first asks for it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._builders = {
+            "dim_customers": lambda: _customers(spark, folder),
+            "dim_products": lambda: materialize(_products(spark, folder)),
+            "dim_date": lambda: materialize(dim_date(tpch.headers(spark, folder))),
+            "dim_geography": lambda: materialize(_geography(spark, folder)),
+            "dim_rfm_segments": lambda: rfm.segment_reference(spark),
+            "fact_transactions": lambda: _fact(spark, folder),
+        }
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self._builders:
+            raise AttributeError(name)
+        table = self._builders[name]()
+        setattr(self, name, table)
+        return table
+
+
+def _star(spark: SparkSession, folder: str) -> _LazyStar:
+    return _LazyStar(spark, folder)
+
+
+def _given_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated, missing and unmatched keys of the given tables."""
+    keys = {
+        "lineitem": ["l_orderkey", "l_linenumber"],
+        "orders": ["o_orderkey"],
+        "customer": ["c_custkey"],
+        "part": ["p_partkey"],
+    }
+    links = {
+        ("lineitem", "l_orderkey"): ("orders", "o_orderkey"),
+        ("lineitem", "l_partkey"): ("part", "p_partkey"),
+        ("orders", "o_custkey"): ("customer", "c_custkey"),
+    }
+    return quality.table_keys({n: tpch.table(spark, folder, n) for n in keys}, keys, links)
 
 
 def _cells(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.cohort_cells(tpch.invoices(spark, folder))
 
 
+def _cohort_counts(spark: SparkSession, folder: str) -> DataFrame:
+    cells = materialize(_cells(spark, folder))
+    return cohort.wide(cohort.cohort_counts(cells), "Customers", cohort.last_index(cells))
+
+
 def _retention(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.retention_long(_cells(spark, folder))
 
@@ -203,7 +236,9 @@ def _quantity_outliers(spark: SparkSession, folder: str) -> DataFrame:
 _ANALYSES: dict[str, Query] = {
     # sources and cleaning
     "load_sales_lines": lambda s, d: validate(_lines(s, d), RFM_REQUIRED),
-    "clean_sales": lambda s, d: cleaning.clean_sales(tpch.raw_lines(s, d)),
+    "clean_sales": lambda s, d: cleaning.clean_sales(
+        tpch.raw_lines(s, d, return_flag="R"), CleaningConfig(quantity_quantile=0.95)
+    ),
     "quantity_outliers": _quantity_outliers,
     # features
     "datetime_features": lambda s, d: features.datetime_features(
@@ -235,11 +270,11 @@ _ANALYSES: dict[str, Query] = {
         _lines(s, d, "InvoiceNo", "CustomerID", "InvoiceDate", "TotalAmount")
     ),
     "cohort_extent": lambda s, d: cohort.cohort_extent(_cells(s, d)),
-    "cohort_counts": lambda s, d: cohort.wide(cohort.cohort_counts(_cells(s, d)), "Customers", 12),
+    "cohort_counts": _cohort_counts,
     "cohort_retention_long": _retention,
-    "cohort_retention_matrix": lambda s, d: cohort.retention_matrix(_cells(s, d), 12),
+    "cohort_retention_matrix": lambda s, d: cohort.retention_matrix(materialize(_cells(s, d))),
     "cohort_revenue_long": lambda s, d: cohort.revenue_long(_cells(s, d)),
-    "cohort_revenue_matrix": lambda s, d: cohort.revenue_matrix(_cells(s, d), 12),
+    "cohort_revenue_matrix": lambda s, d: cohort.revenue_matrix(materialize(_cells(s, d))),
     "cohort_summary": lambda s, d: cohort.cohort_summary(_retention(s, d)),
     "cohort_best_worst": lambda s, d: cohort.best_and_worst(cohort.cohort_summary(_retention(s, d))),
     # baskets
@@ -258,7 +293,7 @@ _ANALYSES: dict[str, Query] = {
     "rfm_segment_reference": _segment_reference,
     "dim_customers": _customers,
     "dim_products": _products,
-    "dim_date": lambda s, d: dim_date(_lines(s, d, "InvoiceDate")),
+    "dim_date": lambda s, d: dim_date(tpch.invoices(s, d)),
     "dim_geography": _geography,
     "fact_transactions": _fact,
     "star_row_counts": lambda s, d: quality.row_counts(_star(s, d)),
@@ -267,8 +302,9 @@ _ANALYSES: dict[str, Query] = {
     ),
     "dq_foreign_keys": lambda s, d: quality.foreign_keys(_star(s, d)),
     "dq_primary_keys": lambda s, d: quality.primary_keys(_star(s, d)),
+    "dq_given_keys": _given_keys,
     "dq_checks": lambda s, d: quality.value_rules(_star(s, d)),
-    "verify_segment_revenue": lambda s, d: quality.segment_revenue(_customers(s, d)),
+    "verify_segment_revenue": lambda s, d: quality.segment_revenue(_fact(s, d), _customers(s, d)),
     "verify_top_customers": lambda s, d: quality.top_spenders(_customers(s, d)),
     "verify_top_countries": lambda s, d: quality.top_countries(_geography(s, d)),
     # customer reports

@@ -11,7 +11,9 @@ from tillgrain.functions import calendar as cal
 from tillgrain.functions.banding import at_least, at_most, first_match
 from tillgrain.functions.numeric import percent, ratio, rounded
 from tillgrain.operators.grains import totals_and_distincts
+from tillgrain.session import materialize
 
+# Segments by the campaign they belong to.
 WIN_BACK = ("At Risk", "Cannot Lose Them")
 NURTURE = ("New Customers", "Promising", "Potential Loyalists")
 TOP_SEGMENTS = ("Champions", "Loyal Customers")
@@ -59,7 +61,7 @@ def _overview(customers: DataFrame, reference: DataFrame, weight) -> DataFrame:
             mean("recency").alias("_days"),
             mean("frequency").alias("_orders"),
         )
-        .join(reference.select("segment", "marketingaction", "priority"), "segment")
+        .join(F.broadcast(reference.select("segment", "marketingaction", "priority")), "segment")
         .withColumns(
             {
                 "_all": F.sum("_customers").over(_whole()),
@@ -119,11 +121,14 @@ def top_customers(customers: DataFrame, config: ReportConfig = ReportConfig()) -
 def champions_deep_dive(customers: DataFrame, lines: DataFrame) -> DataFrame:
     """Breadth and span of what champions buy.
 
-    Lines are aggregated before the join: a customer with very many lines is reduced on the
-    map side, and the join is one row to one row.
+    Only the lines of champions are counted. Lines are aggregated before the last join: a
+    customer with very many lines is reduced on the map side, and the join is one row to one row.
     """
+    champions = materialize(
+        customers.filter(F.col("segment") == "Champions").select(F.col("customerid").alias("CustomerID"))
+    )
     activity = totals_and_distincts(
-        lines,
+        materialize(lines.join(champions, "CustomerID", "left_semi")),
         "CustomerID",
         [
             F.min("InvoiceDate").alias("first_purchase"),
@@ -157,7 +162,7 @@ def winback_list(customers: DataFrame, reference: DataFrame) -> DataFrame:
     at_risk = F.col("avgordervalue").cast("double") * F.col("frequency")
     return (
         customers.filter(F.col("segment").isin(*WIN_BACK))
-        .join(reference.select("segment", "marketingaction"), "segment")
+        .join(F.broadcast(reference.select("segment", "marketingaction")), "segment")  # nine rows
         .orderBy(F.desc("monetary"), "customerid")
         .select(
             F.col("customerid").alias("CustomerID"),

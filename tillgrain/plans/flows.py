@@ -97,7 +97,7 @@ def run_warehouse(
         "foreign_keys": quality.foreign_keys(star),
         "value_rules": quality.value_rules(star),
         "top_customers": quality.top_spenders(star.dim_customers),
-        "segment_revenue": quality.segment_revenue(star.dim_customers),
+        "segment_revenue": quality.segment_revenue(star.fact_transactions, star.dim_customers),
         "top_countries": quality.top_countries(star.dim_geography),
     }
     return star, checks

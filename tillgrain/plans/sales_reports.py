@@ -14,10 +14,7 @@ from tillgrain.config import ReportConfig
 from tillgrain.functions import calendar as cal
 from tillgrain.functions.banding import at_least, first_match
 from tillgrain.functions.numeric import money, percent, ratio, rounded
-
-
-def _orders() -> Column:
-    return F.countDistinct("InvoiceNo")
+from tillgrain.operators.grains import order_count
 
 
 def _buyers() -> Column:
@@ -55,7 +52,7 @@ def monthly_revenue(invoices: DataFrame) -> DataFrame:
     return (
         invoices.groupBy(cal.month_label(_date()).alias("Month"))
         .agg(
-            _orders().alias("_orders"),
+            order_count(invoices).alias("_orders"),
             _buyers().alias("_buyers"),
             _revenue().alias("_revenue"),
             F.sum("Lines").alias("_lines"),
@@ -84,7 +81,7 @@ def quarterly_revenue(invoices: DataFrame) -> DataFrame:
             F.year(_date()).alias("Year"),
             F.quarter(_date()).alias("Q"),
         )
-        .agg(_orders().alias("_orders"), _buyers().alias("_buyers"), _revenue().alias("_revenue"))
+        .agg(order_count(invoices).alias("_orders"), _buyers().alias("_buyers"), _revenue().alias("_revenue"))
         .select(
             "Quarter",
             "Year",
@@ -107,7 +104,7 @@ def dow_pattern(invoices: DataFrame) -> DataFrame:
             cal.day_name(_date()).alias("Day"),
             cal.weekend_flag(_date()).alias("Is_Weekend"),
         )
-        .agg(_orders().alias("_orders"), _buyers().alias("_buyers"), _revenue().alias("_revenue"))
+        .agg(order_count(invoices).alias("_orders"), _buyers().alias("_buyers"), _revenue().alias("_revenue"))
         .select(
             "Day_Number",
             "Day",
@@ -133,7 +130,7 @@ def seasonality_index(invoices: DataFrame) -> DataFrame:
     mean = ratio(total, F.count(F.lit(1)).over(_whole()))
     return (
         invoices.groupBy(F.month(_date()).alias("Month_Number"), cal.month_name(_date()).alias("Month"))
-        .agg(_orders().alias("_orders"), _revenue().alias("_revenue"), F.sum("Lines").alias("_lines"))
+        .agg(order_count(invoices).alias("_orders"), _revenue().alias("_revenue"), F.sum("Lines").alias("_lines"))
         .select(
             "Month_Number",
             "Month",
@@ -209,7 +206,7 @@ def aov_trend(invoices: DataFrame) -> DataFrame:
     last_three = _whole().orderBy("Month").rowsBetween(-2, Window.currentRow)
     return (
         invoices.groupBy(cal.month_label(_date()).alias("Month"))
-        .agg(_orders().alias("_orders"), _revenue().alias("_revenue"))
+        .agg(order_count(invoices).alias("_orders"), _revenue().alias("_revenue"))
         .withColumn("_aov", _order_value())
         .select(
             "Month",
@@ -229,7 +226,7 @@ def home_vs_international(invoices: DataFrame, config: ReportConfig = ReportConf
     return (
         invoices.filter(F.col("Country").isNotNull())
         .groupBy(market.alias("Market"))
-        .agg(_orders().alias("_orders"), _buyers().alias("_buyers"), _revenue().alias("_revenue"))
+        .agg(order_count(invoices).alias("_orders"), _buyers().alias("_buyers"), _revenue().alias("_revenue"))
         .select(
             "Market",
             F.col("_buyers").alias("Customers"),
@@ -331,7 +328,7 @@ def exec_summary(invoices: DataFrame, lines: DataFrame, customers: DataFrame) ->
     return (
         invoices.agg(
             _revenue().alias("_revenue"),
-            _orders().alias("_orders"),
+            order_count(invoices).alias("_orders"),
             _buyers().alias("_buyers"),
             F.countDistinct("Country").alias("_countries"),
             F.min("InvoiceDate").alias("_from"),

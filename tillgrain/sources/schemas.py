@@ -95,4 +95,4 @@ STAR_TYPES = {
         "yearmonth": "string",
     },
 }
-"""Column types of the published schema, applied when the tables are written under it."""
+"""Column types of the published schema, applied when the tables are written."""

@@ -13,6 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillgrain.operators.grains import unique
 from tillgrain.session import tune
 
 ALL_COLUMNS = (
@@ -113,11 +114,18 @@ def invoices(spark: SparkSession, folder: str, country: bool = False) -> DataFra
         .withColumn("Amount", _as_money(F.col("_cents"), 15))
         .drop("_cents")
     )
-    return totals.join(headers(spark, folder, country), "InvoiceNo")
+    joined = totals.join(headers(spark, folder, country), "InvoiceNo")
+    return joined.withColumn("InvoiceNo", unique(F.col("InvoiceNo"), "InvoiceNo"))
 
 
-def raw_lines(spark: SparkSession, folder: str, cancel_status: str = "P") -> DataFrame:
-    """Uncleaned lines: orders of ``cancel_status`` carry the cancel prefix in their number."""
+def raw_lines(
+    spark: SparkSession, folder: str, cancel_status: str = "P", return_flag: str | None = None
+) -> DataFrame:
+    """Uncleaned lines with all input columns.
+
+    Orders of ``cancel_status`` carry the cancel prefix in their number; lines of
+    ``return_flag`` are returns, with a negative quantity.
+    """
     tune(spark)
     marked = F.when(F.col("o_orderstatus") == cancel_status, F.lit("C")).otherwise(F.lit(""))
     orders = table(spark, folder, "orders").select(
@@ -125,15 +133,21 @@ def raw_lines(spark: SparkSession, folder: str, cancel_status: str = "P") -> Dat
         F.concat(marked, F.col("o_orderkey").cast("string")).alias("InvoiceNo"),
         F.col("o_custkey").alias("CustomerID"),
         F.col("o_orderdate").alias("InvoiceDate"),
+    ).join(countries(spark, folder), "CustomerID", "left")
+    pieces = F.col("l_quantity").cast("int")
+    returned = F.coalesce(F.col("l_returnflag") == return_flag, F.lit(False)) if return_flag else F.lit(False)
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("StockCode"), F.col("p_name").alias("Description")
     )
     return (
         table(spark, folder, "lineitem")
         .select(
             "l_orderkey",
             F.col("l_partkey").alias("StockCode"),
-            F.col("l_quantity").cast("int").alias("Quantity"),
+            F.when(returned, -pieces).otherwise(pieces).alias("Quantity"),
             _unit_price().alias("UnitPrice"),
         )
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(parts, "StockCode", "left")
         .drop("l_orderkey", "o_orderkey")
     )
