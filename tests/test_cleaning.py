@@ -48,3 +48,21 @@ def test_quantile_needs_exact_types(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     with pytest.raises(TypeError):
         cleaning.exact_quantile(df, "x", 0.5)
+
+
+def test_quantile_of_fine_decimals(spark):
+    from decimal import Decimal
+
+    values = [Decimal(x).scaleb(-8) for x in (-7, 503, 507, 10**15 + 1)]
+    df = spark.createDataFrame([(v,) for v in values], "v decimal(24,8)")
+    found = cleaning.exact_quantile(df, "v", 0.5).first()
+    assert found.threshold == pytest.approx(5.05e-06) and found.largest_kept == values[1]
+    assert {r.v for r in cleaning.drop_outliers(df, "v", 0.5).collect()} == set(values[:2])
+
+
+def test_quantile_refuses_what_does_not_fit(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(Decimal(10) ** 20,)], "v decimal(30,2)")
+    with pytest.raises(Exception, match="too large"):
+        cleaning.exact_quantile(df, "v", 0.5).collect()

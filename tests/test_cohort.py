@@ -71,3 +71,19 @@ def test_month_over_month_retention_marks_gaps(make_sales):
         ("2011-01", 2, 1, 50.0, 0, 0),
         ("2011-03", 2, 0, 0.0, 0, 1),
     ]
+
+
+def test_wide_view_refuses_cells_past_its_last_column(spark):
+    cells = spark.createDataFrame([("2011-01", 0, 5), ("2011-01", 3, 2)], "CohortMonth string, CohortIndex int, Customers bigint")
+    assert rows(cohort.wide(cells, "Customers", 3)) == [("2011-01", 5, None, None, 2)]
+    with pytest.raises(Exception, match="a cell lies past M2: M3"):
+        cohort.wide(cells, "Customers", 2).collect()
+
+
+def test_matrix_holds_every_cell(spark):
+    from tillgrain.sources import tpch
+
+    cells = cohort.cohort_cells(tpch.invoices(spark, "/root/testdata/sf0.001")).cache()
+    matrix = cohort.retention_matrix(cells)
+    filled = sum(v is not None for r in matrix.collect() for v in tuple(r)[1:])
+    assert filled == cells.count() and cells.count() == cohort.retention_long(cells).count()

@@ -60,9 +60,8 @@ def test_groups_and_weights(spark):
 
 
 @pytest.mark.parametrize("n", [7, 20, 101, 103, 250])
-def test_scores_match_pandas_qcut(spark, n, monkeypatch):
-    """Both search paths against pandas, with ties and sizes that put edges on a value."""
-    from tillgrain.functions import ranking
+def test_scores_match_pandas_qcut(spark, n):
+    """The search against pandas, with ties and sizes that put edges on a value."""
     from tillgrain.operators import rfm
 
     rng = random.Random(n)
@@ -80,12 +79,8 @@ def test_scores_match_pandas_qcut(spark, n, monkeypatch):
 
     df = spark.createDataFrame(data, "CustomerID bigint, Recency bigint, Frequency bigint, cents bigint")
     df = df.withColumn("Monetary", (F.col("cents") / 100).cast("decimal(20,2)"))
-    for limit in (0, 1_000_000):
-        monkeypatch.setattr(
-            rfm, "order_statistics", lambda *a, _n=limit, **k: ranking.order_statistics(*a, one_pass_rows=_n, **k)
-        )
-        scored = rfm.score_rfm(df).select("CustomerID", "R_Score", "F_Score", "M_Score").collect()
-        assert {r[0]: tuple(r[1:]) for r in scored} == expected
+    scored = rfm.score_rfm(df).select("CustomerID", "R_Score", "F_Score", "M_Score").collect()
+    assert {r[0]: tuple(r[1:]) for r in scored} == expected
 
 
 def test_repeated_edges_leave_a_score_empty(spark):

@@ -48,7 +48,11 @@ def test_star_round_trip_and_checks(spark, lines, tmp_path):
     counts = quality.expected_row_counts(quality.row_counts(star))
     assert {r.tbl: r.ok for r in counts.collect()}["dim_customers"] == 0
     for name, types in STAR_TYPES.items():
-        assert dict(as_published(getattr(star, name), name).dtypes) == types
+        stored = dict(getattr(star, name).dtypes)
+        assert {c: {"year": "int", "month": "int"}.get(c, k) if name == "fact_transactions" else k for c, k in types.items()} == stored
+    wide = star.dim_customers.withColumn("frequency", F.lit(2**40))
+    with pytest.raises(Exception, match="dim_customers.frequency exceeds int"):
+        as_published(wide, "dim_customers").collect()
     month = star.fact_transactions.filter("year = 2011 and month = 1")
     assert "PartitionFilters: [isnotnull(year" in month._jdf.queryExecution().toString()
     # every report input can be rebuilt from the stored fact
@@ -79,6 +83,54 @@ def test_checks_find_what_is_wrong(spark, lines):
     assert violations["dim_customers.r_score 1 to 5"] == 11
 
 
+def test_load_check_reads_the_fact(spark, lines):
+    star = Star.build(lines)
+    whole = rows(quality.segment_revenue(star.fact_transactions, star.dim_customers), "segment", "total_revenue", "avg_line_value")
+    half = star.fact_transactions.filter("pmod(hash(stockcode), 2) = 0")
+    assert rows(quality.segment_revenue(half, star.dim_customers), "segment", "total_revenue", "avg_line_value") != whole
+    total = sum(r.total_revenue for r in quality.segment_revenue(star.fact_transactions, star.dim_customers).collect())
+    assert total == pytest.approx(float(lines.agg(F.sum("TotalAmount")).first()[0]), abs=5)
+
+
+def test_key_faults_of_given_tables(spark):
+    a = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 1), (3, 9)], "k int, f int")
+    b = spark.createDataFrame([(1,), (2,)], "p int")
+    got = quality.table_keys({"a": a, "b": b}, {"a": ["k"], "b": ["p"]}, {("a", "f"): ("b", "p")})
+    assert rows(got) == [
+        ("a", "f unmatched", 1, 1), ("a", "missing", 1, 1), ("a", "repeated", 1, 2),
+        ("b", "missing", 0, 0), ("b", "repeated", 0, 0),
+    ]
+
+
+def test_orders_are_rows_where_the_grain_is_unique(spark):
+    report = sales_reports.monthly_revenue(tpch.invoices(spark, "/root/testdata/sf0.001"))
+    base = tpch.invoices(spark, "/root/testdata/sf0.001").groupBy("CustomerID").agg(F.count(F.lit(1)))
+    assert "Expand" not in report._jdf.queryExecution().executedPlan().toString()
+    scores = rfm.rfm_base(tpch.invoices(spark, "/root/testdata/sf0.001")).select("CustomerID", "Frequency")
+    assert rows(scores) == rows(base)
+
+
+def test_nine_reference_rows_are_the_broadcast_side(spark):
+    star = Star.build(tpch.sales_lines(spark, "/root/testdata/sf0.001"))
+    plan = customer_reports.winback_list(star.dim_customers, star.dim_rfm_segments)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+
+
+def test_engineered_sales_reads_its_lines_once_and_splits_a_hot_customer(spark, make_sales):
+    from tillgrain.operators import features
+
+    data = [(str(i), f"P{i % 11}", f"text {i}", 1 + i % 5, f"2011-0{1 + i % 9}-11 08:00", 1 + i % 7, 7 if i % 3 else i, UK) for i in range(3000)]
+    lines = make_sales(*data)
+    seen = []
+    real = features.materialize
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(features, "materialize", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+        result = features.engineered_sales(lines)
+        plans = [*seen, result._jdf.queryExecution().optimizedPlan().toString()]
+    assert sum("LogicalRDD" in p or "LocalRelation" in p for p in plans) == 1
+    assert result.count() == 3000
+
+
 def test_first_description_wins(make_sales):
     lines = make_sales(
         ("2", "A", "later", 1, "2011-01-02 00:00", 2, 1, UK),

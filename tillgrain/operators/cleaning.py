@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +86,7 @@ def exact_quantile(df: DataFrame, column: str, fraction: float) -> DataFrame:
         edges.withColumn("position", position(total))
         .select(
             (below + (above - below) * step).alias("threshold"),
-            (F.col("below").cast("decimal(38,0)") / 10**scale)
+            (F.col("below").cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-scale)))
             .cast(f"decimal(38,{scale})")
             .alias("largest_kept"),
         )
