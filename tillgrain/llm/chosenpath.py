@@ -233,28 +233,63 @@ class Join:
         with_right = differ.join(self.sets.withColumnsRenamed({"set_key": "b", "shingles": "y"}), "b")
         full = with_right.join(self.sets.withColumnsRenamed({"set_key": "a", "shingles": "x"}), "a")
         linked = self.scratch.write(full.select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a bigint, b bigint"))
+        if linked.isEmpty():
+            return
         self.links = self.links.unionByName(linked)
         self.labels = components(self.links, self.scratch).withColumnsRenamed({"node": "set_key", "component": "label"})
 
     def fetch(self, keys: DataFrame) -> None:
-        """Full sets of classes that may be in a link."""
+        """Full sets of all classes that may be in a link; every later level is among them."""
         wanted = keys.distinct().join(self.classes.select("set_key", "doc_id", "text_key"), "set_key")
         found = (
             self.docs.join(wanted, ["doc_id", "text_key"])
             .select("set_key", "text")
             .mapInArrow(_sets, "set_key bigint, shingles binary")
         )
-        found = self.scratch.write(found).dropDuplicates(["set_key"])
-        self.sets = found if self.sets is None else self.sets.unionByName(found)
+        self.sets = self.scratch.write(found.dropDuplicates(["set_key"]))
+
+    def stars(self, large: DataFrame) -> DataFrame:
+        """Pairs of a large node's random member with every other of a like signature."""
+        signatures = self.classes.select("set_key", "signature")
+        centres = (
+            large.select("path", F.col("pivot").alias("set_key")).distinct()
+            .join(signatures, "set_key").select("path", F.col("signature").alias("centre"))
+        )
+        same = F.zip_with("signature", "centre", lambda x, y: (x == y).cast("int"))
+        agreed = F.aggregate(same, F.lit(0), lambda total, x: total + x)
+        return (
+            large.filter("set_key != pivot").join(signatures, "set_key").join(centres, "path")
+            .filter(agreed >= int(ESTIMATE * COORDINATES))
+            .select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"))
+        )
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
 
     def blocks(self, rows: DataFrame) -> DataFrame:
-        """Nodes of any size as pairs of blocks: each list holds two blocks of up to SMALL / 2."""
-        count = F.ceil(F.col("size") / (SMALL // 4)).cast("int")
-        mine = F.pmod(F.xxhash64("set_key", F.lit(3)), count).cast("int")
-        other = F.explode(F.sequence(F.lit(0), count - 1))
-        dealt = rows.withColumn("mine", mine).withColumn("other", other)
-        pair = F.struct(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        return dealt.groupBy("path", pair.alias("pair")).agg(F.sort_array(F.collect_set("set_key")).alias("members"))
+        """Lists that bring together any two members of a node with different labels.
+
+        All members are dealt into blocks, those without the node's most frequent label into
+        chunks as well, and each list is a block and a chunk of about ``SMALL`` members each.
+        """
+        named = self.labelled(rows)
+        counts = named.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+        most = counts.groupBy("path").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+        dealt = named.join(most, "path").select(
+            "path",
+            "set_key",
+            (F.col("label") != F.col("most.label")).alias("other"),
+            F.ceil(F.col("all") / SMALL).cast("int").alias("blocks"),
+            F.ceil((F.col("all") - F.col("most.n")) / SMALL).cast("int").alias("chunks"),
+        )
+        spread = F.xxhash64("set_key", F.lit(3))
+        i, j = F.pmod(spread, "blocks").cast("int"), F.pmod(spread, "chunks").cast("int")
+        members = dealt.select("path", "set_key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+        others = dealt.filter("other").select(
+            "path", "set_key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), j.alias("j")
+        )
+        both = members.unionByName(others).groupBy("path", "i", "j")
+        return both.agg(F.sort_array(F.collect_set("set_key")).alias("members"))
 
     def run(self) -> None:
         rows = self.nodes()
@@ -269,16 +304,15 @@ class Join:
             )
             pairs = self.scratch.write(self.small_pairs(lists))
             large = rows.filter(F.col("size") > SMALL)
-            stars = large.filter("set_key != pivot").select(
-                F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b")
-            )
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(large.select("set_key"))
-            self.fetch(ends if self.sets is None else ends.join(self.sets.select("set_key"), "set_key", "left_anti"))
-            self.confirm(pairs.filter("first").select("a", "b").unionByName(stars))
+            if level == 1:
+                ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key"))
+                self.fetch(ends.unionByName(large.select("set_key")))
+            self.confirm(pairs.filter("first").select("a", "b").unionByName(self.stars(large)))
             self.confirm(pairs)
-            labelled = large.join(self.labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-            mixed = labelled.groupBy("path").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-            rows = self.scratch.write(large.join(mixed.select("path"), "path", "left_semi"))
+            mixed = self.labelled(large).groupBy("path").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+            left = self.scratch.write(large.join(mixed.select("path"), "path", "left_semi"))
+            self.scratch.drop(rows, pairs)
+            rows = left
             if rows.isEmpty():
                 return
             if level < LEVELS:

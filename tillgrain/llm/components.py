@@ -12,8 +12,8 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
     """(node, component): the smallest node reachable, for every node of ``links``.
 
     Labels only fall. A round gives each node the smallest label among its neighbours (combined
-    on the map side, so a node with very many links costs no task more) and then its label's own
-    label, which halves the distance to the smallest node. Rounds end when the sum of labels
+    on the map side, so a node with very many links costs no task more) and then that label's own
+    label, which about halves the distance to the smallest node. Rounds end when the sum of labels
     stays; every round is stored, so a lost executor repeats one round at most.
     """
     both = scratch.write(
@@ -29,15 +29,14 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
         named = labels.select(F.col("node").alias("other"), F.col("component").alias("label"))
         offered = both.join(named, "other").groupBy("node").agg(F.min("label").alias("label"))
         nearer = labels.join(offered, "node").select("node", F.least("component", "label").alias("component"))
-        nearer = scratch.write(nearer)
-        above = nearer.select(F.col("node").alias("component"), F.col("component").alias("label"))
-        jumped = scratch.write(
+        above = labels.select(F.col("node").alias("component"), F.col("component").alias("label"))
+        following = scratch.write(
             nearer.join(above, "component", "left").select(
                 "node", F.coalesce(F.least("component", "label"), F.col("component")).alias("component")
             )
         )
-        scratch.drop(labels, nearer)
-        labels = jumped
+        scratch.drop(labels)
+        labels = following
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == state:
             scratch.drop(both)

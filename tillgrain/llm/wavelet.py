@@ -326,7 +326,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
         .mapInArrow(_read, "part int, number int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
     )
     none = F.when(F.col("doc_id") > -(2**63), F.col("doc_id"))
-    return found.join(placed, ["part", "number"]).select(
+    # what the files hold is far more than the list of files lets Spark expect: no broadcast
+    return found.join(placed.hint("merge"), ["part", "number"]).select(
         none.alias("doc_id"),
         (F.col("offset") + F.col("inside") + F.col("within")).alias("start"),
         "n_tokens",
