@@ -3,7 +3,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from oracles.sql import ORACLES
 from tests.compare import check, connect
+from tillgrain.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,9 +20,11 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= entry_points.queries().items()
+    assert ORACLES.items() <= entry_points.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    assert check(spark, FOLDER, con, entry_points.queries()[name], entry_points.oracle_sql()[name]) == []
+    assert check(spark, FOLDER, con, QUERIES[name], ORACLES[name]) == []
