@@ -37,3 +37,10 @@ def test_stages_keep_columns_and_whole_texts(spark, make_docs, scratch, tmp_path
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
     assert registry.ORACLES.keys() <= registry.QUERIES.keys()
+
+
+def test_digest_index_matches_its_sql(spark):
+    from tests.compare import check, connect
+
+    folder, name = "/root/testdata/sf0.001", "op2_digest_index"
+    assert check(spark, folder, connect(folder), registry.QUERIES[name], registry.ORACLES[name]) == []
