@@ -3,10 +3,11 @@
 Documents with equal shingle sets form one class. Every tree hashes the classes by randomly
 chosen minhash coordinates: classes that agree on a coordinate share a node. Small nodes are
 compared exhaustively on their signatures; of a large node every member is compared with one
-random member, and unless that links them all, the node branches by further coordinates, one or
-two of them, so that a pair at the threshold is expected to stay together once per level.
-Independent trees raise the recall. Nodes still large and mixed at the last level are compared
-in blocks, so no pair is left out for the size of its node. Every link is confirmed on full sets.
+random member. A node whose members are then all in one component is done; one with a few others
+has these compared with all, in blocks. The rest branch by further coordinates, one or two of
+them, so that a pair at the threshold is expected to stay together once per level, and what is
+still mixed at the last level is compared in blocks too, so no pair is left out for the size of
+its node. Independent trees raise the recall. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ COORDINATES = 128
 TREES = 16
 LEVELS = 4
 SMALL = 32
-#: signatures must agree on this share at least; at the threshold, 4 standard deviations below
+#: signatures, 8 bits a coordinate, must agree on this share at least: 4 standard deviations below
+#: what is expected at the threshold
 ESTIMATE = 0.6
 
 _random = np.random.default_rng(11)
@@ -62,12 +64,14 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        sizes, keys, signatures = [], [], []
+        sizes, keys, signatures, briefs = [], [], [], []
         for text in texts_of(batch):
             found = shingles(text)
             sizes.append(len(found))
             keys.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64)) if len(found) else None)
-            signatures.append(signature(found).view(np.int32) if len(found) else None)
+            found = signature(found) if len(found) else None
+            signatures.append(None if found is None else found.view(np.int32))
+            briefs.append(None if found is None else (found >> np.uint32(24)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(batch.schema.get_field_index("doc_id")),
@@ -75,8 +79,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sizes, pa.int64()),
                 pa.array(keys, pa.int64()),
                 pa.array(signatures, pa.list_(pa.int32())),
+                pa.array(briefs, pa.binary()),
             ],
-            names=["doc_id", "text_key", "n_shingles", "set_key", "signature"],
+            names=["doc_id", "text_key", "n_shingles", "set_key", "signature", "brief"],
         )
 
 
@@ -121,7 +126,7 @@ def _compare(estimate: float):
             out = ([], [], [])
             for members in batch.column(0).to_pylist():
                 keys = [m["set_key"] for m in members]
-                matrix = np.array([m["signature"] for m in members], np.int32)
+                matrix = np.frombuffer(b"".join(m["brief"] for m in members), np.uint8).reshape(len(keys), -1)
                 labels = [m["label"] for m in members]
                 agree = (matrix[:, None, :] == matrix[None, :, :]).mean(axis=2)
                 left, right = np.nonzero(np.triu(agree >= estimate, 1))
@@ -143,6 +148,18 @@ def _compare(estimate: float):
     return run
 
 
+def _alike(estimate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in (2, 3)
+            )
+            near = (left == right).mean(axis=1) >= estimate
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
 def _root(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -159,7 +176,7 @@ class Join:
         self.rows = scratch.write(
             docs.select("doc_id", "text_key", "text").mapInArrow(
                 _sketch,
-                "doc_id bigint, text_key bigint, n_shingles bigint, set_key bigint, signature array<int>",
+                "doc_id bigint, text_key bigint, n_shingles bigint, set_key bigint, signature array<int>, brief binary",
             )
         )
         held = self.rows.filter("set_key is not null")
@@ -167,7 +184,7 @@ class Join:
         self.classes = scratch.write(
             held.join(first, "set_key")
             .filter(F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_key") == F.col("text_key")))
-            .select("set_key", "doc_id", "text_key", "signature")
+            .select("set_key", "doc_id", "text_key", "signature", "brief")
             .dropDuplicates(["set_key"])
         )
         none = "set_key bigint, label bigint"
@@ -210,10 +227,10 @@ class Join:
         """Pairs of like signatures within lists of set keys, labels apart."""
         members = (
             lists.select(F.xxhash64("members").alias("node"), F.explode("members").alias("set_key"))
-            .join(self.classes.select("set_key", "signature"), "set_key")
+            .join(self.classes.select("set_key", "brief"), "set_key")
             .join(self.labels, "set_key", "left")
             .groupBy("node")
-            .agg(F.collect_list(F.struct("set_key", "signature", "label")).alias("members"))
+            .agg(F.collect_list(F.struct("set_key", "brief", "label")).alias("members"))
         )
         found = members.select("members").mapInArrow(_compare(ESTIMATE), "a bigint, b bigint, first boolean")
         return found.groupBy("a", "b").agg(F.max("first").alias("first"))
@@ -250,18 +267,15 @@ class Join:
 
     def stars(self, large: DataFrame) -> DataFrame:
         """Pairs of a large node's random member with every other of a like signature."""
-        signatures = self.classes.select("set_key", "signature")
+        briefs = self.classes.select("set_key", "brief")
         centres = (
             large.select("path", F.col("pivot").alias("set_key")).distinct()
-            .join(signatures, "set_key").select("path", F.col("signature").alias("centre"))
+            .join(briefs, "set_key").select("path", F.col("brief").alias("centre"))
         )
-        same = F.zip_with("signature", "centre", lambda x, y: (x == y).cast("int"))
-        agreed = F.aggregate(same, F.lit(0), lambda total, x: total + x)
-        return (
-            large.filter("set_key != pivot").join(signatures, "set_key").join(centres, "path")
-            .filter(agreed >= int(ESTIMATE * COORDINATES))
-            .select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"))
+        pairs = large.filter("set_key != pivot").join(briefs, "set_key").join(centres, "path").select(
+            F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"), "brief", "centre"
         )
+        return pairs.mapInArrow(_alike(ESTIMATE), "a bigint, b bigint")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
@@ -309,15 +323,20 @@ class Join:
                 self.fetch(ends.unionByName(large.select("set_key")))
             self.confirm(pairs.filter("first").select("a", "b").unionByName(self.stars(large)))
             self.confirm(pairs)
-            mixed = self.labelled(large).groupBy("path").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-            left = self.scratch.write(large.join(mixed.select("path"), "path", "left_semi"))
+            counts = self.labelled(large).groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+            others = F.sum("n") - F.max("n")
+            mixed = counts.groupBy("path").agg(others.alias("others")).filter("others > 0")
+            left = self.scratch.write(large.join(mixed, "path"))
             self.scratch.drop(rows, pairs)
-            rows = left
+            done = F.lit(level == LEVELS) | (F.col("others") <= SMALL)
+            if left.isEmpty():
+                return
+            ended = self.blocks(left.filter(done)).select("members").distinct()
+            self.confirm(self.scratch.write(self.small_pairs(ended)))
+            rows = left.filter(~done).select("path", "set_key")
             if rows.isEmpty():
                 return
-            if level < LEVELS:
-                rows = self.branched(rows.select("path", "set_key"))
-        self.confirm(self.scratch.write(self.small_pairs(self.blocks(rows).select("members").distinct())))
+            rows = self.branched(rows)
 
     def result(self) -> DataFrame:
         """doc_id, text_key, n_shingles, label of the component and component_id per row."""
