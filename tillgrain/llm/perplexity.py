@@ -35,9 +35,13 @@ HELD_FILES = 8
 #: a band ends this many quartile distances beyond the quartiles, and a document must lie
 #: this many standard errors of its own mean beyond it to be rejected
 FENCE = 3.0
+#: up to so many languages, the bands (a row each) are broadcast
+FEW_LANGUAGES = 10_000
 #: the name of the model of all languages
 ANY = "*"
 ERRORS = 4.0
+#: a band never begins nearer to the mean log probability that the model gives its own corpus
+MARGIN = 0.15
 # fixed values of the base rules
 LEAST_WORDS = 10
 MOST_REPEATED = 20
@@ -46,7 +50,7 @@ REPEAT_WINDOW = 5
 
 SCORES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "score double, error double"
+    "score double, error double, second double"
 )
 
 
@@ -161,13 +165,11 @@ def store(model: DataFrame, scratch: Scratch) -> tuple[str, list[tuple]]:
     The list has an entry per language and file, so it is smaller than the model by the rows of
     a file.
     """
-    held = scratch.write(model)
     folder = scratch.folder()
-    pieces = held.count() // FILE_ROWS + 1
-    held.repartitionByRange(pieces, "lang", "key").sortWithinPartitions("lang", "key").write.parquet(folder)
-    scratch.drop(held)
+    pieces = model.count() // FILE_ROWS + 1
+    model.repartitionByRange(pieces, "lang", "key").sortWithinPartitions("lang", "key").write.parquet(folder)
     files = (
-        held.sparkSession.read.schema("lang string, key bigint")
+        model.sparkSession.read.schema("lang string, key bigint")
         .parquet(folder)
         .groupBy("lang", F.col("_metadata.file_path").alias("path"))
         .agg(F.min("key").alias("low"), F.max("key").alias("high"))
@@ -258,45 +260,35 @@ def _mean(text: bytes, lang: str, files: list[tuple]) -> tuple[float | None, flo
     return (float(logs.mean()), float(logs.std() / np.sqrt(len(logs)))) if len(logs) else (None, None)
 
 
-def _score(files: list[tuple]):
-    """Base counts and the score by the own language's model, besides the columns given."""
+def _score(files: list[tuple], expected: dict[str, float]):
+    """``row``, base counts, the score by the own language's model and, where it is low, by all.
+
+    ``second`` is the score by the model of all languages, given its errors. It is taken of every
+    text that may lie below its language's band, as no band begins above ``expected - MARGIN``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCORES.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 2
+        kinds = [pa.int64()] * 5 + [pa.float64()] * 3
         for batch in slices(batches):
+            rows = []
             languages = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            rows = [
-                (*base_counts(text), *_mean(text, lang, files))
-                for lang, text in zip(languages, texts_of(batch), strict=True)
-            ]
+            for lang, text in zip(languages, texts_of(batch), strict=True):
+                mean, error = _mean(text, lang, files)
+                second = None
+                if mean is not None and mean + ERRORS * error < expected[lang] - MARGIN:
+                    again, wide = _mean(text, ANY, files)
+                    second = again + ERRORS * wide
+                rows.append((*base_counts(text), mean, error, second))
             added = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
-
-    return run
-
-
-def _hear_again(files: list[tuple]):
-    """Whether the model of all languages places the text within the band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            low = batch.column(batch.schema.get_field_index("low")).to_pylist()
-            odd = batch.column(batch.schema.get_field_index("odd")).to_pylist()
-            texts = texts_of(batch)
-            usual = []
-            for text, least, again in zip(texts, low, odd, strict=True):
-                mean, error = _mean(text, ANY, files) if again else (None, None)
-                usual.append(again and mean + ERRORS * error >= least)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(usual, pa.bool_())], names=[*batch.schema.names, "usual"]
-            )
+            kept = ["lang", "row"]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *added], names=[*kept, *names])
 
     return run
 
 
 def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
-    """Per document: ``row`` as given, text, the base counts, base_failed, perplexity and kept.
+    """Per document: ``row`` as given, the base counts, base_failed, perplexity and kept.
 
     ``docs`` has text and lang; a null lang is a language of its own, null texts count as empty
     and fail the base rules. The bands follow from all documents that pass the base rules:
@@ -305,10 +297,15 @@ def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
     read = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", row.alias("row")
     )
-    _, files = store(train(read.select("lang", "text"), scratch), scratch)
+    model = scratch.write(train(read.select("lang", "text"), scratch))
+    _, files = store(model, scratch)
+    highest = model.filter(F.col("key") >= ORDER << 60).groupBy("lang")
+    means = highest.agg((F.sum(F.col("raw") * F.col("logp")) / F.sum("raw")).alias("expected"))
+    expected = {r.lang: r.expected for r in means.collect()}  # a row per language
     kind = read.schema["row"].dataType.simpleString()
-    given = f"lang string, text string, row {kind}, {SCORES}"
-    scored = scratch.write(read.mapInArrow(_score(files), given), compression="zstd")
+    scored = scratch.write(
+        read.mapInArrow(_score(files, expected), f"lang string, row {kind}, {SCORES}"), compression="zstd"
+    )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     rounded = (
         scored.filter(~failed).groupBy("lang", F.round("score", 3).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -316,22 +313,22 @@ def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
     quartile = {q: F.expr(f"percentile(value, {q}, n)") for q in (0.25, 0.75)}
     bands = rounded.groupBy("lang").agg(quartile[0.25].alias("q1"), quartile[0.75].alias("q3"))
     reach = FENCE * (F.col("q3") - F.col("q1"))
-    bands = bands.select("lang", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    names = [c.split()[0] for c in SCORES.split(", ")]
-    placed = scored.join(bands, "lang", "left").select(
-        "text", "row", *names, "low", "high",
-        failed.alias("base_failed"),
-        F.coalesce(~failed & (F.col("score") + ERRORS * F.col("error") < F.col("low")), F.lit(False)).alias("odd"),
-        F.coalesce(~failed & (F.col("score") - ERRORS * F.col("error") <= F.col("high")), F.lit(False)).alias("varied"),
+    bands = bands.join(means, "lang").select(
+        "lang",
+        F.least(F.col("q1") - reach, F.col("expected") - MARGIN).alias("low"),
+        (F.col("q3") + reach).alias("high"),
     )
-    heard = placed.mapInArrow(
-        _hear_again(files),
-        f"text string, row {kind}, {SCORES}, low double, high double, base_failed boolean, odd boolean, "
-        "varied boolean, usual boolean",
+    bands = scratch.write(bands)
+    if len(expected) <= FEW_LANGUAGES:
+        bands = F.broadcast(bands)
+    usual = (F.col("score") + ERRORS * F.col("error") >= F.col("low")) | F.coalesce(
+        F.col("second") >= F.col("low"), F.lit(False)
     )
-    return heard.select(
-        "row", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (F.col("varied") & (~F.col("odd") | F.col("usual"))).alias("kept"),
+    varied = F.col("score") - ERRORS * F.col("error") <= F.col("high")
+    return scored.join(bands, "lang", "left").select(
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"),
+        F.coalesce(~failed & usual & varied, F.lit(False)).alias("kept"),
         F.exp(-F.col("score")).alias("perplexity"),
         F.exp(-F.col("high")).alias("lower_band"),
         F.exp(-F.col("low")).alias("upper_band"),
@@ -340,9 +337,7 @@ def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
 
 def passing(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents that pass, with all their columns."""
-    others = [c for c in docs.columns if c != "text"]
-    found = judged(docs, F.struct(*others), scratch).filter("kept")
-    return found.select("row.*", "text").select(*docs.columns)
+    return judged(docs, F.struct("*"), scratch).filter("kept").select("row.*")
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
