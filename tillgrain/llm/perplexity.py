@@ -31,7 +31,7 @@ ORDER = 5
 BITS = 12
 #: model rows in one file, and files a scoring task holds at a time
 FILE_ROWS = 1_000_000
-HELD_FILES = 8
+HELD_FILES = 4
 #: a band ends this many quartile distances beyond the quartiles, and a document must lie
 #: this many standard errors of its own mean beyond it to be rejected
 FENCE = 3.0
@@ -81,7 +81,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, 4_000_000):
         by_lang: dict[str, list[np.ndarray]] = {}
         languages = batch.column(batch.schema.get_field_index("lang")).to_pylist()
         for lang, text in zip(languages, texts_of(batch), strict=True):
@@ -268,9 +268,15 @@ def _score(files: list[tuple], expected: dict[str, float]):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scored(batches)
+        finally:
+            _load.cache_clear()  # the worker may live on for other work
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCORES.split(", ")]
         kinds = [pa.int64()] * 5 + [pa.float64()] * 3
-        for batch in slices(batches):
+        for batch in slices(batches, 4_000_000):
             rows = []
             languages = batch.column(batch.schema.get_field_index("lang")).to_pylist()
             for lang, text in zip(languages, texts_of(batch), strict=True):
