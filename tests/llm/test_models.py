@@ -86,6 +86,29 @@ def test_odd_documents_go_and_clean_ones_stay(make_docs, scratch):
     assert clean <= kept and 500 in kept and not kept & {501, 502}
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.8])
+def test_copies_of_a_clean_text_do_not_explain_each_other(make_docs, scratch, share):
+    rng = random.Random(4)
+    texts = [(speech(lang, rng, rng.randint(40, 80)), lang) for lang in ["xx", "yy"] * 100]
+    clean = speech("xx", rng, 200)
+    alone = [*texts, (clean, "xx")]
+    others = len(texts) if share < 0.5 else len(texts) // 2  # of all rows, or of its language
+    copies = round(share / (1 - share) * others)
+    crowd = [*texts, *[(clean, "xx")] * copies]
+    noise = " ".join("".join(chr(rng.randint(33, 900)) for _ in range(8)) for _ in range(40))
+    tables = []
+    for rows in (alone, crowd, [*crowd, *[(noise, lang) for lang in ["yy", "xx", "zz"] * 40]]):
+        docs = make_docs([(i, t, lang, None) for i, (t, lang) in enumerate(rows)])
+        found = judged(docs, F.col("doc_id"), scratch).collect()
+        assert len(found) == len(rows)
+        tables.append({(rows[r.row], r.base_failed, r.kept, r.perplexity, r.lower_band, r.upper_band) for r in found})
+    assert {x[2] for x in tables[0]} == {True}
+    assert {(x[0], x[2]) for x in tables[1]} == {(x[0], x[2]) for x in tables[0]}
+    for x, y in zip(sorted(tables[0]), sorted(tables[1]), strict=True):
+        assert x[3:] == pytest.approx(y[3:], rel=1e-6)
+    assert {x[2] for x in tables[2] if x[0] in {(noise, "xx"), (noise, "yy")}} == {False}
+
+
 def brute_failed(text):
     words = text.split()
     windows = [tuple(words[s : s + 5]) for s in range(len(words) - 4)]

@@ -2,8 +2,9 @@
 
 Characters are counted in Spark over all documents and make an interpolated modified Kneser-Ney
 model per language. The model is stored sorted by a packed gram key, in files of bounded size;
-scoring tasks look grams up by binary search and hold a few files at a time. A gram that occurs
-in no other document counts as unseen, so that odd documents do not explain themselves.
+scoring tasks look grams up by binary search and hold a few files at a time. A text counts once,
+however many documents have it, and a gram that occurs in no other text counts as unseen, so that
+neither odd documents nor groups of copies explain themselves.
 Documents far outside the perplexities usual for their language are rejected; one that only its
 own language's model finds too odd gets a second hearing by the model of all languages together,
 which text in several languages satisfies.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillgrain.llm.common import cover, documents, slices, texts_of, word_hashes
+from tillgrain.llm.digests import digest
 from tillgrain.llm.repeats import BASES, rolling
 from tillgrain.session import Scratch
 
@@ -42,6 +44,9 @@ ANY = "*"
 ERRORS = 4.0
 #: a band never begins nearer to the mean log probability that the model gives its own corpus
 MARGIN = 0.15
+#: bits that tell repeated texts, and how many of them a row of Spark's bitmaps holds
+REPEAT_BITS = 1 << 23
+BUCKET_BITS = 1 << 15
 # fixed values of the base rules
 LEAST_WORDS = 10
 MOST_REPEATED = 20
@@ -82,18 +87,43 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4_000_000):
-        by_lang: dict[str, list[np.ndarray]] = {}
-        languages = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-        for lang, text in zip(languages, texts_of(batch), strict=True):
-            by_lang.setdefault(lang, []).append(grams(letters(text.decode())))
-        for lang, found in by_lang.items():
+        by_lang: dict[tuple[str, int], list[np.ndarray]] = {}
+        languages = batch.column(batch.schema.get_field_index("langs")).to_pylist()
+        for langs, text in zip(languages, texts_of(batch), strict=True):
+            found = grams(letters(text.decode()))
+            for lang in langs:
+                by_lang.setdefault((lang, 1), []).append(found)
+            if len(langs) > 1:  # the sum over languages has the text once, too
+                by_lang.setdefault((ANY, 1 - len(langs)), []).append(found)
+        for (lang, weight), found in by_lang.items():
             keys, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)],
+                [pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts * weight)],
                 names=["lang", "gram", "raw"],
             )
 
 
+def _distinct(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(langs, text): every distinct text once, with the languages of its documents.
+
+    Only texts whose digest may occur repeatedly are grouped, and copies combine on the map side;
+    a bitmap of fixed size tells them. One that is full sends more texts there, never too few.
+    """
+    read = docs.select("lang", "text", digest(F.col("text")).alias("text_digest"))
+    slot = F.pmod(F.xxhash64("text_digest"), F.lit(REPEAT_BITS))
+    bucket, place = F.floor(slot / BUCKET_BITS).alias("bucket"), slot % BUCKET_BITS
+    groups = read.select("text_digest").groupBy("text_digest").agg(F.count(F.lit(1)).alias("n"))
+    repeated = scratch.write(groups.filter("n > 1").groupBy(bucket).agg(F.bitmap_construct_agg(place).alias("bits")))
+    byte = F.substring(F.col("bits"), F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))
+    bit = F.floor(F.conv(F.hex(byte), 16, 10).cast("bigint") / F.pow(F.lit(2), F.col("place") % 8)) % 2 == 1
+    told = read.select("*", bucket, place.alias("place")).join(F.broadcast(repeated), "bucket", "left")
+    told = told.select("lang", "text", "text_digest", F.coalesce(bit, F.lit(False)).alias("again"))
+    once = told.filter(~F.col("again")).select(F.array("lang").alias("langs"), "text")
+    again = told.filter("again").groupBy("text_digest")
+    again = again.agg(F.collect_set("lang").alias("langs"), F.first("text").alias("text"))
+    return once.unionByName(again.select("langs", "text"))
+
+
 def _discounts(counts: DataFrame) -> DataFrame:
     """Modified Kneser-Ney discounts per language, from the numbers of counts 1 to 4."""
     of = counts.groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
@@ -116,13 +146,14 @@ def train(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     The key is the order in the bits above 60 and the gram below. Counts of lower orders are the
     numbers of distinct codes seen before the gram. Every table has at most a row per distinct
-    gram of a language.
+    gram of a language. Equal texts count once per language, and once in the model of all.
     """
-    counted = docs.mapInArrow(_count, "lang string, gram bigint, raw bigint")
+    counted = _distinct(docs, scratch).mapInArrow(_count, "lang string, gram bigint, raw bigint")
     single = scratch.write(counted.groupBy("lang", "gram").agg(F.sum("raw").alias("raw")))
     pooled = single.groupBy("gram").agg(F.sum("raw").alias("raw"))
-    both = single.unionByName(pooled.withColumn("lang", F.lit(ANY)))
+    both = single.filter(F.col("lang") != ANY).unionByName(pooled.withColumn("lang", F.lit(ANY)))
     counts = {ORDER: scratch.write(both.withColumn("c", F.col("raw")))}
+    scratch.drop(single)
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1))
         counts[order] = scratch.write(
@@ -287,7 +318,7 @@ def _score(files: list[tuple], expected: dict[str, float]):
                     second = again + ERRORS * wide
                 rows.append((*base_counts(text), mean, error, second))
             added = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            kept = ["lang", "row"]
+            kept = ["lang", "row", "text_digest"]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *added], names=[*kept, *names])
 
     return run
@@ -297,11 +328,12 @@ def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
     """Per document: ``row`` as given, the base counts, base_failed, perplexity and kept.
 
     ``docs`` has text and lang; a null lang is a language of its own, null texts count as empty
-    and fail the base rules. The bands follow from all documents that pass the base rules:
-    quartiles of the mean log probability, to the thousandth, per language.
+    and fail the base rules. The bands follow from all texts that pass the base rules, each once:
+    quartiles of the mean log probability, to the thousandth, per language. Copies have one score.
     """
     read = docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", row.alias("row")
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", row.alias("row"),
+        digest(F.col("text")).alias("text_digest"),
     )
     model = scratch.write(train(read.select("lang", "text"), scratch))
     _, files = store(model, scratch)
@@ -310,12 +342,11 @@ def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
     expected = {r.lang: r.expected for r in means.collect()}  # a row per language
     kind = read.schema["row"].dataType.simpleString()
     scored = scratch.write(
-        read.mapInArrow(_score(files, expected), f"lang string, row {kind}, {SCORES}"), compression="zstd"
+        read.mapInArrow(_score(files, expected), f"lang string, row {kind}, text_digest binary, {SCORES}"), compression="zstd"
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    rounded = (
-        scored.filter(~failed).groupBy("lang", F.round("score", 3).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    texts = scored.filter(~failed).groupBy("lang", "text_digest").agg(F.max(F.round("score", 3)).alias("value"))
+    rounded = texts.groupBy("lang", "value").agg(F.count(F.lit(1)).alias("n"))
     quartile = {q: F.expr(f"percentile(value, {q}, n)") for q in (0.25, 0.75)}
     bands = rounded.groupBy("lang").agg(quartile[0.25].alias("q1"), quartile[0.75].alias("q3"))
     reach = FENCE * (F.col("q3") - F.col("q1"))
