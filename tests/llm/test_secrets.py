@@ -55,6 +55,13 @@ def test_escapes_map_to_the_characters_they_come_from():
     assert ("assign", 3, 3 + len("tok%65n=") + len(KEY)) in extra(text)
 
 
+def test_an_escape_on_one_side_of_a_space_is_enough():
+    for text in ("pass%77ord = hunter2hunter2", "api&#95;key: abcdefghijklmnop", r"\u0022token\u0022: \u0022abcdefghijkl", "token = abc%zz 100% tok\\x65n : abcdefghijklmnop"):
+        assert "assign" in {kind for kind, _, _ in extra(text)}, text
+    assert extra("pass%77ord = hunter2hunter2") == [("assign", 0, 27)]
+    assert "assign" in {kind for kind, _, _ in extra("password: tok%65n:hunter2hunter2")}
+
+
 def test_cycles_and_junk_end():
     assert spans("%25" * 50) == []
     assert spans("\\u0025" * 20 + "%zz &#xFFFFFFF; \\u{110000} \\ud800 AAAAAAAAAAAAAAAAAAAAAAAA====") is not None

@@ -65,46 +65,46 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
+def _mapped(data: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[str, list[int], list[int]]:
+    """Bytes as text, given the source of each byte; what is not UTF-8 stays as escaped bytes."""
+    text = data.decode("utf-8", "surrogateescape")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    sizes[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+    after = np.cumsum(sizes)
+    return text, begins[after - sizes].tolist(), ends[after - 1].tolist()
+
+
 def _unescape(segment: str) -> tuple[str, list[int], list[int]] | None:
     """The segment without escapes; of each character the begin and end of its source."""
     raw, begins, ends, at = bytearray(), [], [], 0
 
-    def put(data: bytes, begin: int, end: int) -> None:
-        raw.extend(data)
-        begins.extend([begin] * len(data))
-        ends.extend([end] * len(data))
+    def plain(begin: int, end: int) -> None:
+        for i in range(begin, end):
+            data = segment[i].encode("utf-8", "surrogateescape")
+            raw.extend(data)
+            begins.extend([i] * len(data))
+            ends.extend([i + 1] * len(data))
 
     for match in ESCAPES.finditer(segment):
-        for i in range(at, match.start()):
-            put(segment[i].encode("utf-8", "surrogatepass"), i, i + 1)
+        plain(at, match.start())
         token = match.group()
-        if token[0] == "%":
-            data = bytes([int(token[1:], 16)])
+        if token[0] == "%" or token[1] == "x":
+            data = bytes([int(token[-2:], 16)])
         elif token[0] == "&":
             data = html.unescape(token).encode("utf-8", "replace")
         else:
             point = int(token[2:].strip("{}"), 16)
             data = chr(point).encode("utf-8", "surrogatepass") if point < 0x110000 else token.encode()
-        put(data, match.start(), match.end())
+        raw.extend(data)
+        begins.extend([match.start()] * len(data))
+        ends.extend([match.end()] * len(data))
         at = match.end()
-    for i in range(at, len(segment)):
-        put(segment[i].encode("utf-8", "surrogatepass"), i, i + 1)
-    text = bytes(raw).decode("utf-8", "replace")
-    if text == segment:
+    if not at:
         return None
-    # characters back to bytes: a replaced byte counts as one
-    first, last, place = [], [], 0
-    for char in text:
-        size = len(char.encode("utf-8", "replace"))
-        if char == "�" and bytes(raw[place : place + 3]) != b"\xef\xbf\xbd":
-            size = 1
-        size = min(size, len(begins) - place)
-        if size <= 0:
-            break
-        first.append(begins[place])
-        last.append(ends[place + size - 1])
-        place += size
-    return text[: len(first)], first, last
+    plain(at, len(segment))
+    found = _mapped(bytes(raw), np.array(begins, np.int64), np.array(ends, np.int64))
+    return None if found[0] == segment else found
 
 
 def _inflate(data: bytes) -> bytes | None:
@@ -155,15 +155,22 @@ def _debase(segment: str) -> tuple[str, list[int], list[int]] | None:
     return text, first, last
 
 
-def layers(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
-    """Decoded segments of one layer with the source interval of each of their characters."""
-    if "%" in text or "\\" in text or "&#" in text:
+def layers(text: str) -> Iterator[tuple[str, list[int], list[int], list[Span]]]:
+    """Decoded segments of one layer, the source interval of each of their characters, and their spans.
+
+    Escapes are taken out of the whole layer, where spans count that touch one, and out of each
+    segment with escapes by itself, where what precedes it cannot hide a span.
+    """
+    if ("%" in text or "\\" in text or "&#" in text) and (part := _unescape(text)):
+        inner, first, last = part
+        yield *part, [x for x in base_spans(inner) if any(last[i] - first[i] > 1 for i in range(x[1], x[2]))]
         for match in ESCAPED.finditer(text):
             if part := _unescape(match.group()):
-                yield part[0], [b + match.start() for b in part[1]], [e + match.start() for e in part[2]]
+                begin = match.start()
+                yield part[0], [b + begin for b in part[1]], [e + begin for e in part[2]], base_spans(part[0])
     for match in BASE64.finditer(text):
         if part := _debase(match.group()):
-            yield part[0], [b + match.start() for b in part[1]], [e + match.start() for e in part[2]]
+            yield part[0], [b + match.start() for b in part[1]], [e + match.start() for e in part[2]], base_spans(part[0])
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
@@ -173,7 +180,7 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
     seen = {(text, 0)}
     while work:
         layer, begins, ends = work.pop()
-        for inner, first, last in layers(layer):
+        for inner, first, last, spans in layers(layer):
             if begins is not None:
                 last = [ends[e - 1] for e in last]
                 first = [begins[b] for b in first]
@@ -181,7 +188,7 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
             if not inner or mark in seen:
                 continue
             seen.add(mark)
-            found += [(kind, first[s], last[e - 1]) for kind, s, e in base_spans(inner)]
+            found += [(kind, first[s], last[e - 1]) for kind, s, e in spans]
             work.append((inner, first, last))
     return in_order(found)
 
