@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
+import lzma
 import re
 import urllib.parse
+import zlib
 
 from tests.llm.conftest import corpus
 from tillgrain.llm.secrets import all_spans, base_spans, find_secrets, joined
@@ -62,6 +65,32 @@ def test_an_escape_on_one_side_of_a_space_is_enough():
     assert "assign" in {kind for kind, _, _ in extra("password: tok%65n:hunter2hunter2")}
 
 
+def test_compressed_data_is_unwrapped_to_a_fixpoint():
+    plain = f"see token={KEY} there".encode()
+    twice = gzip.compress(zlib.compress(plain))
+    for data in (twice, *(f(b"nothing here ") + f(plain) for f in (gzip.compress, bz2.compress, lzma.compress))):
+        for wrapped in (
+            base64.b64encode(data).decode(),
+            base64.encodebytes(data).decode(),
+            urllib.parse.quote_from_bytes(data, safe=""),
+            "".join(f"\\x{b:02x}" for b in data),
+        ):
+            text = f"before {wrapped} after"
+            assert {kind for kind, _, _ in extra(text)} == {"assign", "hex"}, wrapped
+            assert all(7 <= start < end <= 7 + len(wrapped) for _, start, end in extra(text))
+
+
+def test_base64_in_lines_or_glued_to_words():
+    plain = b"some words before it, so that lines are needed: " * 2 + f"token={KEY} there".encode()
+    for size in (64, 76):
+        code = base64.b64encode(plain).decode()
+        lines = "\r\n".join(code[i : i + size] for i in range(0, len(code), size))
+        assert "assign" in {kind for kind, _, _ in extra(f"x {lines} y")}
+    code = base64.b64encode(f"token={KEY}\0\x01".encode()).decode()
+    for before in ("/v1/blob/", "x_", "a/", "ab-", "abc", ""):
+        assert "assign" in {kind for kind, _, _ in extra(before + code)}, before
+
+
 def test_cycles_and_junk_end():
     assert spans("%25" * 50) == []
     assert spans("\\u0025" * 20 + "%zz &#xFFFFFFF; \\u{110000} \\ud800 AAAAAAAAAAAAAAAAAAAAAAAA====") is not None

@@ -10,7 +10,6 @@ character by character, base64 by groups of four characters, compressed data as
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import html
@@ -40,6 +39,9 @@ ESCAPES = re.compile(
 )
 ESCAPED = re.compile(rf"(?:[^\s%\\&]*(?:{ESCAPES.pattern}))+[^\s%\\&]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+COMPRESSED = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+PRINTABLE = re.compile(rb"[\x20-\x7e]{12}")
 #: what one compressed layer may grow to, against decompression bombs; a longer one is scanned that far
 MOST_BYTES = 64_000_000
 
@@ -107,21 +109,23 @@ def _unescape(segment: str) -> tuple[str, list[int], list[int]] | None:
     return None if found[0] == segment else found
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Decompressed data if it has the mark of a compressed format."""
+def _member(data: bytes, most: int) -> tuple[bytes, bytes] | None:
+    """The first compressed member of data that begins with a mark, and what follows it."""
     try:
         if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MOST_BYTES)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MOST_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_BYTES)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, MOST_BYTES)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+            tool = zlib.decompressobj(31)
+        elif data[:1] == b"\x78":
+            tool = zlib.decompressobj()
+        elif data[:3] == b"BZh":
+            tool = bz2.BZ2Decompressor()
+        elif data[:6] == b"\xfd7zXZ\0":
+            tool = lzma.LZMADecompressor()
+        else:
             import zstandard
 
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MOST_BYTES]
+            tool = zstandard.ZstdDecompressor().decompressobj()
+            return tool.decompress(data)[:most], tool.unused_data
+        return tool.decompress(data, most), tool.unused_data
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         return None
     except Exception as error:  # zstandard has an error class of its own
@@ -130,32 +134,40 @@ def _inflate(data: bytes) -> bytes | None:
     return None
 
 
-def _debase(segment: str) -> tuple[str, list[int], list[int]] | None:
-    """Base64 text, or compressed text in base64, with the source of each character."""
-    core = segment.rstrip("=").translate({45: 43, 95: 47})
-    core = core[: len(core) - (len(core) % 4 == 1)]
-    try:
+def _inflated(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Begin, end and content of compressed data anywhere in ``data``; adjacent members are one."""
+    at = 0
+    while mark := COMPRESSED.search(data, at):
+        begin = at = mark.start()
+        parts, size = [], 0
+        while size < MOST_BYTES and COMPRESSED.match(data, at) and (found := _member(data[at:], MOST_BYTES - size)):
+            parts.append(found[0])
+            size += len(found[0])
+            at = len(data) - len(found[1])
+        if size:
+            yield begin, at, b"".join(parts)
+        at = max(at, begin + 1)
+
+
+def _debase(segment: str) -> Iterator[tuple[str, list[int], list[int]]]:
+    """Base64 data read from each of four offsets, with the source of each character.
+
+    The segment may begin before the data, and may have line breaks. Data without a run of
+    printable characters or the mark of a compressed format has no secret.
+    """
+    places = np.array([i for i, c in enumerate(segment) if c not in "\r\n\t =" ], np.int64)
+    whole = "".join(segment.split()).rstrip("=").translate({45: 43, 95: 47})
+    for offset in range(4):
+        core = whole[offset:]
+        core = core[: len(core) - (len(core) % 4 == 1)]
         data = base64.b64decode(core + "=" * (-len(core) % 4))
-    except binascii.Error:
-        return None
-    inner = _inflate(data)
-    if inner is not None:
-        text = inner.decode("utf-8", "replace")
-        return text, [0] * len(text), [len(segment)] * len(text)
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text.isprintable() and any(not c.isprintable() and c not in "\t\r\n" for c in text):
-        return None
-    ends_at = np.cumsum([len(c.encode()) for c in text])
-    starts_at = np.append(0, ends_at[:-1])
-    first = (starts_at // 3 * 4).tolist()
-    last = np.minimum((ends_at - 1) // 3 * 4 + 4, len(segment)).tolist()
-    return text, first, last
+        if data and (PRINTABLE.search(data) or COMPRESSED.search(data)):
+            at = np.arange(len(data)) // 3 * 4 + offset
+            until = np.minimum(at + 3, offset + len(core) - 1)
+            yield _mapped(data, places[at], places[until] + 1)
 
 
-def layers(text: str) -> Iterator[tuple[str, list[int], list[int], list[Span]]]:
+def layers(text: str, decoded: bool = True) -> Iterator[tuple[str, list[int], list[int], list[Span]]]:
     """Decoded segments of one layer, the source interval of each of their characters, and their spans.
 
     Escapes are taken out of the whole layer, where spans count that touch one, and out of each
@@ -168,9 +180,18 @@ def layers(text: str) -> Iterator[tuple[str, list[int], list[int], list[Span]]]:
             if part := _unescape(match.group()):
                 begin = match.start()
                 yield part[0], [b + begin for b in part[1]], [e + begin for e in part[2]], base_spans(part[0])
-    for match in BASE64.finditer(text):
-        if part := _debase(match.group()):
-            yield part[0], [b + match.start() for b in part[1]], [e + match.start() for e in part[2]], base_spans(part[0])
+    for pattern in (BASE64, BASE64_LINES):
+        for match in pattern.finditer(text):
+            begin = match.start()
+            for inner, first, last in _debase(match.group()):
+                yield inner, [b + begin for b in first], [e + begin for e in last], base_spans(inner)
+    if decoded:
+        data = text.encode("utf-8", "surrogateescape")
+        for begin, end, content in _inflated(data):
+            first = len(data[:begin].decode("utf-8", "surrogateescape"))
+            last = max(first + 1, len(text) - len(data[end:].decode("utf-8", "surrogateescape")))
+            inner = content.decode("utf-8", "surrogateescape")
+            yield inner, [first] * len(inner), [last] * len(inner), base_spans(inner)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
@@ -180,7 +201,7 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
     seen = {(text, 0)}
     while work:
         layer, begins, ends = work.pop()
-        for inner, first, last, spans in layers(layer):
+        for inner, first, last, spans in layers(layer, begins is not None):
             if begins is not None:
                 last = [ends[e - 1] for e in last]
                 first = [begins[b] for b in first]
