@@ -174,3 +174,15 @@ def test_empty_tables(make_docs, scratch):
     assert without_long_repeats(docs, scratch).isEmpty()
     assert near_duplicates(docs, scratch).isEmpty()
     assert drop_near_duplicates(docs, scratch).isEmpty()
+
+
+@pytest.mark.parametrize("size", [50, 400, 600, 5000])
+def test_briefs_tell_unrelated_sets_of_any_size_apart(size):
+    rng = np.random.default_rng(6)
+    agree = lambda x, y: (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean()
+    for _ in range(20):
+        left, right = (rng.integers(0, 2**64, size, dtype=np.uint64) for _ in range(2))
+        one, two = (chosenpath.brief(chosenpath.signature(x)) for x in (left, right))
+        assert agree(one, two) < 0.2
+        near = np.append(left[: size * 7 // 8], right[: size // 8])  # similarity at about the threshold
+        assert agree(one, chosenpath.brief(chosenpath.signature(near))) >= chosenpath.ESTIMATE
