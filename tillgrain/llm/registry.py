@@ -11,6 +11,7 @@ from tillgrain.llm.perplexity import op7_quality_rules
 from tillgrain.llm.repeats import op9_window_dedup
 from tillgrain.llm.runindex import op4_run_length_dedup
 from tillgrain.llm.secrets import op6_layered_secrets
+from tillgrain.llm.spelling import op13_spelling_trie
 from tillgrain.llm.wavelet import op1_wavelet_shards
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chosen_path": op8_chosen_path,
     "op9_window_dedup": op9_window_dedup,
     "op10_crf_language": op10_crf_language,
+    "op13_spelling_trie": op13_spelling_trie,
 }
 
 ORACLES = {"op2_digest_index": OP2_SQL}
