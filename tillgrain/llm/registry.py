@@ -6,8 +6,10 @@ from tillgrain.llm.bytebpe import op5_chunked_bpe
 from tillgrain.llm.chosenpath import op8_chosen_path
 from tillgrain.llm.crf import op10_crf_language
 from tillgrain.llm.digests import OP2_SQL, op2_digest_index
+from tillgrain.llm.lexical import OP12_SQL, op12_mask_search
 from tillgrain.llm.mixing import op3_fair_mix
 from tillgrain.llm.perplexity import op7_quality_rules
+from tillgrain.llm.quantised import OP11_SQL, op11_int8_tiles
 from tillgrain.llm.repeats import op9_window_dedup
 from tillgrain.llm.runindex import op4_run_length_dedup
 from tillgrain.llm.secrets import op6_layered_secrets
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_chosen_path": op8_chosen_path,
     "op9_window_dedup": op9_window_dedup,
     "op10_crf_language": op10_crf_language,
+    "op11_int8_tiles": op11_int8_tiles,
+    "op12_mask_search": op12_mask_search,
     "op13_spelling_trie": op13_spelling_trie,
 }
 
-ORACLES = {"op2_digest_index": OP2_SQL}
+ORACLES = {"op2_digest_index": OP2_SQL, "op11_int8_tiles": OP11_SQL, "op12_mask_search": OP12_SQL}
