@@ -91,7 +91,7 @@ UNIT_PRICE = f"CAST(((2 * {CENTS} + {PIECES}) // (2 * {PIECES})) / 100.0 AS DECI
 CTES: dict[str, str] = {
     "sales": f"""
         SELECT l_orderkey AS InvoiceNo, l_partkey AS StockCode, p_name AS Description,
-               p_brand AS Brand, {PIECES} AS Quantity, o_orderdate AS InvoiceDate,
+               p_brand AS Brand, p_type AS Kind, {PIECES} AS Quantity, o_orderdate AS InvoiceDate,
                {UNIT_PRICE} AS UnitPrice, o_custkey AS CustomerID, n_name AS Country,
                CAST(l_extendedprice AS DECIMAL(12,2)) AS TotalAmount,
                CAST({PIECES} * {UNIT_PRICE} AS DECIMAL(12,2)) AS Revenue,
@@ -236,9 +236,25 @@ CTES |= {
 }
 
 
-def _mining(name: str, item: str, where: str, top: int, support: float) -> dict[str, str]:
-    """Baskets, itemsets of up to three items by self joins, and rules of one configuration."""
+def _level(p: str, size: int) -> str:
+    """Sets of ``size`` items, by joining the baskets with themselves."""
+    names = [f"t{i}" for i in range(size)]
+    joins = " ".join(
+        f"JOIN {p}_b {right} ON t0.InvoiceNo = {right}.InvoiceNo AND {left}.item < {right}.item"
+        for left, right in zip(names, names[1:], strict=False)
+    )
+    items = ", ".join(f"{t}.item" for t in names)
+    return f"""
+            SELECT [{items}] AS items, count(*) AS c FROM {p}_b t0 {joins}
+            GROUP BY {items} HAVING count(*) >= (SELECT least FROM {p}_n)"""
+
+
+def _mining(
+    name: str, item: str, where: str, top: int, support: float, longest: int = 3, confidence: float = 0.05, lift: float = 1.0
+) -> dict[str, str]:
+    """Baskets, itemsets by self joins, and rules from all splits, of one configuration."""
     p = name
+    levels = range(1, longest + 1)
     return {
         f"{p}_items": f"SELECT DISTINCT InvoiceNo, upper(trim({item})) AS item FROM sales WHERE {where}",
         f"{p}_top": f"""
@@ -250,21 +266,10 @@ def _mining(name: str, item: str, where: str, top: int, support: float) -> dict[
         f"{p}_n": f"""
             SELECT count(DISTINCT InvoiceNo) AS n,
                    ceil(CAST({support} AS DOUBLE) * count(DISTINCT InvoiceNo)) AS least FROM {p}_b""",
-        f"{p}_1": f"""
-            SELECT [item] AS items, count(*) AS c FROM {p}_b GROUP BY item
-            HAVING count(*) >= (SELECT least FROM {p}_n)""",
-        f"{p}_2": f"""
-            SELECT [x.item, y.item] AS items, count(*) AS c
-            FROM {p}_b x JOIN {p}_b y ON x.InvoiceNo = y.InvoiceNo AND x.item < y.item
-            GROUP BY x.item, y.item HAVING count(*) >= (SELECT least FROM {p}_n)""",
-        f"{p}_3": f"""
-            SELECT [x.item, y.item, z.item] AS items, count(*) AS c
-            FROM {p}_b x JOIN {p}_b y ON x.InvoiceNo = y.InvoiceNo AND x.item < y.item
-            JOIN {p}_b z ON x.InvoiceNo = z.InvoiceNo AND y.item < z.item
-            GROUP BY x.item, y.item, z.item HAVING count(*) >= (SELECT least FROM {p}_n)""",
+        **{f"{p}_{size}": _level(p, size) for size in levels},
         f"{p}_sets": f"""
             SELECT items, c, c / CAST((SELECT n FROM {p}_n) AS DOUBLE) AS support
-            FROM (SELECT * FROM {p}_1 UNION ALL SELECT * FROM {p}_2 UNION ALL SELECT * FROM {p}_3)""",
+            FROM ({" UNION ALL ".join(f"SELECT * FROM {p}_{size}" for size in levels)})""",
         f"{p}_splits": f"""
             SELECT items, support, mask,
                    [items[i] for i in range(1, len(items) + 1) if (mask >> (i - 1)) & 1 = 1] AS a,
@@ -286,11 +291,12 @@ def _mining(name: str, item: str, where: str, top: int, support: float) -> dict[
                         ELSE {rnd('(1 - sb) / nullif(1 - conf, 0)', 4)} END AS conviction,
                    {ladder('lft', [('Very Strong', 5), ('Strong', 3), ('Moderate', 2)], 'Weak')} AS strength,
                    len(a) AS na, len(b) AS nb
-            FROM {p}_measured WHERE conf >= 0.05 AND lft >= 1.0""",
+            FROM {p}_measured WHERE conf >= {confidence} AND lft >= {lift}""",
     }
 
 
 CTES |= _mining("name", "Description", "Description IS NOT NULL", 50, 0.005)
+CTES |= _mining("kind", "Kind", "Kind IS NOT NULL", 1_000_000, 0.02, 5, 0.2, 0.5)
 CTES |= _mining("brand", "Brand", f"Brand IS NOT NULL AND Country = {HOME}", 20, 0.02)
 CTES |= {
     "pairs": """
@@ -375,10 +381,8 @@ _SUM = "sum(TotalAmount)"
 
 
 def _wide(value: str) -> str:
-    every = "SELECT cohort, idx FROM (SELECT DISTINCT cohort FROM ret), range((SELECT max(idx) + 1 FROM ret)) t(idx)"
-    cells = f"""SELECT e.cohort AS "CohortMonth", 'M' || e.idx AS col, r.{value} AS v
-        FROM ({every}) e LEFT JOIN ret r ON e.cohort = r.cohort AND e.idx = r.idx"""
-    return f'SELECT * FROM (PIVOT ({cells}) ON col USING max(v) GROUP BY "CohortMonth")'
+    cells = ", ".join(f'max({value}) FILTER (idx = {i}) AS "M{i}"' for i in range(84))
+    return f'SELECT cohort AS "CohortMonth", {cells} FROM ret GROUP BY cohort'
 
 
 def _split_report(units: str) -> str:
@@ -516,6 +520,8 @@ _SELECTS: dict[str, str] = {
     "frequent_brand_itemsets": "SELECT array_to_string(items, ', ') AS itemset, len(items) AS length, c AS n, support FROM brand_sets",
     "association_rules": f"SELECT {_RULE_COLUMNS} FROM name_rules",
     "brand_association_rules": f"SELECT {_RULE_COLUMNS} FROM brand_rules",
+    "long_itemsets": "SELECT array_to_string(items, ', ') AS itemset, len(items) AS length, c AS n, support FROM kind_sets",
+    "long_association_rules": f"SELECT {_RULE_COLUMNS} FROM kind_rules",
     "rule_strength_counts": "SELECT strength, count(*) AS rules FROM name_rules GROUP BY strength",
     "top_product_pairs": "SELECT * FROM pairs",
     "rfm_segment_reference": """

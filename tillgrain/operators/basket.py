@@ -211,16 +211,21 @@ def association_rules(itemsets: DataFrame, config: BasketConfig = BasketConfig()
             F.col("itemset").alias(prefix), F.col("support").alias(f"_{prefix}_support")
         )
 
-    sup, sup_a, sup_c = F.col("support"), F.col("_antecedents_support"), F.col("_consequents_support")
-    confidence = sup / sup_a
+    confidence = F.col("support") / F.col("_antecedents_support")
     measured = (
         splits.select(side(1).alias("antecedents"), side(0).alias("consequents"), "support")
         .join(supports("antecedents"), "antecedents")
         .join(supports("consequents"), "consequents")
         .withColumn("confidence", confidence)
-        .withColumn("lift", F.col("confidence") / sup_c)
-        .filter((F.col("confidence") >= config.min_confidence) & (F.col("lift") >= config.min_lift))
+        .filter(F.col("confidence") >= config.min_confidence)
     )
+    return described_rules(measured, config)
+
+
+def described_rules(measured: DataFrame, config: BasketConfig = BasketConfig()) -> DataFrame:
+    """Rules with all their measures, from both sides, their supports and the confidence."""
+    sup, sup_a, sup_c = F.col("support"), F.col("_antecedents_support"), F.col("_consequents_support")
+    measured = measured.withColumn("lift", F.col("confidence") / sup_c).filter(F.col("lift") >= config.min_lift)
     certain = F.col("confidence") >= 1
     conviction = F.when(certain, F.lit(float("inf"))).otherwise(
         F.try_divide(1 - sup_c, 1 - F.col("confidence"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillgrain.config import BasketConfig, CleaningConfig, Ladder, ReportConfig, Step
-from tillgrain.operators import basket, cleaning, cohort, features, quality, rfm
+from tillgrain.operators import basket, cleaning, cohort, features, itemsets, quality, rfm
 from tillgrain.operators.grains import customer_months
 from tillgrain.operators.star import (
     dim_customers,
@@ -18,7 +18,7 @@ from tillgrain.operators.star import (
     fact_transactions,
 )
 from tillgrain.plans import chart_feeds, customer_reports, sales_reports
-from tillgrain.session import materialize
+from tillgrain.session import Scratch, materialize
 from tillgrain.sources import tpch
 from tillgrain.sources.readers import RFM_REQUIRED, validate
 
@@ -26,6 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 HOME = "NATION_2"
 OUTLIER_FRACTION = 0.99
+LAST_COHORT_MONTH = 83
+"""The tables span seven years of orders; a cell past them is an error."""
 PRICE_EDGES = (0, 1_000, 5_000, 10_000, 50_000, 1_000_000)
 PRICE_LABELS = ("Very Low", "Low", "Medium", "High", "Premium")
 MINIMUM_ROWS = {
@@ -64,6 +66,8 @@ BASKETS = BasketConfig(
 BRAND_BASKETS = BasketConfig(
     home_market=HOME, min_support=0.02, min_confidence=0.05, min_lift=1.0, top_products=20
 )
+TYPE_BASKETS = BasketConfig(home_market=None, min_support=0.02, min_confidence=0.2, min_lift=0.5)
+LONGEST_TYPE_SET = 5
 
 _BASKET_COLUMNS = ("InvoiceNo", "Description", "Quantity", "Country")
 
@@ -125,7 +129,7 @@ class _LazyStar:
         self._builders = {
             "dim_customers": lambda: _customers(spark, folder),
             "dim_products": lambda: materialize(_products(spark, folder)),
-            "dim_date": lambda: materialize(dim_date(tpch.headers(spark, folder))),
+            "dim_date": lambda: materialize(dim_date(tpch.invoices(spark, folder))),
             "dim_geography": lambda: materialize(_geography(spark, folder)),
             "dim_rfm_segments": lambda: rfm.segment_reference(spark),
             "fact_transactions": lambda: _fact(spark, folder),
@@ -164,8 +168,7 @@ def _cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cohort_counts(spark: SparkSession, folder: str) -> DataFrame:
-    cells = materialize(_cells(spark, folder))
-    return cohort.wide(cohort.cohort_counts(cells), "Customers", cohort.last_index(cells))
+    return cohort.wide(cohort.cohort_counts(_cells(spark, folder)), "Customers", LAST_COHORT_MONTH)
 
 
 def _retention(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,6 +205,17 @@ def _brand_itemsets(spark: SparkSession, folder: str) -> DataFrame:
     return basket.frequent_itemsets(found, BRAND_BASKETS)
 
 
+def _type_itemsets(spark: SparkSession, folder: str) -> DataFrame:
+    lines = tpch.sales_lines(spark, folder, ("InvoiceNo", "Description", "Quantity"), item="p_type")
+    items = itemsets.basket_items(lines, TYPE_BASKETS)
+    return itemsets.mined_itemsets(items, Scratch(spark), TYPE_BASKETS, LONGEST_TYPE_SET)
+
+
+def _type_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = materialize(_type_itemsets(spark, folder))
+    return _rule_table(itemsets.grown_rules(found, Scratch(spark), TYPE_BASKETS))
+
+
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     return basket.network_edges(_pairs(spark, folder), BASKETS)
 
@@ -272,9 +286,9 @@ _ANALYSES: dict[str, Query] = {
     "cohort_extent": lambda s, d: cohort.cohort_extent(_cells(s, d)),
     "cohort_counts": _cohort_counts,
     "cohort_retention_long": _retention,
-    "cohort_retention_matrix": lambda s, d: cohort.retention_matrix(materialize(_cells(s, d))),
+    "cohort_retention_matrix": lambda s, d: cohort.retention_matrix(_cells(s, d), LAST_COHORT_MONTH),
     "cohort_revenue_long": lambda s, d: cohort.revenue_long(_cells(s, d)),
-    "cohort_revenue_matrix": lambda s, d: cohort.revenue_matrix(materialize(_cells(s, d))),
+    "cohort_revenue_matrix": lambda s, d: cohort.revenue_matrix(_cells(s, d), LAST_COHORT_MONTH),
     "cohort_summary": lambda s, d: cohort.cohort_summary(_retention(s, d)),
     "cohort_best_worst": lambda s, d: cohort.best_and_worst(cohort.cohort_summary(_retention(s, d))),
     # baskets
@@ -287,6 +301,8 @@ _ANALYSES: dict[str, Query] = {
     "brand_association_rules": lambda s, d: _rule_table(
         basket.association_rules(materialize(_brand_itemsets(s, d)), BRAND_BASKETS)
     ),
+    "long_itemsets": _type_itemsets,
+    "long_association_rules": _type_rules,
     "rule_strength_counts": lambda s, d: basket.rule_strength_counts(_rules(s, d)),
     "top_product_pairs": _pairs,
     # star schema and its checks
