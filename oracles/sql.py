@@ -534,6 +534,12 @@ _SELECTS: dict[str, str] = {
     "fact_transactions": f"""
         SELECT * REPLACE ({stamp('invoicedate')} AS invoicedate, {dbl('unitprice')} AS unitprice,
                           {dbl('totalamount')} AS totalamount) FROM fact""",
+    "star_refreshed_twice": f"""
+        SELECT year, month, lines, amount, version, days
+        FROM (SELECT year, month, count(*) AS lines, {dbl('sum(totalamount)')} AS amount,
+                     CASE WHEN year BETWEEN 1993 AND 1995 THEN 1 WHEN year = 1996 THEN 2 ELSE 3 END AS version
+              FROM fact WHERE quantity <= 40 OR year NOT BETWEEN 1993 AND 1995 GROUP BY year, month)
+        JOIN (SELECT year, month, count(*) AS days FROM dimd GROUP BY year, month) USING (year, month)""",
     "star_row_counts": """
         SELECT 'fact_transactions' AS tbl, count(*) AS rows FROM fact
         UNION ALL SELECT 'dim_customers', count(*) FROM dimc

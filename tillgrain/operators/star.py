@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tillgrain.operators.grains import invoice_grain, order_count, totals_and_di
 from tillgrain.operators.rfm import rfm_segments, segment_reference
 from tillgrain.session import materialize
 from tillgrain.sources.schemas import STAR_TYPES
+from tillgrain.sources.versions import Store
 from tillgrain.sources.writers import write_parquet
 
 FACT_PARTITIONS = ("year", "month")
@@ -149,6 +151,26 @@ def fact_transactions(lines: DataFrame) -> DataFrame:
     )
 
 
+def touched_months(fact: DataFrame) -> list[tuple[int, int]]:
+    """Months that fact rows lie in; as many as the calendar has."""
+    return sorted((r.year, r.month) for r in fact.select(*FACT_PARTITIONS).distinct().collect())
+
+
+def within_months(when: Column, months: Sequence[tuple[int, int]]) -> Column:
+    """Whether a time lies in one of the months, as ranges that a scan can skip files by."""
+    numbers = sorted({12 * y + m - 1 for y, m in months})
+    inside = F.lit(False)
+    for i, first in enumerate(numbers):
+        if i and numbers[i - 1] == first - 1:
+            continue  # within the range before
+        last = first
+        while last + 1 in numbers:
+            last += 1
+        begin, end = (f"{n // 12:04d}-{n % 12 + 1:02d}-01" for n in (first, last + 1))
+        inside = inside | ((when >= F.lit(begin).cast("timestamp_ntz")) & (when < F.lit(end).cast("timestamp_ntz")))
+    return inside
+
+
 def lines_of_fact(fact: DataFrame) -> DataFrame:
     """Fact rows under the names of sales lines, so that every analysis runs on a stored fact."""
     return fact.select(
@@ -195,6 +217,32 @@ class Star:
     def read(cls, spark: SparkSession, folder: str) -> Star:
         return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
 
+    @classmethod
+    def at(cls, store: Store, version: int | None = None) -> Star:
+        """The tables of one version of a store, all of the same refresh."""
+        if version is None:
+            version = store.manifest().version
+        return cls(**{f.name: store.table(f.name, version) for f in fields(cls)})
+
+    def refresh(self, store: Store, months: Sequence[tuple[int, int]] | None = None) -> int:
+        """Publish a new version: all dimensions, and of the fact only the (year, month) touched.
+
+        Without ``months`` the whole fact is new. Readers see the version before until all tables
+        are written. Returns the version.
+        """
+        change = store.refresh()
+        for f in fields(self):
+            frame = getattr(self, f.name)
+            if f.name != "fact_transactions":
+                change.replace(f.name, as_published(frame, f.name) if f.name in STAR_TYPES else frame)
+                continue
+            touched = touched_months(frame) if months is None else sorted(set(months))
+            if months is None and f.name in change.next.tables:
+                change.next.tables[f.name]["parts"] = {}
+            frame = as_published(frame.filter(within_months(F.col("invoicedate"), touched)), f.name)
+            change.replace_partitions(f.name, frame, FACT_PARTITIONS, touched)
+        return change.publish()
+
     def write(self, folder: str) -> None:
         """Full refresh, dimensions first; the fact is partitioned by year and month.
 

@@ -11,6 +11,7 @@ from tillgrain.config import BasketConfig, CleaningConfig, Ladder, ReportConfig,
 from tillgrain.operators import basket, cleaning, cohort, features, itemsets, quality, rfm
 from tillgrain.operators.grains import customer_months
 from tillgrain.operators.star import (
+    Star,
     dim_customers,
     dim_date,
     dim_geography,
@@ -21,6 +22,7 @@ from tillgrain.plans import chart_feeds, customer_reports, sales_reports
 from tillgrain.session import Scratch, materialize
 from tillgrain.sources import tpch
 from tillgrain.sources.readers import RFM_REQUIRED, validate
+from tillgrain.sources.versions import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,6 +149,31 @@ def _star(spark: SparkSession, folder: str) -> _LazyStar:
     return _LazyStar(spark, folder)
 
 
+def _refreshed_star(spark: SparkSession, folder: str) -> DataFrame:
+    """Months of a star that was loaded once and refreshed twice, as its newest version has them.
+
+    The first load has the years before 1996 without the large lines; they come late, those of
+    1992 with the second refresh, the others never. 1996 comes first, 1997 and later second.
+    """
+    lines = _lines(spark, folder)
+    late, year = F.col("Quantity") > 40, F.year("InvoiceDate")
+    months = lambda *years: [(y, m) for y in years for m in range(1, 13)]
+    store = Store(spark, Scratch(spark).folder())
+    steps = [
+        (lines.filter(~late & (year < 1996)), months(1992, 1993, 1994, 1995)),
+        (lines.filter(year <= 1996), months(1996)),
+        (lines, months(1992, *range(1997, 2000))),
+    ]
+    for known, touched in steps:
+        Star.build(known, HOME).refresh(store, touched)
+    star, parts = Star.at(store), store.parts("fact_transactions")
+    rows = spark.createDataFrame([(part, version) for part, version in parts.items()], "part string, version bigint")
+    part = F.concat(F.lit("year="), F.col("year").cast("string"), F.lit("/month="), F.col("month").cast("string"))
+    fact = star.fact_transactions.groupBy("year", "month").agg(F.count(F.lit(1)).alias("lines"), F.sum("totalamount").alias("amount"))
+    days = star.dim_date.groupBy("year", "month").agg(F.count(F.lit(1)).alias("days"))
+    return fact.withColumn("part", part).join(rows, "part").join(days, ["year", "month"]).drop("part")
+
+
 def _given_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated, missing and unmatched keys of the given tables."""
     keys = {
@@ -312,6 +339,7 @@ _ANALYSES: dict[str, Query] = {
     "dim_date": lambda s, d: dim_date(tpch.invoices(s, d)),
     "dim_geography": _geography,
     "fact_transactions": _fact,
+    "star_refreshed_twice": _refreshed_star,
     "star_row_counts": lambda s, d: quality.row_counts(_star(s, d)),
     "dq_row_counts": lambda s, d: quality.expected_row_counts(
         quality.row_counts(_star(s, d)), MINIMUM_ROWS

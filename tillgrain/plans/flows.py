@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tillgrain.config import BasketConfig, CleaningConfig, RfmConfig
@@ -13,6 +15,7 @@ from tillgrain.operators.star import Star
 from tillgrain.session import materialize
 from tillgrain.sources.readers import load_lines, load_table
 from tillgrain.sources.schemas import BASKET_REQUIRED
+from tillgrain.sources.versions import Store
 from tillgrain.sources.writers import write_csv, write_parquet
 
 
@@ -103,6 +106,24 @@ def run_warehouse(
     return star, checks
 
 
+def refresh_warehouse(
+    spark: SparkSession,
+    sales_path: str,
+    out: str,
+    months: Sequence[tuple[int, int]] | None = None,
+    home_market: str = "United Kingdom",
+    config: RfmConfig = RfmConfig(),
+) -> Star:
+    """Sales lines to a new version of the star in a versioned store.
+
+    Only the touched ``months`` of the fact are written (None: all of them); dimensions hold
+    figures of all sales and are written whole. Readers switch to the new version at its end.
+    """
+    store = Store(spark, out)
+    version = Star.build(load_table(spark, sales_path), home_market, config).refresh(store, months)
+    return Star.at(store, version)
+
+
 def _store(results: dict[str, DataFrame], out: str) -> dict[str, DataFrame]:
     for name, frame in results.items():
         write_csv(frame, f"{out}/{name}")

@@ -62,14 +62,15 @@ def scratch_root(spark: SparkSession) -> str:
     """This application's own folder for intermediate tables, removed when its driver ends."""
     root = f"{shared_folder(spark)}/tillgrain-{spark.sparkContext.applicationId}"
     if root not in _marked:
-        path, files = _hadoop(spark, root)
+        path, files = hadoop_path(spark, root)
         files.mkdirs(path)
         files.deleteOnExit(path)
         _marked.add(root)
     return root
 
 
-def _hadoop(spark: SparkSession, location: str):
+def hadoop_path(spark: SparkSession, location: str):
+    """A location and the file system it lies on, whatever its scheme."""
     path = spark._jvm.org.apache.hadoop.fs.Path(location)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -100,7 +101,7 @@ class Scratch:
     def drop(self, *stored: DataFrame) -> None:
         for frame in stored:
             _, location = self._paths.pop(id(frame))
-            path, files = _hadoop(self.spark, location)
+            path, files = hadoop_path(self.spark, location)
             files.delete(path, True)
 
     def __enter__(self) -> Scratch:
