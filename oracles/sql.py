@@ -431,6 +431,23 @@ _ISO = "strftime(lastpurchasedate, '%Y-%m-%d')"
 
 _SELECTS: dict[str, str] = {
     "load_sales_lines": f"SELECT {_LINE}, Description, Country, {dbl('TotalAmount')} AS TotalAmount FROM sales",
+    "csv_round_trip": f"""
+        SELECT yearmonth AS "Month", count(*) AS lines, count(DISTINCT InvoiceNo) AS orders,
+               count(DISTINCT CustomerID) AS customers, {dbl('sum(Revenue)')} AS amount
+        FROM sales GROUP BY yearmonth""",
+    "csv_rejects": f"""
+        WITH marked AS (
+            SELECT *, InvoiceNo % 47 = 0 OR InvoiceNo % 53 = 0 AS shape, InvoiceNo % 37 = 0 AS bare,
+                   InvoiceNo % 41 = 0 AS pieces, InvoiceNo % 43 = 0 AS day FROM sales)
+        SELECT 'accepted' AS outcome, count(*) AS lines, {dbl('sum(Revenue)')} AS amount
+        FROM marked WHERE NOT (shape OR bare OR pieces OR day)
+        UNION ALL SELECT 'rejected', count(*), NULL FROM marked WHERE shape OR bare OR pieces OR day
+        UNION ALL SELECT reason, count(*), NULL FROM (
+            SELECT 'number of columns' AS reason FROM marked WHERE shape
+            UNION ALL SELECT 'InvoiceNo: missing' FROM marked WHERE bare AND NOT shape
+            UNION ALL SELECT 'Quantity: not int' FROM marked WHERE pieces AND NOT shape
+            UNION ALL SELECT 'InvoiceDate: not timestamp_ntz' FROM marked WHERE day AND NOT shape)
+        GROUP BY reason""",
     "clean_sales": f"""
         WITH ok AS (SELECT * FROM raw WHERE CustomerID IS NOT NULL AND InvoiceNo NOT LIKE 'C%'
                     AND Quantity > 0 AND UnitPrice > 0)
@@ -537,8 +554,8 @@ _SELECTS: dict[str, str] = {
     "star_refreshed_twice": f"""
         SELECT year, month, lines, amount, version, days
         FROM (SELECT year, month, count(*) AS lines, {dbl('sum(totalamount)')} AS amount,
-                     CASE WHEN year BETWEEN 1993 AND 1995 THEN 1 WHEN year = 1996 THEN 2 ELSE 3 END AS version
-              FROM fact WHERE quantity <= 40 OR year NOT BETWEEN 1993 AND 1995 GROUP BY year, month)
+                     CASE WHEN year IN (1996, 1997) THEN 1 WHEN year = 1998 THEN 2 ELSE 3 END AS version
+              FROM fact WHERE quantity <= 40 OR year NOT IN (1996, 1997) GROUP BY year, month)
         JOIN (SELECT year, month, count(*) AS days FROM dimd GROUP BY year, month) USING (year, month)""",
     "star_row_counts": """
         SELECT 'fact_transactions' AS tbl, count(*) AS rows FROM fact

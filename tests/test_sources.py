@@ -89,3 +89,44 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE bucket_a")
         spark.sql("DROP TABLE bucket_b")
+
+
+def test_lines_that_cannot_be_read_are_set_apart(spark, tmp_path):
+    path = csv(
+        tmp_path,
+        HEADER
+        + "1,A,fine,6,12/1/2010 8:26,2.55,17850.0,France\n"
+        + "2,B,CAFÉ,six,12/1/2010 8:26,2.55,17850.0,France\n"
+        + "3,C,both,x,31/31/2010 8:26,dear,1.0,France\n"
+        + "4,D,short,6\n"
+        + '5,E,"long, quoted",6,12/1/2010 8:26,2.55,1.0,France,more\n'
+        + ",F,no number,6,12/1/2010 8:26,2.55,1.0,France\n"
+        + ",G,no number,six,12/1/2010 8:26,2.55,1.0,France\n"
+        + "7,H,,-1,12/1/2010 9:41,27.50,,France\n",
+    )
+    accepted = readers.load_lines_with_rejects(spark, path, f"{tmp_path}/rejects")
+    assert rows(accepted, "InvoiceNo", "Quantity", "CustomerID") == [("1", 6, 17850.0), ("7", -1, None)]
+    assert accepted.schema["Quantity"].dataType == readers.INVOICE_LINES["Quantity"].dataType
+    rejected = spark.read.parquet(f"{tmp_path}/rejects")
+    found = {r.line: r.reasons for r in rejected.collect()}
+    assert found == {
+        "2,B,CAFÉ,six,12/1/2010 8:26,2.55,17850.0,France": ["Quantity: not int"],
+        "3,C,both,x,31/31/2010 8:26,dear,1.0,France": ["Quantity: not int", "InvoiceDate: not timestamp_ntz", "UnitPrice: not decimal(14,4)"],
+        "4,D,short,6": ["number of columns"],
+        '5,E,"long, quoted",6,12/1/2010 8:26,2.55,1.0,France,more': ["number of columns"],
+        ",F,no number,6,12/1/2010 8:26,2.5500,1.0,France": ["InvoiceNo: missing"],
+        ",G,no number,six,12/1/2010 8:26,2.55,1.0,France": ["Quantity: not int", "InvoiceNo: missing"],
+    }
+    assert all(r.file.endswith("lines.csv") for r in rejected.collect())
+    # the count of rejects does not hang on the columns that are asked for
+    _, bad = readers.read_csv_with_rejects(spark, path)
+    assert bad.count() == 5 and bad.select("file").count() == 5
+
+
+def test_nothing_is_rejected_of_good_lines_and_files_need_no_header(spark, tmp_path):
+    path = csv(tmp_path, "9,2.5,4\n8,1,2\n")
+    good, bad = readers.read_csv_with_rejects(spark, path, columns=["InvoiceNo", "UnitPrice", "Quantity"])
+    assert rows(good.select("InvoiceNo", "Quantity")) == [("8", 2), ("9", 4)]
+    assert bad.collect() == []
+    with pytest.raises(ValueError, match="CustomerID"):
+        readers.read_csv_with_rejects(spark, path, columns=["InvoiceNo"], required=["CustomerID"])

@@ -16,7 +16,7 @@ from tillgrain.operators.grains import invoice_grain, order_count, totals_and_di
 from tillgrain.operators.rfm import rfm_segments, segment_reference
 from tillgrain.session import materialize
 from tillgrain.sources.schemas import STAR_TYPES
-from tillgrain.sources.versions import Store
+from tillgrain.sources.versions import Refresh, Store
 from tillgrain.sources.writers import write_parquet
 
 FACT_PARTITIONS = ("year", "month")
@@ -233,14 +233,10 @@ class Star:
         change = store.refresh()
         for f in fields(self):
             frame = getattr(self, f.name)
-            if f.name != "fact_transactions":
+            if f.name == "fact_transactions":
+                replace_months(change, frame, months)
+            else:
                 change.replace(f.name, as_published(frame, f.name) if f.name in STAR_TYPES else frame)
-                continue
-            touched = touched_months(frame) if months is None else sorted(set(months))
-            if months is None and f.name in change.next.tables:
-                change.next.tables[f.name]["parts"] = {}
-            frame = as_published(frame.filter(within_months(F.col("invoicedate"), touched)), f.name)
-            change.replace_partitions(f.name, frame, FACT_PARTITIONS, touched)
         return change.publish()
 
     def write(self, folder: str) -> None:
@@ -257,6 +253,16 @@ class Star:
             write_parquet(frame, f"{folder}/{f.name}", partitions)
 
 
+def replace_months(change: Refresh, fact: DataFrame, months: Sequence[tuple[int, int]] | None = None) -> None:
+    """Put the touched months of a fact into a change of its store (None: the whole fact)."""
+    name = "fact_transactions"
+    touched = touched_months(fact) if months is None else sorted(set(months))
+    if months is None and name in change.next.tables:
+        change.next.tables[name]["parts"] = {}
+    inside = fact.filter(within_months(F.col("invoicedate"), touched))
+    change.replace_partitions(name, as_published(inside, name), FACT_PARTITIONS, touched)
+
+
 def as_published(frame: DataFrame, name: str) -> DataFrame:
     """Columns and types of the published schema; a value its type cannot hold is an error."""
 

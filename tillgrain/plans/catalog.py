@@ -8,21 +8,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillgrain.config import BasketConfig, CleaningConfig, Ladder, ReportConfig, Step
+from tillgrain.functions.calendar import month_label
 from tillgrain.operators import basket, cleaning, cohort, features, itemsets, quality, rfm
 from tillgrain.operators.grains import customer_months
 from tillgrain.operators.star import (
-    Star,
+    as_published,
     dim_customers,
     dim_date,
     dim_geography,
     dim_products,
     fact_transactions,
+    replace_months,
 )
 from tillgrain.plans import chart_feeds, customer_reports, sales_reports
 from tillgrain.session import Scratch, materialize
 from tillgrain.sources import tpch
-from tillgrain.sources.readers import RFM_REQUIRED, validate
+from tillgrain.sources.readers import RFM_REQUIRED, load_lines, load_lines_with_rejects, validate
 from tillgrain.sources.versions import Store
+from tillgrain.sources.writers import write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,28 +152,80 @@ def _star(spark: SparkSession, folder: str) -> _LazyStar:
     return _LazyStar(spark, folder)
 
 
+_CSV_COLUMNS = ("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country")
+_CSV_DATE = "M/d/yyyy H:mm"
+
+
+def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Months of lines that were written as CSV with a header and loaded again."""
+    lines = _lines(spark, folder, *_CSV_COLUMNS).withColumn("InvoiceDate", F.date_format("InvoiceDate", _CSV_DATE))
+    path = Scratch(spark).folder()
+    write_csv(lines, path)
+    loaded = load_lines(spark, path, encoding="UTF-8")
+    return loaded.groupBy(month_label(F.col("InvoiceDate")).alias("Month")).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_distinct("InvoiceNo").alias("orders"),
+        F.count_distinct("CustomerID").alias("customers"),
+        F.sum("TotalAmount").alias("amount"),
+    )
+
+
+def _csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What a load accepts and rejects of the lines as CSV, some spoilt by their order number."""
+    lines = _lines(spark, folder, *_CSV_COLUMNS)
+    order = F.col("InvoiceNo")
+    spoilt = lines.select(
+        order,
+        F.to_csv(
+            F.struct(
+                F.when(order % 37 != 0, order).alias("InvoiceNo"),
+                "StockCode",
+                "Description",
+                F.when(order % 41 == 0, F.lit("many")).otherwise(F.col("Quantity").cast("string")).alias("Quantity"),
+                F.when(order % 43 == 0, F.lit("31/31/1995")).otherwise(F.date_format("InvoiceDate", _CSV_DATE)).alias("InvoiceDate"),
+                "UnitPrice",
+                F.col("CustomerID").cast("double").alias("CustomerID"),
+                "Country",
+            ),
+        ).alias("line"),
+    )
+    short = F.regexp_replace("line", ",[^,]*,[^,]*$", "")
+    line = F.when(order % 47 == 0, short).when(order % 53 == 0, F.concat("line", F.lit(",more"))).otherwise(F.col("line"))
+    scratch = Scratch(spark)
+    path, rejects = scratch.folder(), scratch.folder()
+    spoilt.select(line.alias("value")).write.text(path)
+    loaded = load_lines_with_rejects(spark, path, rejects, columns=_CSV_COLUMNS, encoding="UTF-8")
+    rejected = spark.read.parquet(rejects)
+    reasons = rejected.select(F.explode("reasons").alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"))
+    count = lambda frame, outcome: frame.agg(F.count(F.lit(1)).alias("lines")).select(F.lit(outcome).alias("outcome"), "lines")
+    whole = loaded.agg(F.count(F.lit(1)).alias("lines"), F.sum("TotalAmount").alias("amount")).select(F.lit("accepted").alias("outcome"), "lines", "amount")
+    others = count(rejected, "rejected").unionByName(reasons).withColumn("amount", F.lit(None).cast("double"))
+    return whole.withColumn("amount", F.col("amount").cast("double")).unionByName(others)
+
+
 def _refreshed_star(spark: SparkSession, folder: str) -> DataFrame:
-    """Months of a star that was loaded once and refreshed twice, as its newest version has them.
+    """Months of a fact that was loaded once and refreshed twice, as the newest version has them.
 
-    The first load has the years before 1996 without the large lines; they come late, those of
-    1992 with the second refresh, the others never. 1996 comes first, 1997 and later second.
+    The first load has the years before 1998 without the large lines; they come late, those of
+    1995 with the second refresh, the others never. 1998 comes first, 1999 and later second.
     """
-    lines = _lines(spark, folder)
+    lines = _lines(spark, folder, *_FACT_COLUMNS)
     late, year = F.col("Quantity") > 40, F.year("InvoiceDate")
     months = lambda *years: [(y, m) for y in years for m in range(1, 13)]
     store = Store(spark, Scratch(spark).folder())
-    steps = [
-        (lines.filter(~late & (year < 1996)), months(1992, 1993, 1994, 1995)),
-        (lines.filter(year <= 1996), months(1996)),
-        (lines, months(1992, *range(1997, 2000))),
-    ]
-    for known, touched in steps:
-        Star.build(known, HOME).refresh(store, touched)
-    star, parts = Star.at(store), store.parts("fact_transactions")
-    rows = spark.createDataFrame([(part, version) for part, version in parts.items()], "part string, version bigint")
+    for known, touched in (
+        (lines.filter(~late & (year < 1998)), months(1995, 1996, 1997)),
+        (lines.filter(year <= 1998), months(1998)),
+        (lines, months(1995, *range(1999, 2003))),
+    ):
+        change = store.refresh()
+        replace_months(change, fact_transactions(known), touched)
+        change.replace("dim_date", as_published(dim_date(known), "dim_date"))
+        change.publish()
+    rows = spark.createDataFrame(list(store.parts("fact_transactions").items()), "part string, version bigint")
     part = F.concat(F.lit("year="), F.col("year").cast("string"), F.lit("/month="), F.col("month").cast("string"))
-    fact = star.fact_transactions.groupBy("year", "month").agg(F.count(F.lit(1)).alias("lines"), F.sum("totalamount").alias("amount"))
-    days = star.dim_date.groupBy("year", "month").agg(F.count(F.lit(1)).alias("days"))
+    fact = store.table("fact_transactions").groupBy("year", "month").agg(F.count(F.lit(1)).alias("lines"), F.sum("totalamount").alias("amount"))
+    days = store.table("dim_date").groupBy("year", "month").agg(F.count(F.lit(1)).alias("days"))
     return fact.withColumn("part", part).join(rows, "part").join(days, ["year", "month"]).drop("part")
 
 
@@ -277,6 +332,8 @@ def _quantity_outliers(spark: SparkSession, folder: str) -> DataFrame:
 _ANALYSES: dict[str, Query] = {
     # sources and cleaning
     "load_sales_lines": lambda s, d: validate(_lines(s, d), RFM_REQUIRED),
+    "csv_round_trip": _csv_round_trip,
+    "csv_rejects": _csv_rejects,
     "clean_sales": lambda s, d: cleaning.clean_sales(
         tpch.raw_lines(s, d, return_flag="R"), CleaningConfig(quantity_quantile=0.95)
     ),
