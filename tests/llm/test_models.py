@@ -76,6 +76,71 @@ def test_model_is_kneser_ney(make_docs, scratch):
     perplexity._load.cache_clear()
 
 
+def plain_log_probabilities(text, model_of):
+    """Kneser-Ney by dictionaries: what the text alone has counts as unseen."""
+    order, bits = perplexity.ORDER, perplexity.BITS
+    codes = letters(text).tolist()
+    own, mine = Counter(), Counter()
+    padded = [0] * (order - 1) + codes
+    for i in range(len(codes)):
+        for k in range(1, order + 1):
+            gram = 0
+            for c in padded[i + order - k : i + order]:
+                gram = gram << bits | c
+            own[k, gram] += 1
+            mine[k - 1, gram >> bits] += 1
+    out = []
+    for i in range(len(codes)):
+        value = 0.0
+        for k in range(order, 0, -1):
+            gram = 0
+            for c in padded[i + order - k : i + order]:
+                gram = gram << bits | c
+            entry = model_of.get(k << 60 | gram)
+            if entry is not None and entry.raw > own[k, gram]:
+                value += entry.logp
+                break
+            context = model_of.get((k - 1) << 60 | gram >> bits)
+            if context is not None and context.follow > mine[k - 1, gram >> bits]:
+                value += context.bow
+        else:
+            value -= math.log(1 << bits)
+        out.append(value)
+    return out
+
+
+def test_scores_of_a_slice_equal_plain_kneser_ney(make_docs, scratch, monkeypatch):
+    rng = random.Random(9)
+    texts = [speech("xx", rng, rng.randint(1, 60)) for _ in range(25)]
+    texts += [texts[0] + " " + texts[1], texts[2] * 3, "Ünïcode \u4e2d\u6587 ΑΣ  \n\t x7 0", "", "zzzzzzzzzz", "qqqq zzzz"]
+    docs = make_docs([(i, t, "xx", None) for i, t in enumerate(texts)]).select("lang", "text")
+    held = {r.key: r for r in train(docs, scratch).filter("lang = 'xx'").collect()}
+    monkeypatch.setattr(perplexity, "FILE_ROWS", 300)
+    for least in (1, 2):  # what occurs once never matters
+        _, files = store(perplexity.trained(docs, scratch, least)[0], scratch)
+        assert len({path for *_, path in files}) > 3
+        whole, text = perplexity.all_grams(*perplexity.all_letters([t.encode() for t in texts]))
+        got = perplexity.all_log_probabilities(whole, text, "xx", files)
+        want = [plain_log_probabilities(t, held) for t in texts]
+        for i, logs in enumerate(want):
+            assert np.allclose(got[text == i], logs, atol=1e-5), (least, i)
+        perplexity._load.cache_clear()
+
+
+def test_queries_score_is_the_plain_one(make_docs, scratch):
+    rng = random.Random(10)
+    texts = [(speech(lang or "yy", rng, rng.randint(12, 60)), lang) for lang in ["xx", "yy", None] * 12]
+    docs = make_docs([(i, t, lang, None) for i, (t, lang) in enumerate(texts)])
+    found = {r.row: r.perplexity for r in judged(docs, F.col("doc_id"), scratch).collect()}
+    for lang in ("xx", "yy", None):
+        alone = docs.filter(F.col("lang").eqNullSafe(F.lit(lang))).select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
+        held = {r.key: r for r in train(alone, scratch).filter(F.col("lang") == (lang or "")).collect()}
+        for i, (text, own) in enumerate(texts):
+            if own == lang:
+                logs = plain_log_probabilities(text, held)
+                assert found[i] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-5)
+
+
 def test_odd_documents_go_and_clean_ones_stay(make_docs, scratch):
     rng = random.Random(2)
     rows = [(i, speech("xx" if i % 2 else "yy", rng, rng.randint(12, 80)), "xx" if i % 2 else "yy", None) for i in range(200)]

@@ -17,6 +17,7 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -32,8 +33,10 @@ from tillgrain.session import Scratch
 ORDER = 5
 BITS = 12
 #: model rows in one file, and files a scoring task holds at a time
-FILE_ROWS = 1_000_000
-HELD_FILES = 4
+FILE_ROWS = 250_000
+HELD_FILES = 24
+#: bytes of text, of one language, that are scored at once
+SLICE = 4_000_000
 #: a band ends this many quartile distances beyond the quartiles, and a document must lie
 #: this many standard errors of its own mean beyond it to be rejected
 FENCE = 3.0
@@ -59,46 +62,72 @@ SCORES = (
 )
 
 
-def letters(text: str) -> np.ndarray:
-    """Codes of 12 bits: lower case, digits as 0, white space as single spaces.
+@functools.cache
+def _codes() -> np.ndarray:
+    """The 12-bit code of every code point.
 
-    Code points from 4096 on share the codes by a hash; code 0 stands for the begin of a text.
+    Digits count as 0 and white space as a space. Code points from 4096 on share the codes by a
+    hash; code 0 stands for the begin of a text.
     """
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    space = (points == 32) | ((points >= 9) & (points <= 13))
-    points = np.where(space, 32, points)
-    points = np.where((points >= 48) & (points <= 57), 48, points)
-    high = points >= 1 << BITS
-    points = np.where(high, ((points * 2654435761) >> 8) % ((1 << BITS) - 1) + 1, points)
-    points = np.where(points == 0, 1, points)
-    again = np.zeros(len(points), bool)
-    again[1:] = space[1:] & space[:-1]
-    return points[~again]
+    points = np.arange(0x110000, dtype=np.int64)
+    codes = np.where(points >= 1 << BITS, ((points * 2654435761) >> 8) % ((1 << BITS) - 1) + 1, points)
+    codes[0], codes[9:14], codes[48:58] = 1, 32, 48
+    return codes.astype(np.uint16)
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """Of each place the gram of ``ORDER`` codes that ends there."""
-    padded = np.append(np.zeros(ORDER - 1, np.int64), codes)
+def all_letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of lower-cased texts, one after the other, and how many each has.
+
+    A run of white space is one space.
+    """
+    lowered = [text.decode().lower() for text in texts]
+    ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)))
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    kept = np.ones(len(points), bool)
+    kept[1:] = ~(space[1:] & space[:-1])
+    begins = np.append(0, ends[:-1])
+    kept[begins[begins < ends]] = True
+    before = np.append(0, np.cumsum(kept))
+    return _codes()[points[kept]], before[ends] - before[begins]
+
+
+def all_grams(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place the gram of ``ORDER`` codes that ends there, and the number of its text."""
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    place = np.arange(len(codes)) + (ORDER - 1) * (text.astype(np.int64) + 1)
+    padded = np.zeros(len(codes) + (ORDER - 1) * (len(sizes) + 1), np.int64)
+    padded[place] = codes
+    place -= ORDER - 1
     result = np.zeros(len(codes), np.int64)
     for i in range(ORDER):
-        result = result << BITS | padded[i : i + len(codes)]
-    return result
+        result = result << BITS | padded[place + i]
+    return result, text
+
+
+def letters(text: str) -> np.ndarray:
+    return all_letters([text.encode()])[0].astype(np.int64)
+
+
+def grams(codes: np.ndarray) -> np.ndarray:
+    return all_grams(codes, np.array([len(codes)]))[0]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4_000_000):
-        by_lang: dict[tuple[str, int], list[np.ndarray]] = {}
-        languages = batch.column(batch.schema.get_field_index("langs")).to_pylist()
-        for langs, text in zip(languages, texts_of(batch), strict=True):
-            found = grams(letters(text.decode()))
+        members: dict[tuple[str, int], list[int]] = {}
+        for i, langs in enumerate(batch.column(batch.schema.get_field_index("langs")).to_pylist()):
             for lang in langs:
-                by_lang.setdefault((lang, 1), []).append(found)
+                members.setdefault((lang, 1), []).append(i)
             if len(langs) > 1:  # the sum over languages has the text once, too
-                by_lang.setdefault((ANY, 1 - len(langs)), []).append(found)
-        for (lang, weight), found in by_lang.items():
-            keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                members.setdefault((ANY, 1 - len(langs)), []).append(i)
+        whole, text = all_grams(*all_letters(texts_of(batch)))
+        for (lang, weight), rows in members.items():
+            chosen = np.zeros(batch.num_rows, bool)
+            chosen[rows] = True
+            kinds, keys = pd.factorize(whole[chosen[text]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts * weight)],
+                [pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(np.bincount(kinds, minlength=len(keys)) * weight)],
                 names=["lang", "gram", "raw"],
             )
 
@@ -141,12 +170,20 @@ def _key(order: int, gram: Column) -> Column:
 
 
 def train(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The whole model of ``trained``."""
+    return trained(docs, scratch, 1)[0]
+
+
+def trained(docs: DataFrame, scratch: Scratch, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, key, raw, logp, follow, bow): for each gram of 1 to ORDER codes its occurrences and
-    log probability, and for each context its occurrences and log back-off weight.
+    log probability, and for each context its occurrences and log back-off weight; and
+    (lang, expected), the mean log probability that each model gives its own corpus.
 
     The key is the order in the bits above 60 and the gram below. Counts of lower orders are the
     numbers of distinct codes seen before the gram. Every table has at most a row per distinct
-    gram of a language. Equal texts count once per language, and once in the model of all.
+    gram of a language. Equal texts count once per language, and once in the model of all. Rows
+    of fewer than ``least`` occurrences are left out at the end; with 2 no score changes, since
+    what occurs once is unseen by the text that has it and absent from all others.
     """
     counted = _distinct(docs, scratch).mapInArrow(_count, "lang string, gram bigint, raw bigint")
     single = scratch.write(counted.groupBy("lang", "gram").agg(F.sum("raw").alias("raw")))
@@ -181,13 +218,16 @@ def train(docs: DataFrame, scratch: Scratch) -> DataFrame:
         )
         found = scratch.write(rows.select("lang", "gram", "raw", "p"))
         none = F.lit(None)
+        if order == ORDER:
+            means = found.groupBy("lang").agg((F.sum(F.col("raw") * F.log("p")) / F.sum("raw")).alias("expected"))
         parts.append(found.select("lang", _key(order, F.col("gram")).alias("key"), "raw", F.log("p").alias("logp"), none.cast("bigint").alias("follow"), none.cast("double").alias("bow")))
         parts.append(contexts.select("lang", _key(order - 1, F.col("context")).alias("key"), none.cast("bigint").alias("raw"), none.cast("double").alias("logp"), "follow", F.log(F.col("freed") / F.col("total")).alias("bow")))
         lower = found.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p0"))
     whole = functools.reduce(DataFrame.unionByName, parts)
+    whole = whole.filter((F.col("raw") >= least) | (F.col("follow") >= least))
     merged = whole.groupBy("lang", "key").agg(*[F.max(x).alias(x) for x in ("raw", "logp", "follow", "bow")])
     zero = {x: F.coalesce(x, F.lit(0)) for x in ("raw", "logp", "follow", "bow")}
-    return merged.select("lang", "key", *[v.alias(k) for k, v in zero.items()])
+    return merged.select("lang", "key", *[v.alias(k) for k, v in zero.items()]), means
 
 
 def store(model: DataFrame, scratch: Scratch) -> tuple[str, list[tuple]]:
@@ -235,34 +275,84 @@ def look_up(files: list[tuple], lang: str, keys: np.ndarray, columns: tuple[str,
     return first, second
 
 
-def log_probabilities(codes: np.ndarray, lang: str, files: list[tuple]) -> np.ndarray:
-    """Of each place the log probability of its code after the codes before.
+class _Level:
+    """What the model says of one order's grams, or of their contexts, in a slice of texts.
+
+    ``kind`` maps the slice's distinct longest grams to the distinct keys of this order, which
+    have ``model`` occurrences in the model and ``here`` in the slice. A key is known to any text
+    if it occurs more often in the model than in the slice, and to no text that has it if it
+    occurs once; between, it hangs on how often the text itself has it.
+    """
+
+    def __init__(self, kind: np.ndarray, count: int, total: np.ndarray):
+        self.kind = kind
+        self.here = np.bincount(kind, weights=total, minlength=count).astype(np.int64)
+        self.model, self.value = np.zeros(count, np.int64), np.zeros(count)
+
+    def ask(self, places: np.ndarray, keys: np.ndarray, lang: str, files: list[tuple], columns: tuple[str, str]) -> None:
+        wanted = np.unique(self.kind[places])
+        wanted = wanted[np.argsort(keys[wanted])]
+        self.model[wanted], self.value[wanted] = look_up(files, lang, keys[wanted], columns)
+        self.sure = self.model > self.here
+        self.hangs = (self.model >= 2) & ~self.sure
+
+    def known(self, gram: np.ndarray, text: np.ndarray, inverse: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Whether the model knows the key of (gram, text) from other texts."""
+        kind = self.kind[gram]
+        result = self.sure[kind]
+        open_ = np.flatnonzero(self.hangs[kind])
+        if len(open_):
+            places = np.flatnonzero(self.hangs[self.kind][inverse])
+            width = len(self.here)
+            pairs, counts = np.unique(owner[places].astype(np.int64) * width + self.kind[inverse[places]], return_counts=True)
+            own = counts[np.searchsorted(pairs, text[open_].astype(np.int64) * width + kind[open_])]
+            result[open_] = self.model[kind[open_]] > own
+        return result
+
+
+def all_log_probabilities(whole: np.ndarray, text: np.ndarray, lang: str, files: list[tuple]) -> np.ndarray:
+    """Of each place the log probability of its code after the codes before, given its gram.
 
     Orders are tried from the highest; a gram counts as seen if it occurs more often than in
-    this text alone, and a context's back-off weight is paid if the context does.
+    its text alone, and a context's back-off weight is paid if the context does. Every distinct
+    gram of the slice is looked up once. Only places whose gram hangs on the text's own counts
+    are followed one by one.
     """
-    whole = grams(codes)
-    result = np.zeros(len(codes))
-    open_ = np.arange(len(codes))
+    inverse, grams_ = pd.factorize(whole)
+    total = np.bincount(inverse, minlength=len(grams_))
+    value, single = np.zeros(len(grams_)), np.zeros(len(grams_), bool)
+    open_, levels = np.arange(len(grams_)), []
+    full, kind = grams_, np.arange(len(grams_))
     for order in range(ORDER, 0, -1):
-        full = whole & ((1 << BITS * order) - 1)
-        keys, inverse, own = np.unique(full, return_inverse=True, return_counts=True)
-        asked = np.unique(inverse[open_]) if len(open_) < len(full) else np.arange(len(keys))
-        raw, logp = look_up(files, lang, keys[asked] | (order << 60), ("raw", "logp"))
-        seen, value = np.zeros(len(keys), bool), np.zeros(len(keys))
-        seen[asked], value[asked] = raw > own[asked], logp
-        known = seen[inverse[open_]]
-        result[open_[known]] += value[inverse[open_[known]]]
-        open_ = open_[~known]
-        if not len(open_):
-            return result
-        contexts, place, mine = np.unique(full >> BITS, return_inverse=True, return_counts=True)
-        asked = np.unique(place[open_])
-        follow, bow = look_up(files, lang, contexts[asked] | (order - 1 << 60), ("follow", "bow"))
-        paid = np.zeros(len(contexts))
-        paid[asked] = np.where(follow > mine[asked], bow, 0.0)
-        result[open_] += paid[place[open_]]
-    result[open_] -= np.log(1 << BITS)
+        if order < ORDER:
+            shorter, full = pd.factorize(full & ((1 << BITS * order) - 1))
+            kind = shorter[kind]
+        seen = _Level(kind, len(full), total)
+        seen.ask(open_, full | (order << 60), lang, files, ("raw", "logp"))
+        single[open_] |= seen.hangs[kind[open_]]
+        done = seen.sure[kind[open_]] & ~single[open_]
+        value[open_[done]] += seen.value[kind[open_[done]]]
+        open_ = open_[~done]
+        to_context, contexts = pd.factorize(full >> BITS)
+        context = _Level(to_context[kind], len(contexts), total)
+        context.ask(open_, contexts | (order - 1 << 60), lang, files, ("follow", "bow"))
+        single[open_] |= context.hangs[context.kind[open_]]
+        at = context.kind[open_]
+        value[open_] += np.where(context.sure[at], context.value[at], 0.0)
+        levels.append((seen, context))
+    value[open_] -= np.log(1 << BITS)
+    result = value[inverse]
+    places = np.flatnonzero(single[inverse])
+    exact, left = np.zeros(len(places)), np.arange(len(places))
+    for seen, context in levels:
+        gram, owner = inverse[places[left]], text[places[left]]
+        known = seen.known(gram, owner, inverse, text)
+        exact[left[known]] += seen.value[seen.kind[gram[known]]]
+        left, gram, owner = left[~known], gram[~known], owner[~known]
+        paid = context.known(gram, owner, inverse, text)
+        exact[left[paid]] += context.value[context.kind[gram[paid]]]
+    exact[left] -= np.log(1 << BITS)
+    result[places] = exact
     return result
 
 
@@ -285,10 +375,41 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), repeated, again
 
 
-def _mean(text: bytes, lang: str, files: list[tuple]) -> tuple[float | None, float | None]:
-    """Mean log probability of a character and its standard error."""
-    logs = log_probabilities(letters(text.decode()), lang, files)
-    return (float(logs.mean()), float(logs.std() / np.sqrt(len(logs)))) if len(logs) else (None, None)
+def log_probabilities(codes: np.ndarray, lang: str, files: list[tuple]) -> np.ndarray:
+    """``all_log_probabilities`` of one text."""
+    return all_log_probabilities(*all_grams(codes, np.array([len(codes)])), lang, files)
+
+
+def _means(logs: np.ndarray, text: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the mean of its places and its standard error; not a number without places."""
+    sizes = np.bincount(text, minlength=count)
+    with np.errstate(invalid="ignore"):
+        means = np.bincount(text, weights=logs, minlength=count) / sizes
+        spread = np.bincount(text, weights=(logs - means[text]) ** 2, minlength=count) / sizes
+        return means, np.sqrt(spread / sizes)
+
+
+def _by_language(batches: Iterator[pa.RecordBatch], most: int, held: int) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Rows of one language at a time, about ``most`` bytes of text, with ``held`` kept waiting."""
+    waiting: dict[str, list[pa.RecordBatch]] = {}
+    sizes: dict[str, int] = {}
+
+    def gathered(lang: str) -> tuple[str, pa.RecordBatch]:
+        del sizes[lang]
+        return lang, pa.Table.from_batches(waiting.pop(lang)).combine_chunks().to_batches()[0]
+
+    for batch in slices(batches, most):
+        kinds, langs = pd.factorize(np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), object))
+        for i, lang in enumerate(langs):
+            part = batch.take(pa.array(np.flatnonzero(kinds == i)))
+            waiting.setdefault(lang, []).append(part)
+            sizes[lang] = sizes.get(lang, 0) + part.nbytes
+            if sizes[lang] >= most:
+                yield gathered(lang)
+        while sum(sizes.values()) > held:
+            yield gathered(max(sizes, key=sizes.get))
+    for lang in list(waiting):
+        yield gathered(lang)
 
 
 def _score(files: list[tuple], expected: dict[str, float]):
@@ -306,18 +427,16 @@ def _score(files: list[tuple], expected: dict[str, float]):
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCORES.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 3
-        for batch in slices(batches, 4_000_000):
-            rows = []
-            languages = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            for lang, text in zip(languages, texts_of(batch), strict=True):
-                mean, error = _mean(text, lang, files)
-                second = None
-                if mean is not None and mean + ERRORS * error < expected[lang] - MARGIN:
-                    again, wide = _mean(text, ANY, files)
-                    second = again + ERRORS * wide
-                rows.append((*base_counts(text), mean, error, second))
-            added = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        for lang, batch in _by_language(batches, SLICE, 3 * SLICE):
+            texts, count = texts_of(batch), batch.num_rows
+            whole, text = all_grams(*all_letters(texts))
+            means, errors = _means(all_log_probabilities(whole, text, lang, files), text, count)
+            low = means + ERRORS * errors < expected.get(lang, 0.0) - MARGIN
+            chosen = low[text]
+            again, wide = _means(all_log_probabilities(whole[chosen], text[chosen], ANY, files), text[chosen], count)
+            counts = zip(*map(base_counts, texts), strict=True)
+            scores = (means, errors, np.where(low, again + ERRORS * wide, np.nan))
+            added = [pa.array(c, pa.int64()) for c in counts] + [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in scores]
             kept = ["lang", "row", "text_digest"]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *added], names=[*kept, *names])
 
@@ -335,10 +454,9 @@ def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", row.alias("row"),
         digest(F.col("text")).alias("text_digest"),
     )
-    model = scratch.write(train(read.select("lang", "text"), scratch))
+    model, means = trained(read.select("lang", "text"), scratch, least=2)
+    model, means = scratch.write(model), scratch.write(means)
     _, files = store(model, scratch)
-    highest = model.filter(F.col("key") >= ORDER << 60).groupBy("lang")
-    means = highest.agg((F.sum(F.col("raw") * F.col("logp")) / F.sum("raw")).alias("expected"))
     expected = {r.lang: r.expected for r in means.collect()}  # a row per language
     kind = read.schema["row"].dataType.simpleString()
     scored = scratch.write(
