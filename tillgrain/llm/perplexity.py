@@ -34,9 +34,9 @@ ORDER = 5
 BITS = 12
 #: model rows in one file, and files a scoring task holds at a time
 FILE_ROWS = 250_000
-HELD_FILES = 24
-#: bytes of text, of one language, that are scored at once
-SLICE = 4_000_000
+HELD_FILES = 16
+#: bytes of text that are counted, or of one language scored, at once
+SLICE = 2_000_000
 #: a band ends this many quartile distances beyond the quartiles, and a document must lie
 #: this many standard errors of its own mean beyond it to be rejected
 FENCE = 3.0
@@ -95,13 +95,17 @@ def all_letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def all_grams(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each place the gram of ``ORDER`` codes that ends there, and the number of its text."""
     text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    place = np.arange(len(codes)) + (ORDER - 1) * (text.astype(np.int64) + 1)
-    padded = np.zeros(len(codes) + (ORDER - 1) * (len(sizes) + 1), np.int64)
+    size = len(codes) + (ORDER - 1) * (len(sizes) + 1)
+    place = np.arange(len(codes), dtype=np.int32 if size < 2**31 else np.int64)
+    place += (ORDER - 1) * (text + 1)
+    padded = np.zeros(size, np.uint16)
     padded[place] = codes
     place -= ORDER - 1
     result = np.zeros(len(codes), np.int64)
-    for i in range(ORDER):
-        result = result << BITS | padded[place + i]
+    for _ in range(ORDER):  # in place, as this is the most that a task holds
+        result <<= BITS
+        result |= padded[place]
+        place += 1
     return result, text
 
 
@@ -114,7 +118,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 4_000_000):
+    for batch in slices(batches, SLICE):
         members: dict[tuple[str, int], list[int]] = {}
         for i, langs in enumerate(batch.column(batch.schema.get_field_index("langs")).to_pylist()):
             for lang in langs:
@@ -254,8 +258,9 @@ def _load(path: str, lang: str) -> dict[str, np.ndarray]:
     with files.open_input_file(place) as source:
         table = pq.read_table(io.BytesIO(source.read()))
     rows = table.filter(pc.equal(table["lang"], lang))
-    kinds = {"key": np.int64, "raw": np.int64, "logp": np.float32, "follow": np.int64, "bow": np.float32}
-    return {c: rows[c].to_numpy().astype(k) for c, k in kinds.items()}
+    # counts are compared with those of a slice only, which stay far below 2^31
+    kinds = {"key": np.int64, "raw": np.int32, "logp": np.float32, "follow": np.int32, "bow": np.float32}
+    return {c: (np.minimum(v, 2**31 - 1) if k is np.int32 else v).astype(k) for c, k in kinds.items() for v in (rows[c].to_numpy(),)}
 
 
 def look_up(files: list[tuple], lang: str, keys: np.ndarray, columns: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
