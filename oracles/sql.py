@@ -460,6 +460,11 @@ _SELECTS: dict[str, str] = {
                {dbl('sum(TotalAmount) FILTER (CAST(TotalAmount AS DOUBLE) <= t)')} AS kept_amount,
                round(max(t), 4) AS threshold
         FROM sales, e""",
+    "amount_quantiles": " UNION ALL ".join(
+        f"""SELECT {f}::DOUBLE AS fraction, round(quantile_cont(CAST(TotalAmount AS DOUBLE), {f}), 4) AS exact,
+                   {round(3 * 2.296 / 800**0.9021, 6)}::DOUBLE AS bound, TRUE AS holds FROM sales"""
+        for f in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    ),
     "datetime_features": f"""
         SELECT InvoiceNo, StockCode, Quantity, {stamp('InvoiceDate')} AS InvoiceDate, {_DATE_PARTS} FROM sales""",
     "price_bands": f"""
@@ -623,6 +628,17 @@ _SELECTS: dict[str, str] = {
             for c in ("r_score", "f_score", "m_score")
         ]
     ),
+    "distinct_by_period": " UNION ALL ".join(
+        f"""SELECT '{level}' AS level, {period} AS period, count(DISTINCT CustomerID) AS customers,
+                   count(DISTINCT StockCode) AS products FROM sales GROUP BY {period}"""
+        for level, period in (
+            ("day", "strftime(InvoiceDate, '%Y-%m-%d')"),
+            ("month", "yearmonth"),
+            ("quarter", "year(InvoiceDate) || '-Q' || quarter(InvoiceDate)"),
+            ("year", "strftime(InvoiceDate, '%Y')"),
+            ("all", "'all'"),
+        )
+    ),
     "verify_segment_revenue": f"""
         SELECT c.segment, count(DISTINCT f.customerid) AS customers, {rnd('sum(f.totalamount)', 0)} AS total_revenue,
                {rnd(div('sum(f.totalamount)', 'count(*)'), 2)} AS avg_line_value
@@ -816,4 +832,7 @@ def _complete(select: str) -> str:
     return f"{lead}SELECT * FROM ({select})"
 
 
+_SELECTS["bucketed_segment_revenue"] = _SELECTS["verify_segment_revenue"]
+_SELECTS["bucketed_champions"] = _SELECTS["champions_deep_dive"]
+
 ORACLES: dict[str, str] = {name: _complete(select) for name, select in _SELECTS.items()}

@@ -54,7 +54,7 @@ def test_length_limit_equals_level_search(spark, scratch):
 def test_several_bitmaps_and_uneven_slots(spark, scratch, monkeypatch):
     monkeypatch.setattr(itemsets, "BITS", 8)
     data = some_baskets(5)
-    places = itemsets.numbered(as_rows(spark, data).select("InvoiceNo").distinct(), len(data)).collect()
+    places = itemsets.numbered(as_rows(spark, data).select("InvoiceNo").distinct(), "InvoiceNo", len(data), 8).collect()
     assert len({(r._bucket, r._position) for r in places}) == len(data)
     assert max(r._position for r in places) < 8
     found = itemsets.mined_itemsets(as_rows(spark, data), scratch, BasketConfig(min_support=0.1), 4)

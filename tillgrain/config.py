@@ -91,6 +91,8 @@ MINIMUM_ROWS = {
 class CleaningConfig:
     cancel_prefix: str = "C"
     quantity_quantile: float = 0.99
+    sketch_size: int | None = None
+    """Cut outliers by a quantile sketch of this size instead of the exact search."""
 
 
 @dataclass(frozen=True)

@@ -16,10 +16,9 @@ from pyspark.sql.window import Window
 from tillgrain.config import BasketConfig
 from tillgrain.functions.numeric import ratio
 from tillgrain.operators.basket import described_rules, invoice_items, item_lines
+from tillgrain.operators.distincts import BITS, numbered
 from tillgrain.session import Scratch
 
-BITS = 32768
-"""Baskets in one bitmap, as Spark's bitmap functions fix it."""
 GROUP_PAIRS = 50_000
 """Pairs of products whose bitmaps are held at a time."""
 
@@ -36,22 +35,6 @@ def basket_items(lines: DataFrame, config: BasketConfig = BasketConfig()) -> Dat
     return pairs.filter(F.col("Quantity") != 0).join(several, "InvoiceNo", "left_semi").select("InvoiceNo", "Item")
 
 
-def numbered(baskets: DataFrame, total: int) -> DataFrame:
-    """InvoiceNo, _bucket and _position: dense places of baskets in bitmaps.
-
-    Baskets are dealt into slots that fill about half a bitmap and counted within them, so no
-    window sees more than its slot; a slot that fills more takes further buckets.
-    """
-    slots = max(1, -(-total // (BITS // 2)))
-    slot = F.pmod(F.xxhash64("InvoiceNo"), F.lit(slots))
-    place = F.row_number().over(Window.partitionBy("_slot").orderBy("InvoiceNo")) - 1
-    return baskets.withColumn("_slot", slot).withColumn("_place", place).select(
-        "InvoiceNo",
-        (F.col("_slot") + slots * F.call_function("div", F.col("_place"), F.lit(BITS))).alias("_bucket"),
-        (F.col("_place") % BITS).cast("bigint").alias("_position"),
-    )
-
-
 def _groups(products: int, most_pairs: int) -> list[tuple[int, int]]:
     """Ranges of first products, last ones first, each with a bounded number of pairs."""
     ranges, high, pairs = [], products, 0
@@ -124,7 +107,7 @@ def mined_itemsets(
     many = products.count()
     vertical = scratch.write(
         items.join(products.select("Item", "code"), "Item")
-        .join(numbered(baskets, total), "InvoiceNo")
+        .join(numbered(baskets, "InvoiceNo", total, BITS), "InvoiceNo")
         .groupBy(F.array("code").alias("itemset"), "_bucket")
         .agg(F.bitmap_construct_agg("_position").alias("bits"))
     )

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillgrain.config import BasketConfig, CleaningConfig, Ladder, ReportConfig, Step
+from tillgrain.functions import sketches
 from tillgrain.functions.calendar import month_label
-from tillgrain.operators import basket, cleaning, cohort, features, itemsets, quality, rfm
+from tillgrain.operators import basket, bucketed, cleaning, cohort, distincts, features, itemsets, quality, rfm
 from tillgrain.operators.grains import customer_months
 from tillgrain.operators.star import (
     as_published,
@@ -229,6 +230,39 @@ def _refreshed_star(spark: SparkSession, folder: str) -> DataFrame:
     return fact.withColumn("part", part).join(rows, "part").join(days, ["year", "month"]).drop("part")
 
 
+def _customer_star(spark: SparkSession, folder: str) -> bucketed.CustomerStar:
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed.CustomerStar.write(_fact(spark, folder), _customers(spark, folder), Scratch(spark).folder(), buckets)
+
+
+def _customers_by_period(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct customers and products per day, month, quarter, year and in all."""
+    lines = _lines(spark, folder, "CustomerID", "InvoiceDate", "StockCode")
+    lines = lines.select("CustomerID", F.col("StockCode").cast("string").alias("StockCode"), F.to_date("InvoiceDate").alias("day"))
+    products = materialize(lines.select("StockCode").distinct())
+    dictionary = materialize(distincts.numbered(products, "StockCode", products.count()))
+    customers = materialize(distincts.id_bitmaps(lines, ["day"], "CustomerID"))
+    bought = materialize(distincts.id_bitmaps(lines, ["day"], "StockCode", dictionary))
+    counted = distincts.period_counts(customers, "day", "customers")
+    return counted.join(distincts.period_counts(bought, "day", "products"), ["level", "period"], "left")
+
+
+def _amount_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact quantiles of the line amount, and whether sketches of the months come near enough.
+
+    Sketches are random: the bound is three times their error at 99 %.
+    """
+    lines = _lines(spark, folder, "InvoiceDate", "TotalAmount")
+    fractions = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    cents = lines.select(month_label(F.col("InvoiceDate")).alias("month"), (F.col("TotalAmount") * 100).cast("bigint").alias("cents"))
+    months = materialize(sketches.sketches(cents, "cents", ["month"]))
+    found = sketches.measured_error(cents, "cents", sketches.sketched_quantiles(months, fractions))
+    exact = cleaning.exact_quantiles(lines, "TotalAmount", fractions).select("fraction", F.round("threshold", 4).alias("exact"))
+    bound = 3 * sketches.rank_error()
+    holds = (F.col("error") <= bound).alias("holds")
+    return exact.join(found, "fraction").select("fraction", "exact", F.lit(round(bound, 6)).alias("bound"), holds)
+
+
 def _given_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated, missing and unmatched keys of the given tables."""
     keys = {
@@ -338,6 +372,7 @@ _ANALYSES: dict[str, Query] = {
         tpch.raw_lines(s, d, return_flag="R"), CleaningConfig(quantity_quantile=0.95)
     ),
     "quantity_outliers": _quantity_outliers,
+    "amount_quantiles": _amount_quantiles,
     # features
     "datetime_features": lambda s, d: features.datetime_features(
         _lines(s, d, "InvoiceNo", "StockCode", "Quantity", "InvoiceDate")
@@ -405,6 +440,9 @@ _ANALYSES: dict[str, Query] = {
     "dq_primary_keys": lambda s, d: quality.primary_keys(_star(s, d)),
     "dq_given_keys": _given_keys,
     "dq_checks": lambda s, d: quality.value_rules(_star(s, d)),
+    "bucketed_segment_revenue": lambda s, d: bucketed.segment_revenue(_customer_star(s, d)),
+    "bucketed_champions": lambda s, d: bucketed.champions_deep_dive(_customer_star(s, d)),
+    "distinct_by_period": _customers_by_period,
     "verify_segment_revenue": lambda s, d: quality.segment_revenue(_fact(s, d), _customers(s, d)),
     "verify_top_customers": lambda s, d: quality.top_spenders(_customers(s, d)),
     "verify_top_countries": lambda s, d: quality.top_countries(_geography(s, d)),

@@ -42,8 +42,9 @@ def write_table(
     partition_by: Sequence[str] = (),
     bucket_by: str | None = None,
     buckets: int = 0,
+    path: str | None = None,
 ) -> None:
-    """Full refresh of a catalog table.
+    """Full refresh of a catalog table, stored under ``path`` where one is given.
 
     Tables bucketed alike by a key (say CustomerID) join and group on it without a shuffle.
     """
@@ -52,6 +53,8 @@ def write_table(
     elif partition_by:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format("parquet")
+    if path:
+        writer = writer.option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if bucket_by:
