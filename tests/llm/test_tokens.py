@@ -19,9 +19,7 @@ PATTERN = public_tokenizers.PATTERN
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(wavelet.VOCABULARY)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(wavelet.VOCABULARY)
 
 
 @given(st.text(alphabet=st.sampled_from("aZé ÉßſİΣς'sdt019½²\t\n\x1c\x85\xa0 ́ﬁµªÀ漢😀#<|endoftext|>.,"), max_size=60))

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -33,48 +32,63 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 1 << 16
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 MAGIC = b"WMTX0001"
 HEADER = struct.Struct("<8sIIQQQI")  # magic, part, number, tokens, documents, block bits, planes
 
 
-class WordIds(dict):
-    """Ids of white-space-delimited words, filled on demand and emptied when full.
+class Cache(dict):
+    """What ``make`` gives for each key, made on demand and emptied when full."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+
+class WordIds(Cache):
+    """Ids of white-space-delimited words.
 
     The tokenizer's rules never look across ASCII white space, so a text's ids are its words'
     ids in order. Words of Latin letters, digits and signs are lower-cased and split here by the
-    tokenizer's own pattern and go straight to its model; all others take its whole way.
+    tokenizer's own pattern; their pieces, which far fewer words share, go straight to its model.
+    All other words, and those with one of its added tokens, take its whole way.
     """
 
     def __init__(self, vocabulary: str):
-        super().__init__()
+        super().__init__(self.ids, CACHED_WORDS)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        # fixed values: the pattern of the vocabulary's pre-tokenizer and the byte alphabet
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        # fixed values: the pattern of the vocabulary's pre-tokenizer, with the letters and numbers
+        # that lower-cased Latin-1 has, and the byte alphabet
+        letter, number = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+        self.splits = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{letter}{number}]+").findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.plain = re.compile(r"[\x21-\x7e¡-ÿ]+")
+        self.plain = re.compile(r"[\x21-\x7e¡-ÿ]+").fullmatch
+        added = [re.escape(token.content.lower()) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)").search
+        self.pieces = Cache(self.piece, CACHED_WORDS)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([token.id for token in self.model.tokenize(shown)], "<u2").tobytes()
+
+    def ids(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.plain.fullmatch(text):
-            found = [
-                token.id
-                for piece in self.pieces.findall(text.lower())
-                for token in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-            ]
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        packed = np.array(found, "<u2").tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = packed
-        return packed
+        lowered = text.lower()
+        if self.plain(text) and not self.added(lowered):
+            return b"".join(map(self.pieces.__getitem__, self.splits(lowered)))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 @functools.cache
@@ -103,7 +117,7 @@ def write_shard(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, part:
             block = packed[at : at + BLOCK_BITS // 8]
             small = squeeze(block)
             rows.append((before, len(small)))
-            before += int(np.unpackbits(np.frombuffer(block, np.uint8)).sum())
+            before += int(np.bitwise_count(np.frombuffer(block, np.uint8)).sum())
             body.append(small)
         directory.append(np.array(rows, "<u8").reshape(-1, 2))
         order = np.concatenate((order[~ones], order[ones]))
