@@ -368,8 +368,9 @@ _ANALYSES: dict[str, Query] = {
     "load_sales_lines": lambda s, d: validate(_lines(s, d), RFM_REQUIRED),
     "csv_round_trip": _csv_round_trip,
     "csv_rejects": _csv_rejects,
-    "clean_sales": lambda s, d: cleaning.clean_sales(
-        tpch.raw_lines(s, d, return_flag="R"), CleaningConfig(quantity_quantile=0.95)
+    # the quantile needs no texts, so they are joined to what is left
+    "clean_sales": lambda s, d: tpch.with_texts(
+        s, d, cleaning.clean_sales(tpch.raw_lines(s, d, return_flag="R", texts=False), CleaningConfig(quantity_quantile=0.95))
     ),
     "quantity_outliers": _quantity_outliers,
     "amount_quantiles": _amount_quantiles,

@@ -119,9 +119,13 @@ def invoices(spark: SparkSession, folder: str, country: bool = False) -> DataFra
 
 
 def raw_lines(
-    spark: SparkSession, folder: str, cancel_status: str = "P", return_flag: str | None = None
+    spark: SparkSession,
+    folder: str,
+    cancel_status: str = "P",
+    return_flag: str | None = None,
+    texts: bool = True,
 ) -> DataFrame:
-    """Uncleaned lines with all input columns.
+    """Uncleaned lines with all input columns; without ``texts`` no Description and Country.
 
     Orders of ``cancel_status`` carry the cancel prefix in their number; lines of
     ``return_flag`` are returns, with a negative quantity.
@@ -133,13 +137,10 @@ def raw_lines(
         F.concat(marked, F.col("o_orderkey").cast("string")).alias("InvoiceNo"),
         F.col("o_custkey").alias("CustomerID"),
         F.col("o_orderdate").alias("InvoiceDate"),
-    ).join(countries(spark, folder), "CustomerID", "left")
+    )
     pieces = F.col("l_quantity").cast("int")
     returned = F.coalesce(F.col("l_returnflag") == return_flag, F.lit(False)) if return_flag else F.lit(False)
-    parts = table(spark, folder, "part").select(
-        F.col("p_partkey").alias("StockCode"), F.col("p_name").alias("Description")
-    )
-    return (
+    lines = (
         table(spark, folder, "lineitem")
         .select(
             "l_orderkey",
@@ -148,6 +149,14 @@ def raw_lines(
             _unit_price().alias("UnitPrice"),
         )
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, "StockCode", "left")
         .drop("l_orderkey", "o_orderkey")
     )
+    return with_texts(spark, folder, lines) if texts else lines
+
+
+def with_texts(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
+    """Lines with the product's text and the customer's country; best after they are filtered."""
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("StockCode"), F.col("p_name").alias("Description")
+    )
+    return lines.join(countries(spark, folder), "CustomerID", "left").join(parts, "StockCode", "left")
