@@ -118,7 +118,7 @@ def _confirm(percent: int):
                 left, right = _unpacked(x), _unpacked(y)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 found.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(found, pa.bool_()))
 
     return run
 
@@ -173,7 +173,7 @@ def _root(parent: list[int], i: int) -> int:
 
 
 class Join:
-    """The state of one similarity join: classes, confirmed links and class labels."""
+    """The state of one similarity join: classes and the labels that confirmed links give them."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, percent: int = PERCENT):
         self.scratch, self.percent = scratch, percent
@@ -194,7 +194,6 @@ class Join:
         )
         none = "set_key bigint, label bigint"
         self.labels = scratch.spark.createDataFrame([], none)
-        self.links = scratch.spark.createDataFrame([], "a bigint, b bigint")
         self.sets = None
 
     def nodes(self) -> DataFrame:
@@ -241,24 +240,34 @@ class Join:
         return found.groupBy("a", "b").agg(F.max("first").alias("first"))
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Confirm the pairs whose labels differ on full sets and relabel."""
+        """Confirm the pairs whose labels differ on full sets and merge the labels of links.
+
+        Components are sought among labels only: what earlier links joined is one node.
+        """
         left = self.labels.withColumnsRenamed({"set_key": "a", "label": "la"})
         right = self.labels.withColumnsRenamed({"set_key": "b", "label": "lb"})
-        differ = (
+        differ = self.scratch.write(
             pairs.select("a", "b")
             .distinct()
             .join(left, "a", "left")
             .join(right, "b", "left")
-            .filter(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False)))
-            .select("a", "b")
+            .select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+            .filter("la != lb")
         )
+        if differ.isEmpty():
+            return
         with_right = differ.join(self.sets.withColumnsRenamed({"set_key": "b", "shingles": "y"}), "b")
         full = with_right.join(self.sets.withColumnsRenamed({"set_key": "a", "shingles": "x"}), "a")
-        linked = self.scratch.write(full.select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a bigint, b bigint"))
+        linked = full.select("a", "b", "x", "y", "la", "lb").mapInArrow(_confirm(self.percent), "a bigint, b bigint, la bigint, lb bigint")
+        linked = self.scratch.write(linked)
+        self.scratch.drop(differ)
         if linked.isEmpty():
             return
-        self.links = self.links.unionByName(linked)
-        self.labels = components(self.links, self.scratch).withColumnsRenamed({"node": "set_key", "component": "label"})
+        merged = components(linked.select("la", "lb").distinct(), self.scratch, "la", "lb")
+        ends = linked.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        fresh = ends.join(self.labels, "set_key", "left_anti").select("set_key", F.col("set_key").alias("label"))
+        named = self.labels.unionByName(fresh).join(merged.withColumnRenamed("node", "label"), "label", "left")
+        self.labels = self.scratch.write(named.select("set_key", F.coalesce("component", "label").alias("label")))
 
     def fetch(self, keys: DataFrame) -> None:
         """Full sets of all classes that may be in a link; every later level is among them."""
