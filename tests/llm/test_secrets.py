@@ -107,3 +107,43 @@ def test_documents(make_docs):
     assert (found[3001].n_assign, found[3001].n_hex) == (1, 1)
     assert found[3000].n_assign == 0 and "assign:" in found[3000].spans
     assert find_secrets(make_docs([])).isEmpty()
+
+
+def test_long_compressed_layers_are_scanned_to_their_end():
+    import zstandard
+
+    filler = b"nothing to see here. " * 3_400_000  # 71 MB
+    secret = f" token={KEY} ".encode()
+    for packed in (gzip.compress(filler + secret, 1), zstandard.ZstdCompressor(level=1).compress(filler + secret), bz2.compress(filler[:9_000_000] + secret, 1)):
+        text = "data " + base64.b64encode(packed).decode() + " end"
+        assert {kind for kind, _, _ in extra(text)} == {"assign", "hex"}
+        for _, start, end in extra(text):
+            assert 5 <= start < end <= len(text) - 4
+
+
+def test_a_frame_that_claims_much_takes_little_memory():
+    import resource
+
+    import zstandard
+
+    bomb = zstandard.ZstdCompressor(level=1).compress(bytes(200_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert extra("x " + base64.b64encode(bomb).decode()) == []
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000
+
+
+def test_windows_cover_members_and_truncated_data(monkeypatch):
+    from tillgrain.llm import secrets
+
+    monkeypatch.setattr(secrets, "WINDOW", 100)
+    monkeypatch.setattr(secrets, "OVERLAP", 40)
+    content = bytes(range(1, 200)) * 5
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for data in (pack(content), pack(content[:500]) + pack(content[500:]), pack(content) + b"xx"):
+            windows = [(a, b, w) for a, b, w in secrets._inflated(b"??" + data) if a == 2]
+            assert {(a, b) for a, b, _ in windows} == {(2, 2 + len(data.removesuffix(b"xx")))}
+            joined_ = windows[0][2] + b"".join(w[40:] for _, _, w in windows[1:])
+            assert joined_ == content
+    cut = gzip.compress(content)[:-3]
+    assert b"".join(w for _, _, w in secrets._inflated(cut))[:100] == content[:100]
+    assert [w for _, _, w in secrets._inflated(b"x^2 + y^2, \x78\x9c no data, BZh9 neither")] == []

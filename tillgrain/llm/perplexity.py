@@ -34,7 +34,7 @@ ORDER = 5
 BITS = 12
 #: model rows in one file, and files a scoring task holds at a time
 FILE_ROWS = 250_000
-HELD_FILES = 16
+HELD_FILES = 8
 #: bytes of text that are counted, or of one language scored, at once
 SLICE = 2_000_000
 #: a band ends this many quartile distances beyond the quartiles, and a document must lie
@@ -394,6 +394,13 @@ def _means(logs: np.ndarray, text: np.ndarray, count: int) -> tuple[np.ndarray,
         return means, np.sqrt(spread / sizes)
 
 
+def _with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A ``text`` column, from the row where it is only there."""
+    if "text" in batch.schema.names:
+        return batch
+    return batch.append_column("text", pc.struct_field(batch.column(batch.schema.get_field_index("row")), "text"))
+
+
 def _by_language(batches: Iterator[pa.RecordBatch], most: int, held: int) -> Iterator[tuple[str, pa.RecordBatch]]:
     """Rows of one language at a time, about ``most`` bytes of text, with ``held`` kept waiting."""
     waiting: dict[str, list[pa.RecordBatch]] = {}
@@ -403,7 +410,7 @@ def _by_language(batches: Iterator[pa.RecordBatch], most: int, held: int) -> Ite
         del sizes[lang]
         return lang, pa.Table.from_batches(waiting.pop(lang)).combine_chunks().to_batches()[0]
 
-    for batch in slices(batches, most):
+    for batch in slices(map(_with_text, batches), most):
         kinds, langs = pd.factorize(np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), object))
         for i, lang in enumerate(langs):
             part = batch.take(pa.array(np.flatnonzero(kinds == i)))
@@ -464,8 +471,9 @@ def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
     _, files = store(model, scratch)
     expected = {r.lang: r.expected for r in means.collect()}  # a row per language
     kind = read.schema["row"].dataType.simpleString()
+    whole = "text" in getattr(read.schema["row"].dataType, "names", [])  # then a text goes to Python once
     scored = scratch.write(
-        read.mapInArrow(_score(files, expected), f"lang string, row {kind}, text_digest binary, {SCORES}"), compression="zstd"
+        (read.drop("text") if whole else read).mapInArrow(_score(files, expected), f"lang string, row {kind}, text_digest binary, {SCORES}"), compression="zstd"
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     texts = scored.filter(~failed).groupBy("lang", "text_digest").agg(F.max(F.round("score", 3)).alias("value"))

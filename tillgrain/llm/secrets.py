@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ESCAPES = re.compile(
     r"%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,7};"
 )
-ESCAPED = re.compile(rf"(?:[^\s%\\&]*(?:{ESCAPES.pattern}))+[^\s%\\&]*")
+# both begin where a run begins, or a long run would be tried from each of its characters
+ESCAPED = re.compile(rf"(?<![^\s%\\&])(?:[^\s%\\&]*(?:{ESCAPES.pattern}))+[^\s%\\&]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
 COMPRESSED = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 PRINTABLE = re.compile(rb"[\x20-\x7e]{12}")
-#: what one compressed layer may grow to, against decompression bombs; a longer one is scanned that far
-MOST_BYTES = 64_000_000
+#: compressed layers are scanned in windows of so many bytes that overlap by so many; a layer in
+#: them that is longer than the overlap may be cut in two
+WINDOW, OVERLAP = 4_000_000, 500_000
+#: compressed bytes fed at once
+FED = 1 << 16
 
 Span = tuple[str, int, int]
 
@@ -109,44 +115,101 @@ def _unescape(segment: str) -> tuple[str, list[int], list[int]] | None:
     return None if found[0] == segment else found
 
 
-def _member(data: bytes, most: int) -> tuple[bytes, bytes] | None:
-    """The first compressed member of data that begins with a mark, and what follows it."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            tool = zlib.decompressobj(31)
-        elif data[:1] == b"\x78":
-            tool = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\0":
-            tool = lzma.LZMADecompressor()
-        else:
-            import zstandard
+class _Member:
+    """One compressed member that begins with a mark: its content in pieces, and how far it reaches.
 
-            tool = zstandard.ZstdDecompressor().decompressobj()
-            return tool.decompress(data)[:most], tool.unused_data
-        return tool.decompress(data, most), tool.unused_data
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    except Exception as error:  # zstandard has an error class of its own
-        if type(error).__name__ != "ZstdError":
-            raise
-    return None
+    A piece is no longer than a window, or what a few blocks hold, whatever the data claims. Data
+    that ends early gives what it has; ``failed`` says that it went wrong.
+    """
+
+    def __init__(self, data: memoryview):
+        self.data, self.size, self.failed = data, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        head = bytes(self.data[:6])
+        try:
+            if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+                yield from self._zlib(zlib.decompressobj(31 if head[0] == 0x1F else 15))
+            elif head[:3] == b"BZh":
+                yield from self._blocks(bz2.BZ2Decompressor())
+            elif head == b"\xfd7zXZ\0":
+                yield from self._blocks(lzma.LZMADecompressor())
+            else:
+                yield from self._frame(zstandard.ZstdDecompressor().decompressobj())
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
+            self.failed = True
+
+    def _zlib(self, tool) -> Iterator[bytes]:
+        while not tool.eof and self.size < len(self.data):
+            part = self.data[self.size : self.size + FED]
+            piece = tool.decompress(part, WINDOW)
+            self.size += len(part) - len(tool.unused_data if tool.eof else tool.unconsumed_tail)
+            yield piece
+        while not tool.eof and (piece := tool.decompress(b"", WINDOW)):
+            yield piece
+
+    def _blocks(self, tool) -> Iterator[bytes]:
+        while not tool.eof and self.size < len(self.data):
+            part = self.data[self.size : self.size + FED]
+            yield tool.decompress(part, WINDOW)
+            while not tool.eof and not tool.needs_input:
+                yield tool.decompress(b"", WINDOW)
+            self.size += len(part) - len(tool.unused_data)
+
+    def _frame(self, tool) -> Iterator[bytes]:
+        while not tool.eof and self.size < len(self.data):
+            part = self.data[self.size : self.size + 64]  # at most some twenty blocks of 128 KB
+            piece = tool.decompress(part)
+            self.size += len(part) - len(tool.unused_data)
+            yield piece
 
 
 def _inflated(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Begin, end and content of compressed data anywhere in ``data``; adjacent members are one."""
-    at = 0
+    """Begin, end and content of compressed data anywhere in ``data``; adjacent members are one.
+
+    A content longer than a window comes in windows that overlap, made in a second run when the
+    first has found where the data ends; only one is held. What goes wrong within its first window
+    was no compressed data.
+    """
+    view, at = memoryview(data), 0
     while mark := COMPRESSED.search(data, at):
-        begin = at = mark.start()
-        parts, size = [], 0
-        while size < MOST_BYTES and COMPRESSED.match(data, at) and (found := _member(data[at:], MOST_BYTES - size)):
-            parts.append(found[0])
-            size += len(found[0])
-            at = len(data) - len(found[1])
-        if size:
-            yield begin, at, b"".join(parts)
-        at = max(at, begin + 1)
+        begin = end = mark.start()
+        held, size = [], 0
+        while COMPRESSED.match(data, end):
+            member, own, before = _Member(view[end:]), 0, len(held)
+            for piece in member:
+                own += len(piece)
+                if size + own <= WINDOW:
+                    held.append(piece)
+            if member.failed and own <= WINDOW:
+                del held[before:]
+                break
+            size += own
+            end += member.size
+            if member.failed or not member.size:
+                break
+        if 0 < size <= WINDOW:
+            yield begin, end, b"".join(held)
+        elif size:
+            held = []
+            for window in _windows(view, begin, end):
+                yield begin, end, window
+        at = max(end, begin + 1)
+
+
+def _windows(view: memoryview, at: int, end: int) -> Iterator[bytes]:
+    """The content of the members between two places in windows that overlap."""
+    window = bytearray()
+    while at < end:
+        member = _Member(view[at:])
+        for piece in member:
+            window += piece
+            while len(window) >= WINDOW:
+                yield bytes(window[:WINDOW])
+                del window[: WINDOW - OVERLAP]
+        at += max(member.size, 1)
+    if len(window) > OVERLAP:
+        yield bytes(window)
 
 
 def _debase(segment: str) -> Iterator[tuple[str, list[int], list[int]]]:
@@ -167,7 +230,29 @@ def _debase(segment: str) -> Iterator[tuple[str, list[int], list[int]]]:
             yield _mapped(data, places[at], places[until] + 1)
 
 
-def layers(text: str, decoded: bool = True) -> Iterator[tuple[str, list[int], list[int], list[Span]]]:
+class _Same:
+    """The one place that all characters of a layer come from."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, _: int) -> int:
+        return self.place
+
+
+Places = list[int] | _Same
+
+
+def _through(outer: Places, inner: Places, step: int = 0) -> Places:
+    """Places of a layer within the text, given those within the layer around it."""
+    if isinstance(outer, _Same):
+        return outer
+    if isinstance(inner, _Same):
+        return _Same(outer[inner.place - step])
+    return [outer[i - step] for i in inner]
+
+
+def layers(text: str, decoded: bool = True) -> Iterator[tuple[str, Places, Places, list[Span]]]:
     """Decoded segments of one layer, the source interval of each of their characters, and their spans.
 
     Escapes are taken out of the whole layer, where spans count that touch one, and out of each
@@ -191,29 +276,39 @@ def layers(text: str, decoded: bool = True) -> Iterator[tuple[str, list[int], li
             first = len(data[:begin].decode("utf-8", "surrogateescape"))
             last = max(first + 1, len(text) - len(data[end:].decode("utf-8", "surrogateescape")))
             inner = content.decode("utf-8", "surrogateescape")
-            yield inner, [first] * len(inner), [last] * len(inner), base_spans(inner)
+            yield inner, _Same(first), _Same(last), base_spans(inner)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
     """Base spans and those of decoded layers, as intervals of ``text``."""
     found = list(base)
-    work = [(text, None, None)]
-    seen = {(text, 0)}
+    seen = {(_digest(text), 0)}
+    # depth first, so that one window of each layer is held and not all of them
+    work = [(None, None, layers(text, False))]
     while work:
-        layer, begins, ends = work.pop()
-        for inner, first, last, spans in layers(layer, begins is not None):
-            if begins is not None:
-                last = [ends[e - 1] for e in last]
-                first = [begins[b] for b in first]
-            mark = (inner, first[0] if first else 0)
-            if not inner or mark in seen:
-                continue
-            seen.add(mark)
-            found += [(kind, first[s], last[e - 1]) for kind, s, e in spans]
-            work.append((inner, first, last))
+        begins, ends, parts = work[-1]
+        part = next(parts, None)
+        if part is None:
+            work.pop()
+            continue
+        inner, first, last, spans = part
+        if not inner:
+            continue
+        if begins is not None:
+            first, last = _through(begins, first), _through(ends, last, 1)
+        mark = (_digest(inner), first[0])
+        if mark in seen:
+            continue
+        seen.add(mark)
+        found += [(kind, first[s], last[e - 1]) for kind, s, e in spans]
+        work.append((first, last, layers(inner)))
     return in_order(found)
 
 
+def _digest(text: str) -> int:
+    return xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         out = {"n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": []}
