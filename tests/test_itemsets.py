@@ -9,6 +9,7 @@ from tests.conftest import rows
 from tests.test_basket import ALL, brute, lines_of
 from tillgrain.config import BasketConfig
 from tillgrain.operators import basket, itemsets
+from tillgrain.plans import flows
 from tillgrain.session import Scratch
 
 
@@ -94,3 +95,13 @@ def test_grown_rules_equal_all_splits(spark, scratch, confidence, lift):
     split = basket.association_rules(found, config)
     assert grown.columns == split.columns
     assert rows(grown.drop("antecedents", "consequents")) == rows(split.drop("antecedents", "consequents"))
+
+
+def test_the_basket_run_finds_long_sets(spark, make_sales, tmp_path):
+    lines_of(make_sales, "ABCDE", "ABCDE", "ABC", "DE").write.parquet(f"{tmp_path}/sales")
+    config = BasketConfig(home_market=None, min_support=0.5, max_length=5, min_confidence=0.3, min_lift=0.0)
+    results = flows.run_baskets(spark, f"{tmp_path}/sales", f"{tmp_path}/out", config)
+    found = results["frequent_itemsets"].collect()
+    assert max(r.length for r in found) == 5 and len(found) == 31
+    stored = spark.read.option("header", True).csv(f"{tmp_path}/out/association_rules")
+    assert stored.count() == sum(2 ** r.length - 2 for r in found if r.length > 1)

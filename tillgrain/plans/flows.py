@@ -11,8 +11,9 @@ from tillgrain.operators import basket, cohort, quality, rfm
 from tillgrain.operators.cleaning import clean_sales
 from tillgrain.operators.features import engineered_sales
 from tillgrain.operators.grains import invoice_grain
+from tillgrain.operators.itemsets import basket_items, grown_rules, mined_itemsets
 from tillgrain.operators.star import Star
-from tillgrain.session import materialize
+from tillgrain.session import Scratch, materialize
 from tillgrain.sources.readers import load_lines, load_table
 from tillgrain.sources.schemas import BASKET_REQUIRED
 from tillgrain.sources.versions import Store
@@ -61,8 +62,13 @@ def run_baskets(
     spark: SparkSession, sales_path: str, out: str, config: BasketConfig = BasketConfig()
 ) -> dict[str, DataFrame]:
     lines = load_table(spark, sales_path, BASKET_REQUIRED)
-    itemsets = materialize(basket.frequent_itemsets(basket.baskets(lines, config), config))
-    rules = materialize(basket.association_rules(itemsets, config))
+    if config.max_length <= basket.LONGEST_SUPPORTED:
+        itemsets = materialize(basket.frequent_itemsets(basket.baskets(lines, config), config))
+        rules = materialize(basket.association_rules(itemsets, config))
+    else:  # longer sets by bitmaps, over all products
+        scratch = Scratch(spark)
+        itemsets = scratch.write(mined_itemsets(basket_items(lines, config), scratch, config, config.max_length))
+        rules = scratch.write(grown_rules(itemsets, scratch, config))
     results = {
         "frequent_itemsets": itemsets.select("support", "itemset", "length"),
         "association_rules": basket.by_lift(
