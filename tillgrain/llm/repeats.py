@@ -23,7 +23,7 @@ WINDOW = 20
 #: bytes of text whose windows are compared with each other before anything is shuffled
 SLICE = 12_000_000
 #: bytes of text whose windows, five times as large, are compared with each other in one group
-BUCKET_TEXT = 12_000_000
+BUCKET_TEXT = 24_000_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 PACKED = "bucket int, hashes binary, gaps binary, doc_ids binary, text_keys binary, bases binary, counts binary, known boolean"
@@ -254,8 +254,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     their text keys, and rows that share both are one document.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # several small buckets a partition even out, and none outgrows a task with the corpus
-    buckets = max(4 * width(docs.sparkSession), -(-size // BUCKET_TEXT))
+    # a partition's bucket does not outgrow a task with the corpus
+    buckets = max(width(docs.sparkSession), -(-size // BUCKET_TEXT))
     packed = docs.select("doc_id", "text_key", "text").mapInArrow(pack(window, buckets), PACKED)
     replies = packed.groupBy("bucket").applyInArrow(later(buckets), REPLY)
     return replies.groupBy("part").applyInArrow(merged(window), FOUND)
