@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillgrain.llm.common import documents, slices, with_digest
+from tillgrain.llm.common import documents, released, slices, with_digest
 from tillgrain.session import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -131,7 +131,7 @@ def encode_documents(
     keyed = with_digest(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     key = "doc_id bigint, text_key bigint"
     is_long = F.char_length("text") > chunk
-    short = keyed.filter(~is_long).mapInArrow(_encode(ranks, pattern), f"{key}, ids binary")
+    short = keyed.filter(~is_long).mapInArrow(released(_encode(ranks, pattern)), f"{key}, ids binary")
 
     pieces = scratch.write(
         chunk_rows(keyed.filter(is_long), chunk, overlap)
@@ -161,7 +161,7 @@ def encode_documents(
             "doc_id", "text_key", "chunk",
             F.col("text").substr((first - F.col("begin") + 1).cast("int"), (after - first).cast("int")).alias("text"),
         )
-        .mapInArrow(_encode(ranks, pattern), f"{key}, chunk int, ids binary")
+        .mapInArrow(released(_encode(ranks, pattern)), f"{key}, chunk int, ids binary")
         .groupBy("doc_id", "text_key")
         .agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
         .select("doc_id", "text_key", F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "").alias("hex"))
@@ -171,7 +171,7 @@ def encode_documents(
         keyed.filter(is_long)
         .join(broken, ["doc_id", "text_key"], "left_semi")
         .dropDuplicates(["doc_id", "text_key"])
-        .mapInArrow(_encode(ranks, pattern), f"{key}, ids binary")
+        .mapInArrow(released(_encode(ranks, pattern)), f"{key}, ids binary")
     )
     times = keyed.filter(is_long).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).cast("int").alias("times"))
     long = stitched.unionByName(rest).join(times, ["doc_id", "text_key"])

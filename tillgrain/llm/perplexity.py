@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillgrain.llm.common import cover, documents, slices, texts_of, word_hashes
+from tillgrain.llm.common import cover, documents, released, slices, texts_of, word_hashes
 from tillgrain.llm.digests import digest
 from tillgrain.llm.repeats import BASES, rolling
 from tillgrain.session import Scratch
@@ -189,7 +189,7 @@ def trained(docs: DataFrame, scratch: Scratch, least: int) -> tuple[DataFrame, D
     of fewer than ``least`` occurrences are left out at the end; with 2 no score changes, since
     what occurs once is unseen by the text that has it and absent from all others.
     """
-    counted = _distinct(docs, scratch).mapInArrow(_count, "lang string, gram bigint, raw bigint")
+    counted = _distinct(docs, scratch).mapInArrow(released(_count), "lang string, gram bigint, raw bigint")
     single = scratch.write(counted.groupBy("lang", "gram").agg(F.sum("raw").alias("raw")))
     pooled = single.groupBy("gram").agg(F.sum("raw").alias("raw"))
     both = single.filter(F.col("lang") != ANY).unionByName(pooled.withColumn("lang", F.lit(ANY)))
@@ -473,7 +473,7 @@ def judged(docs: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
     kind = read.schema["row"].dataType.simpleString()
     whole = "text" in getattr(read.schema["row"].dataType, "names", [])  # then a text goes to Python once
     scored = scratch.write(
-        (read.drop("text") if whole else read).mapInArrow(_score(files, expected), f"lang string, row {kind}, text_digest binary, {SCORES}"), compression="zstd"
+        (read.drop("text") if whole else read).mapInArrow(released(_score(files, expected)), f"lang string, row {kind}, text_digest binary, {SCORES}"), compression="zstd"
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     texts = scored.filter(~failed).groupBy("lang", "text_digest").agg(F.max(F.round("score", 3)).alias("value"))
