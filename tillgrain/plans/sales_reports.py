@@ -288,14 +288,38 @@ def new_vs_returning(lines: DataFrame) -> DataFrame:
     count once, every remaining amount counts as an order, and only the first is new. Ties go
     by time, then invoice, then amount.
     """
-    units = lines.select("CustomerID", "InvoiceNo", "InvoiceDate", "TotalAmount").distinct()
-    earliest = F.min(F.struct("InvoiceDate", "InvoiceNo", "TotalAmount"))
-    months = units.groupBy("CustomerID", cal.month_index(_date()).alias("_month")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("TotalAmount").alias("_sum"),
+    return new_vs_returning_by_amount(distinct_amounts(lines))
+
+
+def distinct_amounts(lines: DataFrame) -> DataFrame:
+    """Number, sum and least of the distinct amounts of each invoice, customer and instant.
+
+    A missing amount is one of them, and the least. ``lines`` without customers and instants
+    give a row per invoice, to be joined with its header.
+    """
+    keys = [c for c in ("CustomerID", "InvoiceNo", "InvoiceDate") if c in lines.columns]
+    amount = F.col("TotalAmount")
+    return (
+        lines.select(*keys, "TotalAmount")
+        .distinct()
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("_units"),
+            F.sum(amount).alias("_total"),
+            F.when(F.count(amount) == F.count(F.lit(1)), F.min(amount)).alias("_least"),
+        )
+    )
+
+
+def new_vs_returning_by_amount(invoices: DataFrame) -> DataFrame:
+    """:func:`new_vs_returning` from one row of ``distinct_amounts`` per invoice, customer and instant."""
+    earliest = F.min(F.struct("InvoiceDate", "InvoiceNo", "_least"))
+    months = invoices.groupBy("CustomerID", cal.month_index(_date()).alias("_month")).agg(
+        F.sum("_units").alias("_n"),
+        F.sum("_total").alias("_sum"),
         earliest.alias("_earliest"),
     )
-    return _new_and_returning(months.withColumn("_first_sum", F.col("_earliest.TotalAmount")))
+    return _new_and_returning(months.withColumn("_first_sum", F.col("_earliest._least")))
 
 
 def new_vs_returning_by_order(invoices: DataFrame) -> DataFrame:
