@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from tillgrain.operators import features, rfm
 from tillgrain.plans import catalog, sales_reports
 from tillgrain.sources import tpch
 
@@ -37,3 +38,13 @@ def test_new_vs_returning_reduces_lines_before_the_header(spark, folder):
     lines = tpch.sales_lines(spark, folder, ("CustomerID", "InvoiceNo", "InvoiceDate", "TotalAmount"))
     assert _rows(got) == _rows(sales_reports.new_vs_returning(lines)) != []
     assert _reduced_before_the_join(_plan(got))
+
+
+def test_code_segments_reduce_lines_before_the_header(spark, folder, monkeypatch):
+    seen = []
+    real = rfm.materialize
+    monkeypatch.setattr(rfm, "materialize", lambda df: seen.append(_plan(df)) or real(df))
+    got = _rows(catalog.QUERIES["rfm_code_segments"](spark, folder))
+    assert _reduced_before_the_join(seen[0])
+    lines = tpch.sales_lines(spark, folder, ("InvoiceNo", "CustomerID", "InvoiceDate", "Quantity", "UnitPrice"))
+    assert got == _rows(catalog._portable(features.rfm_code_stats(features.revenue_invoices(lines)))) != []
