@@ -48,3 +48,17 @@ def test_code_segments_reduce_lines_before_the_header(spark, folder, monkeypatch
     assert _reduced_before_the_join(seen[0])
     lines = tpch.sales_lines(spark, folder, ("InvoiceNo", "CustomerID", "InvoiceDate", "Quantity", "UnitPrice"))
     assert got == _rows(catalog._portable(features.rfm_code_stats(features.revenue_invoices(lines)))) != []
+
+
+def test_a_task_reads_a_bounded_share(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        tpch.tune(spark)
+        assert spark.conf.get(key) == "16MB"
+        spark.conf.set(key, "8m")
+        tpch.tune(spark)
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.set(key, before)
