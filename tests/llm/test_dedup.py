@@ -186,3 +186,52 @@ def test_briefs_tell_unrelated_sets_of_any_size_apart(size):
         assert agree(one, two) < 0.2
         near = np.append(left[: size * 7 // 8], right[: size // 8])  # similarity at about the threshold
         assert agree(one, chosenpath.brief(chosenpath.signature(near))) >= chosenpath.ESTIMATE
+
+
+def crowd(count=150, size=160):
+    """Near copies of one text, about as many linked as not."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(count):
+        words = [f"w{i}" for i in range(size)]
+        for at in rng.choice(size, 1 + k % 7, replace=False):
+            words[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words), None, None))
+    return rows
+
+
+@pytest.mark.parametrize("small, half", [(4096, 1000), (4096, 40), (64, 1000)])
+def test_a_crowd_of_near_copies_is_linked_in_full(make_docs, scratch, monkeypatch, small, half):
+    monkeypatch.setattr(chosenpath, "SMALL", small)
+    monkeypatch.setattr(chosenpath, "HALF_MEMBERS", half)
+    rows = crowd() + [(1000 + i, t, lang, source) for i, t, lang, source in corpus(7)]
+    want = brute.near_components(rows)
+    assert len({c for i, (_, c) in want.items() if i < 150}) > 30  # many link with none
+    found = near_duplicates(make_docs(rows), scratch).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+
+
+def test_the_pairs_of_a_crowd_are_no_rows(make_docs, scratch):
+    rows = crowd()
+    join = chosenpath.Join(chosenpath.with_digest(make_docs(rows).select("doc_id", "text")), scratch)
+    lists = join.classes.agg(chosenpath.F.sort_array(chosenpath.F.collect_list("set_key")).alias("members"))
+    assert join.small_pairs(lists).count() <= len(rows)
+
+
+@pytest.mark.parametrize("few, step", [(12, 4096), (3, 7)])
+def test_intersections_of_all_sets_at_once(few, step):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 900, n)).astype(np.uint64) for n in rng.integers(0, 120, 40)]
+    both = chosenpath.in_common(sets, few, step)
+    for i in range(40):
+        for j in range(i + 1, 40):
+            assert both[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+@pytest.mark.parametrize("half_members, half_bytes", [(3, 4_000_000), (1000, 50), (1000, 1)])
+def test_parts_of_a_crowd_bring_any_two_together(monkeypatch, half_members, half_bytes):
+    monkeypatch.setattr(chosenpath, "HALF_MEMBERS", half_members)
+    monkeypatch.setattr(chosenpath, "HALF_BYTES", half_bytes)
+    found = chosenpath.parts(list(range(10, 0, -1)), [3] * 10)
+    assert all(any({i, j} <= set(p) for p in found) for i in range(1, 11) for j in range(1, 11))
+    assert all(p == sorted(p) and len(p) <= 2 * min(half_members, max(1, half_bytes // 18)) for p in found)

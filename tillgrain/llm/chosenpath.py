@@ -7,7 +7,9 @@ random member. A node whose members are then all in one component is done; one w
 has these compared with all, in blocks. The rest branch by further coordinates, one or two of
 them, so that a pair at the threshold is expected to stay together once per level, and what is
 still mixed at the last level is compared in blocks too, so no pair is left out for the size of
-its node. Independent trees raise the recall. Every link is confirmed on full sets.
+its node. Independent trees raise the recall. Every link is confirmed on full sets: a few pairs
+one by one, those of a crowd whose members are mostly alike where the crowd's sets meet, in
+parts of bounded size, and of them only links that join something go on.
 """
 
 from __future__ import annotations
@@ -30,7 +32,12 @@ PERCENT = 75
 COORDINATES = 128
 TREES = 16
 LEVELS = 4
-SMALL = 32
+SMALL = 4096
+#: pairs a member, beyond which the like members of a node are a crowd; members and bytes of sets in
+#: half a part of a crowd
+CROWD = 8
+HALF_MEMBERS = 1000
+HALF_BYTES = 4_000_000
 #: signatures, 8 bits a coordinate, must agree on this share at least: 4 standard deviations below
 #: what is expected at the threshold
 ESTIMATE = 0.6
@@ -123,36 +130,126 @@ def _confirm(percent: int):
     return run
 
 
+def agreement(matrix: np.ndarray, step: int = 256) -> np.ndarray:
+    """How many coordinates the briefs of any two members have in common, the earlier one leading."""
+    if len(matrix) <= 48:
+        return (matrix[:, None, :] == matrix[None, :, :]).sum(axis=2, dtype=np.uint8)
+    agree = np.zeros((len(matrix), len(matrix)), np.uint8)
+    columns = np.ascontiguousarray(matrix.T)
+    for at in range(0, len(matrix), step):
+        for column in columns:
+            agree[at : at + step, at:] += column[at : at + step, None] == column[None, at:]
+    return agree
+
+
+def parts(keys: list[int], sizes: list[int]) -> list[list[int]]:
+    """Lists that bring together any two of the keys, each of two runs of bounded size."""
+    runs, held = [[]], 0
+    for key, size in sorted(zip(keys, sizes, strict=True)):
+        if runs[-1] and (len(runs[-1]) == HALF_MEMBERS or held + 6 * size > HALF_BYTES):
+            runs.append([])
+            held = 0
+        runs[-1].append(key)
+        held += 6 * size
+    if len(runs) == 1:
+        return runs
+    return [runs[i] + runs[j] for i in range(len(runs)) for j in range(i + 1, len(runs))]
+
+
+PAIRS = "a bigint, b bigint, first boolean, members array<bigint>"
+
+
 def _compare(estimate: float):
-    """Similar pairs of small nodes; ``first`` marks those that span each node's groups."""
+    """Similar pairs of small nodes; ``first`` marks those that span each node's groups.
+
+    Of a crowd the like members are returned instead of their pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [])
+            out = ([], [], [], [])
             for members in batch.column(0).to_pylist():
                 keys = [m["set_key"] for m in members]
                 matrix = np.frombuffer(b"".join(m["brief"] for m in members), np.uint8).reshape(len(keys), -1)
-                labels = [m["label"] for m in members]
-                agree = (matrix[:, None, :] == matrix[None, :, :]).mean(axis=2)
-                left, right = np.nonzero(np.triu(agree >= estimate, 1))
+                labels = np.array([m["label"] for m in members])
+                agree = agreement(matrix)
+                alike = np.triu(agree >= estimate * COORDINATES, 1)
+                alike &= labels[:, None] != labels[None, :]
+                at = np.flatnonzero(alike.any(axis=0) | alike.any(axis=1)).tolist()
+                if np.count_nonzero(alike) > CROWD * len(at):
+                    for part in parts([keys[i] for i in at], [members[i]["n_shingles"] for i in at]):
+                        for column, value in zip(out, (None, None, None, part), strict=True):
+                            column.append(value)
+                    continue
+                left, right = np.nonzero(alike)
                 parent = list(range(len(keys)))
-                for k in np.argsort(-agree[left, right], kind="stable"):
+                for k in np.argsort(-agree[left, right].astype(np.int16), kind="stable"):
                     i, j = int(left[k]), int(right[k])
-                    if labels[i] is not None and labels[i] == labels[j]:
-                        continue
                     x, y = _root(parent, i), _root(parent, j)
                     parent[x] = y
-                    out[0].append(min(keys[i], keys[j]))
-                    out[1].append(max(keys[i], keys[j]))
-                    out[2].append(x != y)
+                    for column, value in zip(out, (min(keys[i], keys[j]), max(keys[i], keys[j]), x != y, None), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())],
-                names=["a", "b", "first"],
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["a", "b", "first", "members"]
             )
 
     return run
 
 
+def in_common(sets: list[np.ndarray], few: int = 12, step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of any two sets, the earlier one leading, counted value by value.
+
+    Holders of a value that ``few`` sets have at most are paired; other values are columns of a
+    matrix, ``step`` of them at a time, that is multiplied with itself.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    owner, begins = owner[order], np.cumsum(held) - held
+    both = np.zeros((len(sets), len(sets)), np.int32)
+    for count in range(2, few + 1):
+        holders = owner[begins[held == count][:, None] + np.arange(count)]
+        for i in range(count):
+            for j in range(i + 1, count):
+                np.add.at(both, (holders[:, i], holders[:, j]), 1)
+    common = np.flatnonzero(held > few)
+    for at in range(0, len(common), step):
+        columns = common[at : at + step]
+        holds = np.zeros((len(sets), len(columns)), np.float32)
+        rows = np.concatenate([owner[begins[c] : begins[c] + held[c]] for c in columns])
+        holds[rows, np.repeat(np.arange(len(columns)), held[columns])] = 1
+        both += (holds @ holds.T).astype(np.int32)
+    return both
+
+
+def _links(percent: int):
+    """Of the links within a crowd, those that join labels not yet joined within it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = ([], [], [], [])
+            for members in batch.column(0):
+                members = members.as_py()
+                labels = [m["label"] for m in members]
+                sets = [_unpacked(m["shingles"]) for m in members]
+                sizes = np.array([len(s) for s in sets], np.int32)
+                both = in_common(sets)
+                linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+                index = {label: k for k, label in enumerate(dict.fromkeys(labels))}
+                group = [index[label] for label in labels]
+                parent = list(range(len(index)))
+                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
+                    x, y = _root(parent, group[i]), _root(parent, group[j])
+                    if x != y:
+                        parent[x] = y
+                        for column, value in zip(out, (members[i]["set_key"], members[j]["set_key"], labels[i], labels[j]), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "la", "lb"])
+
+    return run
+
+
 def _alike(estimate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +286,7 @@ class Join:
         self.classes = scratch.write(
             held.join(first, "set_key")
             .filter(F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_key") == F.col("text_key")))
-            .select("set_key", "doc_id", "text_key", "signature", "brief")
+            .select("set_key", "doc_id", "text_key", "n_shingles", "signature", "brief")
             .dropDuplicates(["set_key"])
         )
         none = "set_key bigint, label bigint"
@@ -228,18 +325,29 @@ class Join:
         return self.scratch.write(rows.join(counts, "path"))
 
     def small_pairs(self, lists: DataFrame) -> DataFrame:
-        """Pairs of like signatures within lists of set keys, labels apart."""
+        """Pairs of like signatures within lists of set keys, labels apart, and crowds of them."""
         members = (
             lists.select(F.xxhash64("members").alias("node"), F.explode("members").alias("set_key"))
-            .join(self.classes.select("set_key", "brief"), "set_key")
+            .join(self.classes.select("set_key", "n_shingles", "brief"), "set_key")
             .join(self.labels, "set_key", "left")
             .groupBy("node")
-            .agg(F.collect_list(F.struct("set_key", "brief", "label")).alias("members"))
+            .agg(F.collect_list(F.struct("set_key", "n_shingles", "brief", F.coalesce("label", "set_key").alias("label"))).alias("members"))
         )
-        found = members.select("members").mapInArrow(_compare(ESTIMATE), "a bigint, b bigint, first boolean")
-        return found.groupBy("a", "b").agg(F.max("first").alias("first"))
+        found = members.select("members").mapInArrow(_compare(ESTIMATE), PAIRS)
+        return found.groupBy("a", "b", "members").agg(F.max("first").alias("first"))
+
+    def crowded(self, crowds: DataFrame) -> DataFrame:
+        """Links within crowds: a crowd's sets meet once, and its pairs are no rows."""
+        sets = (
+            crowds.select(F.xxhash64("members").alias("node"), F.explode("members").alias("set_key"))
+            .join(self.sets, "set_key")
+            .join(self.labels, "set_key", "left")
+            .groupBy("node")
+            .agg(F.collect_list(F.struct("set_key", F.coalesce("label", "set_key").alias("label"), "shingles")).alias("members"))
+        )
+        return sets.select("members").mapInArrow(_links(self.percent), "a bigint, b bigint, la bigint, lb bigint")
 
-    def confirm(self, pairs: DataFrame) -> None:
+    def confirm(self, pairs: DataFrame, crowds: DataFrame) -> None:
         """Confirm the pairs whose labels differ on full sets and merge the labels of links.
 
         Components are sought among labels only: what earlier links joined is one node.
@@ -254,12 +362,10 @@ class Join:
             .select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
             .filter("la != lb")
         )
-        if differ.isEmpty():
-            return
         with_right = differ.join(self.sets.withColumnsRenamed({"set_key": "b", "shingles": "y"}), "b")
         full = with_right.join(self.sets.withColumnsRenamed({"set_key": "a", "shingles": "x"}), "a")
         linked = full.select("a", "b", "x", "y", "la", "lb").mapInArrow(_confirm(self.percent), "a bigint, b bigint, la bigint, lb bigint")
-        linked = self.scratch.write(linked)
+        linked = self.scratch.write(linked.unionByName(self.crowded(crowds)))
         self.scratch.drop(differ)
         if linked.isEmpty():
             return
@@ -298,8 +404,9 @@ class Join:
         """Lists that bring together any two members of a node with different labels.
 
         All members are dealt into blocks, those without the node's most frequent label into
-        chunks as well, and each list is a block and a chunk of about ``SMALL`` members each.
+        chunks as well, and each list is a block and a chunk of half of ``SMALL`` members each.
         """
+        half = SMALL // 2
         named = self.labelled(rows)
         counts = named.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
         most = counts.groupBy("path").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
@@ -307,8 +414,8 @@ class Join:
             "path",
             "set_key",
             (F.col("label") != F.col("most.label")).alias("other"),
-            F.ceil(F.col("all") / SMALL).cast("int").alias("blocks"),
-            F.ceil((F.col("all") - F.col("most.n")) / SMALL).cast("int").alias("chunks"),
+            F.ceil(F.col("all") / half).cast("int").alias("blocks"),
+            F.ceil((F.col("all") - F.col("most.n")) / half).cast("int").alias("chunks"),
         )
         spread = F.xxhash64("set_key", F.lit(3))
         i, j = F.pmod(spread, "blocks").cast("int"), F.pmod(spread, "chunks").cast("int")
@@ -319,6 +426,12 @@ class Join:
         both = members.unionByName(others).groupBy("path", "i", "j")
         return both.agg(F.sort_array(F.collect_set("set_key")).alias("members"))
 
+    def mixed(self, large: DataFrame) -> DataFrame:
+        """Rows of nodes with more than one label, with the number of members outside the largest."""
+        counts = self.labelled(large).groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+        others = counts.groupBy("path").agg((F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+        return large.join(others, "path")
+
     def run(self) -> None:
         rows = self.nodes()
         for level in range(1, LEVELS + 1):
@@ -330,24 +443,26 @@ class Join:
                 .select("members")
                 .distinct()
             )
-            pairs = self.scratch.write(self.small_pairs(lists))
+            found = self.scratch.write(self.small_pairs(lists))
+            pairs, crowds = found.filter("members is null"), found.filter("members is not null").select("members")
             large = rows.filter(F.col("size") > SMALL)
             if level == 1:
-                ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key"))
+                ends = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("set_key"))
                 self.fetch(ends.unionByName(large.select("set_key")))
-            self.confirm(pairs.filter("first").select("a", "b").unionByName(self.stars(large)))
-            self.confirm(pairs)
-            counts = self.labelled(large).groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
-            others = F.sum("n") - F.max("n")
-            mixed = counts.groupBy("path").agg(others.alias("others")).filter("others > 0")
-            left = self.scratch.write(large.join(mixed, "path"))
-            self.scratch.drop(rows, pairs)
-            done = F.lit(level == LEVELS) | (F.col("others") <= SMALL)
+            self.confirm(pairs.filter("first").select("a", "b").unionByName(self.stars(large)), crowds)
+            left, others = self.scratch.write(self.mixed(large)), pairs.filter("not first").select("a", "b")
             if left.isEmpty():
+                self.confirm(others, crowds.limit(0))
                 return
-            ended = self.blocks(left.filter(done)).select("members").distinct()
-            self.confirm(self.scratch.write(self.small_pairs(ended)))
-            rows = left.filter(~done).select("path", "set_key")
+            done = F.lit(level == LEVELS) | (F.col("others") <= SMALL)
+            ended = self.scratch.write(self.small_pairs(self.blocks(left.filter(done)).select("members").distinct()))
+            self.confirm(
+                others.unionByName(ended.filter("members is null").select("a", "b")),
+                ended.filter("members is not null").select("members"),
+            )
+            rest = self.scratch.write(self.mixed(left.filter(~done).drop("others")).select("path", "set_key"))
+            self.scratch.drop(rows, found, left, ended)
+            rows = rest
             if rows.isEmpty():
                 return
             rows = self.branched(rows)
