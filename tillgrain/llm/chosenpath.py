@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillgrain.llm.common import ASCII_LOWER, WORD, documents, mix, slices, texts_of, with_digest, word_hashes
+from tillgrain.llm.common import ASCII_LOWER, WORD, documents, mix, released, slices, texts_of, with_digest, word_hashes
 from tillgrain.llm.components import components
 from tillgrain.llm.repeats import BASES, rolling
 from tillgrain.session import Scratch
@@ -277,7 +277,7 @@ class Join:
         self.docs = docs
         self.rows = scratch.write(
             docs.select("doc_id", "text_key", "text").mapInArrow(
-                _sketch,
+                released(_sketch),
                 "doc_id bigint, text_key bigint, n_shingles bigint, set_key bigint, signature array<int>, brief binary",
             )
         )
@@ -333,7 +333,7 @@ class Join:
             .groupBy("node")
             .agg(F.collect_list(F.struct("set_key", "n_shingles", "brief", F.coalesce("label", "set_key").alias("label"))).alias("members"))
         )
-        found = members.select("members").mapInArrow(_compare(ESTIMATE), PAIRS)
+        found = members.select("members").mapInArrow(released(_compare(ESTIMATE)), PAIRS)
         return found.groupBy("a", "b", "members").agg(F.max("first").alias("first"))
 
     def crowded(self, crowds: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ class Join:
             .groupBy("node")
             .agg(F.collect_list(F.struct("set_key", F.coalesce("label", "set_key").alias("label"), "shingles")).alias("members"))
         )
-        return sets.select("members").mapInArrow(_links(self.percent), "a bigint, b bigint, la bigint, lb bigint")
+        return sets.select("members").mapInArrow(released(_links(self.percent)), "a bigint, b bigint, la bigint, lb bigint")
 
     def confirm(self, pairs: DataFrame, crowds: DataFrame) -> None:
         """Confirm the pairs whose labels differ on full sets and merge the labels of links.
@@ -364,7 +364,7 @@ class Join:
         )
         with_right = differ.join(self.sets.withColumnsRenamed({"set_key": "b", "shingles": "y"}), "b")
         full = with_right.join(self.sets.withColumnsRenamed({"set_key": "a", "shingles": "x"}), "a")
-        linked = full.select("a", "b", "x", "y", "la", "lb").mapInArrow(_confirm(self.percent), "a bigint, b bigint, la bigint, lb bigint")
+        linked = full.select("a", "b", "x", "y", "la", "lb").mapInArrow(released(_confirm(self.percent)), "a bigint, b bigint, la bigint, lb bigint")
         linked = self.scratch.write(linked.unionByName(self.crowded(crowds)))
         self.scratch.drop(differ)
         if linked.isEmpty():
@@ -381,7 +381,7 @@ class Join:
         found = (
             self.docs.join(wanted, ["doc_id", "text_key"])
             .select("set_key", "text")
-            .mapInArrow(_sets, "set_key bigint, shingles binary")
+            .mapInArrow(released(_sets), "set_key bigint, shingles binary")
         )
         self.sets = self.scratch.write(found.dropDuplicates(["set_key"]))
 
@@ -395,7 +395,7 @@ class Join:
         pairs = large.filter("set_key != pivot").join(briefs, "set_key").join(centres, "path").select(
             F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"), "brief", "centre"
         )
-        return pairs.mapInArrow(_alike(ESTIMATE), "a bigint, b bigint")
+        return pairs.mapInArrow(released(_alike(ESTIMATE)), "a bigint, b bigint")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
